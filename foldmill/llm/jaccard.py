@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import batches, drop_table, materialise
+from foldmill.llm.common import batches, drop_table, map_texts, materialise
 
 #: Edges of the size bands grow by this factor.
 BAND = 1.5
@@ -97,38 +97,44 @@ def link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def signed64(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, h1, h2 (of the whole set) and bitmap of every document."""
 
-    def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, 512):
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            raw = [s.tobytes() for s in sets]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
-                "h1": np.array([xxhash.xxh64_intdigest(r, 1) for r in raw], np.uint64).view(np.int64),
-                "h2": np.array([xxhash.xxh64_intdigest(r, 2) for r in raw], np.uint64).view(np.int64),
-                "bitmap": [bitmap(s) for s in sets],
-            })
+    def signed(texts: list[str | None]) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        raw = [s.tobytes() for s in sets]
+        return {
+            "n": [len(s) for s in sets],
+            "h1": [signed64(xxhash.xxh64_intdigest(r, 1)) for r in raw],
+            "h2": [signed64(xxhash.xxh64_intdigest(r, 2)) for r in raw],
+            "bitmap": [bitmap(s) for s in sets],
+        }
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(signed, "doc_id long, n long, h1 long, h2 long, bitmap array<long>")
+    return map_texts(ids_and_texts(docs), "n long, h1 long, h2 long, bitmap array<long>", lambda: signed)
 
 
 def tile_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(key, rep): the tiles of each distinct set, under the smallest id that has it."""
 
-    def tiled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, 256):
-            rows = []
-            for i, text in zip(frame["doc_id"], frame["text"]):
-                s = shingle_set(text, width)
-                keys = tiles_of(s, num, den) if len(s) else s.view(np.int64)
-                if len(keys):
-                    raw = s.tobytes()
-                    rows.append((i, np.uint64(xxhash.xxh64_intdigest(raw, 1)).view(np.int64), np.uint64(xxhash.xxh64_intdigest(raw, 2)).view(np.int64), keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "keys"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(tiled, "doc_id long, h1 long, h2 long, keys array<long>")
+    def tiled(texts: list[str | None]) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        raw = [s.tobytes() for s in sets]
+        return {
+            "h1": [signed64(xxhash.xxh64_intdigest(r, 1)) for r in raw],
+            "h2": [signed64(xxhash.xxh64_intdigest(r, 2)) for r in raw],
+            "keys": [tiles_of(s, num, den) if len(s) else s.view(np.int64) for s in sets],
+        }
+
+    named = ids_and_texts(docs).where("doc_id is not null")
+    found = map_texts(named, "h1 long, h2 long, keys array<long>", lambda: tiled, most=256).where("size(keys) > 0")
     sets = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     return sets.select(F.explode("keys").alias("key"), "rep")
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from foldmill.llm.common import batches
+from foldmill.llm.common import map_texts
 
 #: Base phrases: their words stand consecutively.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -41,7 +40,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for b in range(256))
 
 SCHEMA = (
-    "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<label:string,start:int,stop:int,edits:int>>"
 )
 
@@ -150,13 +149,11 @@ def scan_licenses(
     give repeated results; equal phrases at one place count once for each
     phrase; an empty table gives no rows.
     """
-    schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
-    columns = [x.split(" ")[0] for x in schema.split(", ")]
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     phrases, notices = tuple(phrases), tuple(notices)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, 512):
-            rows = [(i, *scan_text(t, phrases, notices, per_edit)) for i, t in zip(frame["doc_id"], frame["text"])]
-            yield pd.DataFrame(rows, columns=columns).astype({"first_word": "Int64", "last_word": "Int64"})
+    def scan(texts: list[str | None]) -> dict[str, list]:
+        rows = [scan_text(t, phrases, notices, per_edit) for t in texts]
+        return {c: [r[k] for r in rows] for k, c in enumerate(columns)}
 
-    return docs.select("doc_id", "text").mapInPandas(scan, schema)
+    return map_texts(docs, SCHEMA, lambda: scan)

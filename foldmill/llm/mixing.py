@@ -59,54 +59,53 @@ def mix_sources(
     weights: Sequence[int] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = "mix",
+    whole_rows: bool = False,
 ) -> DataFrame:
     """How often the mix takes each document.
 
     ``docs`` needs doc_id, text and source; other columns are not read.  Returns
-    doc_id, source, size, source_size, target, copies and taken (= copies * size).
+    doc_id, source, size, source_size, target, copies and taken (= copies * size);
+    with ``whole_rows`` also ``row``, a struct of all columns of ``docs``.
 
     Within a source every document expects target / source_size copies.  The
-    documents are laid out by size and id, the expected copies are summed along
-    that order, one offset is added, and a document is taken once for each whole
-    number its stretch crosses.  The order by size spreads the draws over all
-    lengths, so the words taken stay near the target.
-
-    A document's place in its source is its row number inside a small cell
-    (source, size class, hash bucket) plus the cells before it, so a source that
-    holds most rows is still spread over many tasks and only cell counts meet.
-
-    Null texts and texts without words have size 0 and are laid out first; a null source is a
-    source of its own; repeated rows are separate documents; an empty table gives
-    no rows; a source without words has target 0 and takes nothing.
+    documents are laid out by size class, hash, size and id, the expected copies
+    are summed along that order, one offset is added, and a document is taken
+    once for each whole number its stretch crosses.  The order by size class spreads the
+    draws over all lengths, so the words taken stay near the target.
+
+    A document's place in its source is its row number inside a cell (source,
+    size class, hash bucket) plus the cells before it, so a source that holds
+    most rows is still spread over many tasks and only cell counts meet.
+
+    Null texts and texts without words have size 0 and are laid out first; a null
+    source is a source of its own; repeated rows are separate documents; an empty
+    table gives no rows; a source without words has target 0 and takes nothing.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return take_copies(sized, weights, max_epochs, seed)
-
-
-def take_copies(sized: DataFrame, weights: Sequence[int], max_epochs: int, seed: str) -> DataFrame:
-    """The copies for ``sized(doc_id, source, size)``; see :func:`mix_sources`."""
-    # One size class to a doubling; a class is split by the hash of the id, 256 ways.
-    band = F.length(F.bin("size"))
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int")
-    cell = sized.withColumn("band", band).withColumn("bucket", bucket)
-    counts = cell.groupBy("source", "band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    targets = source_targets(sizes, weights, max_epochs).select(
-        F.col("source").alias("s"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row)
+    # One size class to a doubling; a class is split by the hash of the id, 256 ways.  The key stands for the source, null too.
+    cell = (
+        sized.withColumn("key", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")))
+        .withColumn("band", F.length(F.bin("size")))
+        .withColumn("bucket", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"))
     )
-    ahead = Window.partitionBy("source").orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("source").alias("s2"), F.col("band").alias("b2"), F.col("bucket").alias("k2"),
-        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"),
-    ).join(targets, F.col("s2").eqNullSafe(F.col("s")))
-    inside = F.row_number().over(Window.partitionBy("source", "band", "bucket").orderBy("size", "doc_id"))
-    place = F.col("start") + F.col("inside")
-    copies = F.floor(F.col("rate") * place + offset) - F.floor(F.col("rate") * (place - 1) + offset)
-    return (
-        cell.withColumn("inside", inside)
-        .join(starts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("band") == F.col("b2")) & (F.col("bucket") == F.col("k2")))
-        .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    counts = cell.groupBy("key", "source", "band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    rated = targets.select(
+        F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("key"), "source_size", "target",
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), start.alias("offset"),
     )
+    ahead = Window.partitionBy("key").orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.select("key", "band", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")).join(rated, "key")
+    inside = F.row_number().over(Window.partitionBy("key", "band", "bucket").orderBy("size", "doc_id"))
+    place = F.col("before") + F.col("inside")
+    copies = F.floor(F.col("rate") * place + F.col("offset")) - F.floor(F.col("rate") * (place - 1) + F.col("offset"))
+    placed = cell.withColumn("inside", inside).join(cells, ["key", "band", "bucket"]).withColumn("copies", copies.cast("long"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if whole_rows else []))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken."""
+    taken = mix_sources(docs, weights, max_epochs, seed, whole_rows=True).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

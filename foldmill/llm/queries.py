@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.llm import jaccard, licenses, mixing, multi_index, token_counts
-from foldmill.llm.common import table
+from foldmill.llm import decontaminate, jaccard, kd_shards, licenses, mixing, multi_index, quality_rules, secrets_crf, token_counts, toxicity
+from foldmill.llm.common import crc_mod, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,39 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_multi_index_search, op6_jaccard_join, op7_token_counts)}
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_rules.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return quality_rules.score_quality(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets_crf.scan_secrets(docs, secrets_crf.train(docs)).drop("found")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
+    return toxicity.score_toxicity(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_license_scan, op3_multi_index_search, op4_benchmark_leaks, op5_quality_rules,
+        op6_jaccard_join, op7_token_counts, op8_secret_scan, op9_toxicity, op10_kd_shards,
+    )
+}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""

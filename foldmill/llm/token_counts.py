@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import batches
+from foldmill.llm.common import map_texts
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -118,7 +116,7 @@ class PieceMerger:
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text."""
         split = [self.segments(t) for t in texts]
-        fresh = list({w for words in split for w in words} - self.kept.keys())
+        fresh = list({w for words in split for w in words if w not in self.kept})
         if len(self.kept) + len(fresh) > KEPT_WORDS:
             self.kept.clear()
             fresh = list({w for words in split for w in words})
@@ -166,12 +164,10 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     results; an empty table gives no rows.  The vocabulary file is read on each
     worker from a path that all have.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, 256):
-            texts = [t or "" for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_bytes": frame["n_bytes"].to_numpy(), "n_tokens": merger(model_file).texts(texts)})
+    def start():
+        counter = merger(model_file)
+        return lambda texts: {"n_tokens": counter.texts([t or "" for t in texts])}
 
     sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sized.mapInPandas(counted, f"doc_id {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = map_texts(sized, "n_tokens long", start, keep=("doc_id", "n_bytes"), most=256)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
