@@ -1,31 +1,392 @@
-"""The registered queries over the driver's tables and the SQL that says the same."""
+"""The registered queries over the driver's tables and the SQL that says the same.
+
+The tables play roles: documents are reports, embeddings are image vectors,
+lineitem and events are rows of groups.  Pairing documents with embeddings by
+number is an invention for the sake of a join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from foldmill.functions import text as tx
+from foldmill.functions import vectors as vec
+from foldmill.operators import align, encoders, folds, manifest, metrics, ml, pooling, similarity, stats
+
+#: 0.975 quantile of Student's t with 4 degrees of freedom, for the SQL.
+T_4 = "2.7764451051977987"
+#: Rules of the clean-up query: they hit the driver's texts and mean the same in both regular-expression dialects.
+RULES = (r"licen[cs]ed under[^.]*", r"password[=: ]+[a-z0-9]*", r"[0-9]+(\.[0-9]+)*", r"!{2,}", r"[#$%&*]{3}", r"(stupid|idiot|loser)")
+LANGS = ("de", "en", "es", "fr")
+LABELS = tuple(range(10))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patient_id"), "lang")
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("patient_id"), "label")
+    return align.align(images, texts)
+
+
+def folded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.stratified_folds(table(spark, sf_dir, "embeddings"), "vec_id", "label")
+
+
+def predictions(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """Leave-one-out predictions of the vectors with their folds."""
+    rows = folded_vectors(spark, sf_dir)
+    pred = similarity.knn_predictions(rows, "vec_id", "embedding", "label", k)
+    return pred.join(rows.select("vec_id", "fold"), "vec_id")
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
 def align_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined with embeddings (an invented pairing by id), folded, counted by fold and class."""
-    text = table(spark, sf_dir, "documents").select(F.trim(F.col("doc_id").cast("string")).alias("id"), "lang")
-    image = table(spark, sf_dir, "embeddings").select(F.trim(F.col("vec_id").cast("string")).alias("id"))
-    order = Window.partitionBy("lang").orderBy(F.md5(F.concat("id", F.lit("_42"))), "id")
-    folded = image.join(text, "id").withColumn("fold", ((F.row_number().over(order) - 1) % 5).cast("int"))
-    return folded.groupBy("fold", "lang").agg(F.count("*").alias("n"))
+    """Two modalities joined by key, folded within class, counted by fold and class."""
+    rows = folds.stratified_folds(aligned(spark, sf_dir), "patient_id", "lang")
+    return rows.groupBy("fold", "lang").agg(F.count("*").alias("n"))
+
+
+def group_majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.majority_label(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.group_folds(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each class in each fold, when groups are folded by their class profiles."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    placed = folds.balanced_group_folds(rows, "l_orderkey", "l_returnflag")
+    return folds.assign_folds(rows, placed, "l_orderkey").groupBy("fold", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, groups and groups in several folds, by fold."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    placed = folds.assign_folds(rows, folds.group_folds(rows, "l_orderkey", "l_returnflag"), "l_orderkey")
+    leaks = folds.leaking_groups(placed, "l_orderkey").select("l_orderkey", F.lit(1).alias("leak"))
+    by_group = placed.groupBy("fold", "l_orderkey").agg(F.count("*").alias("n")).join(leaks, "l_orderkey", "left")
+    return by_group.groupBy("fold").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count("leak").alias("n_leaking"))
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folds.stratified_folds(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
+    return folds.split_table(rows).select("doc_id", "test_fold", "split")
+
+
+def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.class_stats(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+def overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.overall_stats(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+def folded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type")
+    return folds.assign_folds(rows, folds.group_folds(rows, "user_id", "event_type"), "user_id")
+
+
+def fold_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.fold_class_counts(folded_events(spark, sf_dir), "user_id", "event_type")
+
+
+def multiclass_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.groups_of_several_classes(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+def label_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.frequencies(table(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R", "X"])
+
+
+def vector_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = pooling.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return rounded(pooled.select("label", "n_rows", F.posexplode("embedding").alias("pos", "value")), 6, "value")
+
+
+def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as four tokens of 16 numbers, every third token masked."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, 16))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.col("vec_id") + i) % 3 > 0).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.masked_mean(tokens, mask)).alias("pos", "value"))
+    return rounded(rows, 6, "value")
+
+
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    scaled = vec.min_max(vec.doubles(e))
+    weights = vec.softmax(vec.doubles(e))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vec.norm(e).alias("norm"), vec.argmax(e).alias("argmax"), vec.total(scaled).alias("scaled_sum"), F.array_max(weights).alias("top_weight"), vec.cosine(e, F.reverse(e)).alias("with_reverse"))
+    return rounded(rows, 6, "norm", "scaled_sum", "top_weight", "with_reverse")
+
+
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_terms(F.col("text"), RULES).alias("cleaned"))
+
+
+def text_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.length_stats(table(spark, sf_dir, "documents"), "text", ["lang"]), 6, "mean", "std")
+
+
+def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields joined, one of them sometimes missing, and the parts of a composite key."""
+    docs = table(spark, sf_dir, "documents")
+    second = F.when(F.col("doc_id") % 3 > 0, F.col("source"))
+    key = tx.composite_key(F.col("source"), F.col("lang"))
+    return docs.select("doc_id", tx.join_fields(F.col("lang"), second, sep=" / ").alias("joined"), key.alias("key"), tx.key_part(key, 1).alias("part"), tx.first_token(F.col("text")).alias("first"))
+
+
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as codes in alphabetical order, and as indicators."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    codes = docs.select("lang").distinct().withColumn("code", F.row_number().over(Window.orderBy("lang")) - 1)  # a row a class
+    hot = vec.one_hot(F.col("code"), len(LANGS))
+    return docs.join(codes, "lang").select("doc_id", "lang", "code", *[F.get(hot, F.lit(k)).alias(f"is_{name}") for k, name in enumerate(LANGS)])
+
+
+def class_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.class_cohesion(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    return rounded(found, 8, *found.columns)
+
+
+def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similarity.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return rounded(near, 6, "similarity")
+
+
+def knn_loo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(spark, sf_dir).select("vec_id", "fold", "y_true", "y_pred")
+
+
+def knn_loo_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred = predictions(spark, sf_dir)
+    return pred.agg(F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 9).alias("accuracy"), F.round(1.0 / F.countDistinct("y_true"), 9).alias("chance"))
+
+
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.permutation_test(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select("perm", "n_correct")
+
+
+def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.permutation_p(similarity.permutation_test(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
+    return rounded(found, 9, *found.columns)
+
+
+def fold_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(predictions(spark, sf_dir), LABELS, ["fold"])
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_confusion(spark, sf_dir)
+
+
+def confusion_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.normalised(metrics.summed(fold_confusion(spark, sf_dir))), 9, "share")
+
+
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.class_scores(fold_confusion(spark, sf_dir), ["fold"]).drop("hit", "called")
+    return rounded(found, 9, "precision", "recall", "f1")
+
+
+def scalar_metrics_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.scalar_scores(fold_confusion(spark, sf_dir), ["fold"])
+    return rounded(found, 9, "accuracy", "balanced_accuracy", "kappa", "macro_f1")
+
+
+def fold_summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = metrics.scalar_scores(fold_confusion(spark, sf_dir), ["fold"])
+    found = stats.fold_summary(metrics.long_format(wide, ["fold"], ["accuracy", "balanced_accuracy", "kappa", "macro_f1"]), ["metric"])
+    return rounded(found, 7, "mean", "std", "ci_lo", "ci_hi")
+
+
+def paired_t_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by fold of five neighbours against one."""
+    parts = None
+    for k in (1, 5):
+        wide = metrics.scalar_scores(metrics.confusion(predictions(spark, sf_dir, k), LABELS, ["fold"]), ["fold"])
+        part = metrics.long_format(wide, ["fold"], ["accuracy"]).withColumn("model", F.lit(f"k{k}"))
+        parts = part if parts is None else parts.unionByName(part)
+    found = stats.paired_t(parts, "k5", "k1").drop("p")
+    return rounded(found, 7, "delta", "ci_lo", "ci_hi", "t")
+
+
+def spearman_length_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.spearman(labelled_documents(spark, sf_dir), "n_chars", "quality").drop("p"), 9, "rho")
+
+
+def roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text length as a score for each language against the rest."""
+    docs = table(spark, sf_dir, "documents").select(F.col("n_chars").cast("double").alias("n"), "lang")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), (F.col("lang") == c).cast("int").alias("positive")) for c in LANGS]))
+    rows = docs.withColumn("c", pairs).select("c.class", F.col("n").alias("score"), "c.positive")
+    return rounded(metrics.roc_auc(rows, ["class"]), 9, "auc")
+
+
+def roc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_documents(spark, sf_dir).select("lang", F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("positive"))
+
+
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.roc_points(roc_rows(spark, sf_dir), ["lang"]), 9, "fpr", "tpr")
+
+
+def mean_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = metrics.mean_roc(metrics.roc_points(roc_rows(spark, sf_dir), ["lang"]), [], "lang")
+    return rounded(curve.select("step", "mean_tpr", "std_tpr", "n_curves"), 8, "mean_tpr", "std_tpr")
+
+
+def class_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return manifest.sample_per_class(docs, "doc_id", "lang", 20).select("doc_id", "lang", "number")
+
+
+def row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)
+
+
+def topk_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return manifest.largest_per_class(docs, "doc_id", "lang", "n_chars", 10)
+
+
+def incremental_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return manifest.pending(docs, table(spark, sf_dir, "labels"), "doc_id")
+
+
+def text_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoders.hashed_text(table(spark, sf_dir, "documents"), "text", "features", 64)
+    return found.select("doc_id", "features")
+
+
+def two_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors cut in halves that stand for two modalities, folded."""
+    rows = folded_vectors(spark, sf_dir)
+    return rows.select("vec_id", "label", "fold", F.slice("embedding", 1, 32).alias("image"), F.slice("embedding", 33, 32).alias("report"))
+
+
+def scaler_pca_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of both modalities, fitted on all folds but the first."""
+    rows = two_modalities(spark, sf_dir)
+    return ml.fuse(rows.where("fold <> 0"), rows, ["image", "report"]).select("vec_id", "fold", "fused")
+
+
+def nested_cv_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folds of nested cross-validation over two costs; the operator's defaults take five and five."""
+    rows = two_modalities(spark, sf_dir).withColumn("fold", F.col("fold") % 2)
+    return ml.nested_cv(rows, "vec_id", ["image", "report"], "label", LABELS, n_folds=2, costs=(0.01, 1.0), inner=2).select("fold", "row_id", "y_true", "y_pred", "cost")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        align_fold_summary, group_majority_label, stratified_group_folds, balanced_group_folds, leakage_check, split_table, manifest_stats,
+        overall_stats, fold_class_counts, multiclass_groups, label_frequencies, vector_mean_pool, masked_mean, vector_functions, text_clean,
+        text_length_stats, report_fields, label_encode, class_cohesion, knn_neighbours, knn_loo_predictions, knn_loo_accuracy,
+        permutation_test, permutation_p, confusion_matrix, confusion_normalised, class_report, scalar_metrics_by_fold, fold_summary_ci,
+        paired_t_models, spearman_length_label, roc_auc_ovr, roc_points, mean_roc, class_sample, row_sample, topk_per_class,
+        incremental_pending, text_encoder, scaler_pca_fusion, nested_cv_logreg,
+    )
+}
+
+
+def _sql(body: str, *parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
+
+
+def _fold(key: str, label: str, n: int = 5) -> str:
+    return f"CAST((row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({key} AS VARCHAR) || '_42'), {key}) - 1) % {n} AS INT)"
+
+
+_MAJORITY = "major AS (SELECT l_orderkey, l_returnflag FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY l_orderkey, l_returnflag) WHERE r = 1)"
+_ORDER_FOLDS = f"placed AS (SELECT l_orderkey, l_returnflag, {_fold('l_orderkey', 'l_returnflag')} AS fold FROM major)"
+_EVENT_FOLDS = f"major AS (SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1), placed AS (SELECT user_id, {_fold('user_id', 'event_type')} AS fold FROM major), rows AS (SELECT e.user_id, e.event_type, fold FROM events e JOIN placed USING (user_id))"
+_E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+_FOLDED = f"folded AS (SELECT vec_id, {_fold('vec_id', 'label')} AS fold FROM embeddings)"
+
+
+def _near(k: int = 5) -> str:
+    sim = "round(list_cosine_similarity(a.v, b.v), 9)"
+    return f"near AS (SELECT * FROM (SELECT a.vec_id, b.vec_id AS neighbour, b.label AS nl, {sim} AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim} DESC, b.vec_id) AS INT) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rank <= {k})"
 
 
-QUERIES = {"align_fold_summary": align_fold_summary}
+_PRED = "pred AS (SELECT p.vec_id, fold, e.label AS y_true, p.nl AS y_pred FROM (SELECT vec_id, nl, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, nl) AS r FROM near GROUP BY vec_id, nl) p JOIN e USING (vec_id) JOIN folded USING (vec_id) WHERE r = 1)"
+_KNN = (_E, _FOLDED, _near(), _PRED)
+_GRID = "conf AS (SELECT f.fold, CAST(t.i AS INT) AS y_true, CAST(q.i AS INT) AS y_pred, count(p.vec_id) AS n FROM (SELECT DISTINCT fold FROM pred) f CROSS JOIN range(10) t(i) CROSS JOIN range(10) q(i) LEFT JOIN pred p ON p.fold = f.fold AND p.y_true = t.i AND p.y_pred = q.i GROUP BY f.fold, t.i, q.i)"
+_SCORES = """scores AS (SELECT r.fold, r.class, support, hit, called, CASE WHEN called = 0 THEN 0 ELSE hit / CAST(called AS DOUBLE) END AS precision, CASE WHEN support = 0 THEN 0 ELSE hit / CAST(support AS DOUBLE) END AS recall, CASE WHEN support + called = 0 THEN 0 ELSE 2 * hit / CAST(support + called AS DOUBLE) END AS f1
+  FROM (SELECT fold, y_true AS class, CAST(sum(n) AS BIGINT) AS support, CAST(sum(n) FILTER (WHERE y_true = y_pred) AS BIGINT) AS hit FROM conf GROUP BY fold, y_true) r
+  JOIN (SELECT fold, y_pred AS class, CAST(sum(n) AS BIGINT) AS called FROM conf GROUP BY fold, y_pred) c ON r.fold = c.fold AND r.class = c.class)"""
+_SCALARS = """scalars AS (SELECT fold, n, accuracy, balanced_accuracy, (accuracy - pe) / nullif(1 - pe, 0) AS kappa, macro_f1 FROM (
+  SELECT fold, CAST(sum(support) AS BIGINT) AS n, sum(hit) / CAST(sum(support) AS DOUBLE) AS accuracy, avg(recall) FILTER (WHERE support > 0) AS balanced_accuracy, sum(support * called) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, avg(f1) AS macro_f1 FROM scores GROUP BY fold))"""
+_LABELLED = "rows AS (SELECT d.doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS positive FROM documents d JOIN labels l USING (doc_id))"
+_ROC = """counts AS (SELECT lang, score, sum(positive) AS p, sum(1 - positive) AS q FROM rows WHERE score IS NOT NULL GROUP BY lang, score),
+totals AS (SELECT lang, sum(p) AS all_p, sum(q) AS all_q FROM counts GROUP BY lang HAVING sum(p) > 0 AND sum(q) > 0),
+points AS (SELECT c.lang, c.score, CAST(sum(q) OVER w AS DOUBLE) / all_q AS fpr, CAST(sum(p) OVER w AS DOUBLE) / all_p AS tpr FROM counts c JOIN totals t ON c.lang = t.lang WINDOW w AS (PARTITION BY c.lang ORDER BY c.score DESC)
+  UNION ALL SELECT lang, NULL, 0.0, 0.0 FROM totals)"""
+_PLACES = "placed AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)"
+_PERMS = f"""{_PLACES},
+perms AS (SELECT CAST(r.i AS INT) AS perm, vec_id, row_number() OVER (PARTITION BY r.i ORDER BY md5(CAST(vec_id AS VARCHAR) || '_' || CAST(r.i AS VARCHAR)), vec_id) AS place FROM embeddings CROSS JOIN range(100) r(i)),
+lab AS (SELECT m.perm, m.vec_id, p.label FROM perms m JOIN placed p USING (place) UNION ALL SELECT -1, vec_id, label FROM embeddings),
+best AS (SELECT perm, vec_id, label AS y_pred FROM (SELECT l.perm, near.vec_id, l.label, row_number() OVER (PARTITION BY l.perm, near.vec_id ORDER BY count(*) DESC, l.label) AS r FROM near JOIN lab l ON l.vec_id = near.neighbour GROUP BY l.perm, near.vec_id, l.label) WHERE r = 1),
+hits AS (SELECT b.perm, CAST(sum(CASE WHEN b.y_pred = l.label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, count(*) AS n FROM best b JOIN lab l ON l.perm = b.perm AND l.vec_id = b.vec_id GROUP BY b.perm)"""
+_CLEAN = "coalesce(text, '')"
+for _rule in RULES:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_rule}', '', 'gi')"
 
 ORACLE_SQL = {
-    "align_fold_summary": """
-SELECT fold, lang, count(*) AS n FROM (
-  SELECT lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '_42'), CAST(doc_id AS VARCHAR)) - 1) % 5 AS INT) AS fold
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
-) GROUP BY fold, lang""",
+    "align_fold_summary": f"SELECT fold, lang, count(*) AS n FROM (SELECT lang, {_fold('CAST(doc_id AS VARCHAR)', 'lang')} AS fold FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id) GROUP BY fold, lang",
+    "group_majority_label": _sql("SELECT * FROM major", _MAJORITY),
+    "stratified_group_folds": _sql("SELECT * FROM placed", _MAJORITY, _ORDER_FOLDS),
+    "leakage_check": _sql("SELECT fold, CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT l_orderkey) AS n_groups, CAST(0 AS BIGINT) AS n_leaking FROM lineitem JOIN placed USING (l_orderkey) GROUP BY fold", _MAJORITY, _ORDER_FOLDS),
+    "split_table": f"SELECT doc_id, CAST(t.i AS INT) AS test_fold, CASE WHEN fold = t.i THEN 'test' WHEN fold = (t.i + 1) % 5 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, {_fold('doc_id', 'lang')} AS fold FROM documents) CROSS JOIN range(5) t(i)",
+    "manifest_stats": "SELECT event_type, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median_size FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
+    "overall_stats": "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_groups, count(DISTINCT event_type) AS n_classes FROM events",
+    "fold_class_counts": _sql("SELECT fold, event_type AS class, count(*) AS n_rows, count(DISTINCT user_id) AS n_groups FROM rows GROUP BY fold, event_type UNION ALL SELECT fold, NULL, count(*), count(DISTINCT user_id) FROM rows GROUP BY fold", _EVENT_FOLDS),
+    "multiclass_groups": "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_classes, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS classes FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
+    "label_frequencies": "SELECT v.value, count(l_orderkey) AS n FROM (VALUES ('A'), ('N'), ('R'), ('X')) v(value) LEFT JOIN lineitem ON l_returnflag = v.value GROUP BY v.value",
+    "vector_mean_pool": "SELECT label, n_rows, pos, round(value, 6) AS value FROM (SELECT label, CAST(i - 1 AS INT) AS pos, count(*) AS n_rows, avg(CAST(embedding[i] AS DOUBLE)) AS value FROM embeddings CROSS JOIN range(1, 65) t(i) GROUP BY label, i)",
+    "masked_mean": "SELECT vec_id, CAST(p.i AS INT) AS pos, round(sum(CASE WHEN (vec_id + t.i) % 3 > 0 THEN CAST(embedding[t.i * 16 + p.i + 1] AS DOUBLE) ELSE 0 END) / greatest(sum(CASE WHEN (vec_id + t.i) % 3 > 0 THEN 1 ELSE 0 END), 1e-9), 6) AS value FROM embeddings CROSS JOIN range(4) t(i) CROSS JOIN range(16) p(i) GROUP BY vec_id, p.i",
+    "vector_functions": "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, CAST(list_position(v, list_max(v)) - 1 AS INT) AS argmax, round(list_sum(list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v)))), 6) AS scaled_sum, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS top_weight, round(list_cosine_similarity(v, list_reverse(v)), 6) AS with_reverse FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+    "text_clean": rf"SELECT doc_id, trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g')) AS cleaned FROM documents",
+    "text_length_stats": "SELECT lang, count(*) AS n, count(*) FILTER (WHERE coalesce(length(text), 0) = 0) AS n_empty, round(avg(coalesce(length(text), 0)), 6) AS mean, round(stddev_pop(coalesce(length(text), 0)), 6) AS std, CAST(min(coalesce(length(text), 0)) AS INT) AS min, CAST(max(coalesce(length(text), 0)) AS INT) AS max FROM documents GROUP BY lang",
+    "report_fields": r"SELECT doc_id, concat_ws(' / ', lang, CASE WHEN doc_id % 3 > 0 THEN source END) AS joined, source || '__' || lang AS key, lang AS part, regexp_extract(text, '\S+') AS first FROM documents",
+    "label_encode": "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INT) AS code, " + ", ".join(f"CAST(lang = '{x}' AS INT) AS is_{x}" for x in LANGS) + " FROM documents",
+    "class_cohesion": _sql("SELECT " + ", ".join(f"round({f}, 8) AS {n}" for n, f in (("within_mean", "avg(s) FILTER (WHERE same)"), ("within_std", "stddev_pop(s) FILTER (WHERE same)"), ("between_mean", "avg(s) FILTER (WHERE NOT same)"), ("between_std", "stddev_pop(s) FILTER (WHERE NOT same)"), ("gap", "avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same)"))) + " FROM (SELECT a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)", _E),
+    "knn_neighbours": _sql("SELECT vec_id, rank, neighbour, round(similarity, 6) AS similarity FROM near", _E, _near()),
+    "knn_loo_predictions": _sql("SELECT vec_id, fold, y_true, y_pred FROM pred", *_KNN),
+    "knn_loo_accuracy": _sql("SELECT round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, round(1.0 / count(DISTINCT y_true), 9) AS chance FROM pred", *_KNN),
+    "permutation_test": _sql("SELECT perm, n_correct FROM hits", _E, _near(), _PERMS),
+    "permutation_p": _sql("SELECT round(max(o.a), 9) AS observed, round(avg(CAST(n_correct AS DOUBLE) / n), 9) AS mean_shuffled, round(avg(CASE WHEN CAST(n_correct AS DOUBLE) / n >= o.a THEN 1.0 ELSE 0.0 END), 9) AS p FROM hits CROSS JOIN (SELECT CAST(n_correct AS DOUBLE) / n AS a FROM hits WHERE perm = -1) o WHERE perm >= 0", _E, _near(), _PERMS),
+    "confusion_matrix": _sql("SELECT * FROM conf", *_KNN, _GRID),
+    "confusion_normalised": _sql("SELECT y_true, y_pred, n, round(n / (sum(n) OVER (PARTITION BY y_true) + 1e-9), 9) AS share FROM (SELECT y_true, y_pred, CAST(sum(n) AS BIGINT) AS n FROM conf GROUP BY y_true, y_pred)", *_KNN, _GRID),
+    "class_report": _sql("SELECT fold, class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM scores", *_KNN, _GRID, _SCORES),
+    "scalar_metrics_by_fold": _sql("SELECT fold, n, round(accuracy, 9) AS accuracy, round(balanced_accuracy, 9) AS balanced_accuracy, round(kappa, 9) AS kappa, round(macro_f1, 9) AS macro_f1 FROM scalars", *_KNN, _GRID, _SCORES, _SCALARS),
+    "fold_summary_ci": _sql(f"SELECT metric, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, round(avg(value) - {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_lo, round(avg(value) + {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_hi FROM (SELECT fold, unnest(['accuracy', 'balanced_accuracy', 'kappa', 'macro_f1']) AS metric, unnest([accuracy, balanced_accuracy, kappa, macro_f1]) AS value FROM scalars) GROUP BY metric", *_KNN, _GRID, _SCORES, _SCALARS),
+    "paired_t_models": _sql(f"SELECT 'accuracy' AS metric, count(*) AS n, round(avg(d), 7) AS delta, round(avg(d) - {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_lo, round(avg(d) + {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_hi, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 7) AS t FROM (SELECT fold, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN y_true = one.nl THEN 1.0 ELSE 0.0 END) AS d FROM pred JOIN (SELECT vec_id, nl FROM near WHERE rank = 1) one USING (vec_id) GROUP BY fold)", *_KNN),
+    "spearman_length_label": _sql("SELECT count(*) AS n, round(corr(ra, rb), 9) AS rho FROM (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ra, rank() OVER (ORDER BY positive) + (count(*) OVER (PARTITION BY positive) - 1) / 2.0 AS rb FROM rows WHERE score IS NOT NULL AND positive IS NOT NULL)", _LABELLED),
+    "roc_auc_ovr": "SELECT class, CAST(sum(p) AS BIGINT) AS n_pos, CAST(count(*) - sum(p) AS BIGINT) AS n_neg, round((sum(r) FILTER (WHERE p = 1) - sum(p) * (sum(p) + 1) / 2.0) / nullif(CAST(sum(p) AS DOUBLE) * (count(*) - sum(p)), 0), 9) AS auc FROM (SELECT c.class, CASE WHEN lang = c.class THEN 1 ELSE 0 END AS p, rank() OVER (PARTITION BY c.class ORDER BY n_chars) + (count(*) OVER (PARTITION BY c.class, n_chars) - 1) / 2.0 AS r FROM documents CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) c(class)) GROUP BY class",
+    "roc_points": _sql("SELECT lang, score, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM points", _LABELLED, _ROC),
+    "mean_roc": _sql("""SELECT CAST(step AS INT) AS step, round(CASE WHEN step = 99 THEN 1.0 ELSE avg(tpr) END, 8) AS mean_tpr, round(stddev_pop(tpr), 8) AS std_tpr, count(*) AS n_curves FROM (
+  SELECT g.i AS step, s.lang, CASE WHEN g.i = 0 THEN 0.0 WHEN next_fpr IS NULL THEN hi ELSE hi + (next_lo - hi) * (g.i / 99.0 - fpr) / (next_fpr - fpr) END AS tpr
+  FROM (SELECT *, lead(fpr) OVER (PARTITION BY lang ORDER BY fpr) AS next_fpr, lead(lo) OVER (PARTITION BY lang ORDER BY fpr) AS next_lo FROM (SELECT lang, fpr, min(tpr) AS lo, max(tpr) AS hi FROM points GROUP BY lang, fpr)) s
+  JOIN range(100) g(i) ON g.i >= fpr * 99 - 1e-12 AND (next_fpr IS NULL OR g.i < next_fpr * 99 - 1e-12)) GROUP BY step""", _LABELLED, _ROC),
+    "class_sample": "SELECT doc_id, lang, number FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '_42'), doc_id) AS number FROM documents) WHERE number <= 20",
+    "row_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '_42'), doc_id LIMIT 50",
+    "topk_per_class": "SELECT * FROM (SELECT doc_id, lang, n_chars, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents) WHERE rank <= 10",
+    "incremental_pending": "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 }

@@ -1 +1 @@
-
+"""The reference has no streams; work that is already done is left out by an anti join (``operators.manifest.pending``)."""
