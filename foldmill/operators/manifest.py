@@ -35,7 +35,7 @@ def fold_class_counts(df: DataFrame, group: str, label: str) -> DataFrame:
 
 def fold_class_table(df: DataFrame, group: str, label: str, classes: list[str]) -> DataFrame:
     """The same as a wide table with a column pair for each class; absent pairs are 0."""
-    return df.groupBy("fold").pivot(label, classes).agg(F.count("*").alias("rows"), F.countDistinct(group).alias("groups")).na.fill(0)
+    return df.groupBy("fold").pivot(label, classes).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups")).na.fill(0)
 
 
 def frequencies(df: DataFrame, column: str, values: list[str] | None = None) -> DataFrame:

@@ -106,9 +106,9 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, height, width, nChannels, data); an unreadable file has height -1."""
+    """(origin, height, width, nChannels, data) of the image files; an unreadable one has height -1."""
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select("image.*")
-    return images.withColumn("origin", plain_path(F.col("origin")))
+    return images.withColumn("origin", plain_path(F.col("origin"))).where(extension(F.col("origin")).isin(*EXTENSIONS))
 
 
 def find_checkpoint(spark: SparkSession, folder: str, preferred: Sequence[str] = ("checkpoint-best.pth", "checkpoint-last.pth")) -> str:
