@@ -18,35 +18,36 @@ PENALTY, ROUNDS = 5e-4, 600
 CUT_OFF = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, as columns; all defined (0 at worst) for empty texts.
+#: What is counted in a text, each in one pass of a pattern.
+COUNTED = {
+    "words": r"[^\x20\x09-\x0D]+",
+    "symbols": r"[#$%&*|<>{}\[\]~^_=+\\/@`]",
+    "bars": r"\|",
+    "exclamations": r"[!?]",
+    "digits": r"[0-9]",
+    "sentence_ends": r"\.",
+    "commas": r"[,;:]",
+    "line_ends": r"\n",
+    "capitals": r"\p{Lu}",
+    "repeats": r"(?<![^\s])(\S+)(?= \1(?:\s|$))",
+    "marked_words": r"[#$%&*]{2,}|!{2,}",
+}
 
-    All are counts of one pass of a pattern over the text, or lengths, so they
-    stay in the JVM and need no array of the words.
-    """
-    n = F.char_length(text).cast("double")
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("double")
-
-    def per_word(pattern: str) -> Column:
-        return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), words), F.lit(0.0))
-
-    def per_char(pattern: str) -> Column:
-        return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), n), F.lit(0.0))
-
-    return {
-        "words": words,
-        "word_length": F.coalesce(F.try_divide(n, words), F.lit(0.0)),
-        "symbols": per_char(r"[#$%&*|<>{}\[\]~^_=+\\/@`]"),
-        "bars": per_char(r"\|"),
-        "exclamations": per_char(r"[!?]"),
-        "digits": per_char(r"[0-9]"),
-        "sentence_ends": per_char(r"\."),
-        "commas": per_char(r"[,;:]"),
-        "line_ends": per_char(r"\n"),
-        "capitals": per_char(r"\p{Lu}"),
-        "repeats": per_word(r"(?<![^\s])(\S+)(?= \1(?:\s|$))"),
-        "marked_words": per_word(r"[#$%&*]{2,}|!{2,}"),
-    }
+
+def counts(text: Column) -> dict[str, Column]:
+    """Counts of a whole text; they stay in the JVM and need no array of the words."""
+    return {"chars": F.char_length(text)} | {name: F.regexp_count(text, F.lit(p)) for name, p in COUNTED.items()}
+
+
+def statistics(of: dict[str, Column]) -> dict[str, Column]:
+    """Statistics from the counts: the number of words, and shares of the words or characters, 0 where there are none."""
+
+    def share(x: Column, n: Column) -> Column:
+        return F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0))
+
+    by_word = {"repeats", "marked_words"}
+    out = {"words": of["words"].cast("double"), "word_length": share(of["chars"], of["words"])}
+    return out | {n: share(of[n], of["words" if n in by_word else "chars"]) for n in COUNTED if n != "words"}
 
 
 @dataclass(frozen=True)
@@ -161,20 +162,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_rows rows at most
-    stats = statistics(F.col("text"))
-    rows = texts.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).toPandas()
-    rows = rows.sort_values(["doc_id", *stats]).reset_index(drop=True)
-    return fit_rules(rows[list(stats)].to_numpy(float), rows["y"].to_numpy(float), list(stats))
+    rows = counted(texts).toPandas()
+    names = list(statistics({n: F.lit(0) for n in ["chars", *COUNTED]}))
+    rows = rows.sort_values(["doc_id", *names]).reset_index(drop=True)
+    return fit_rules(rows[names].to_numpy(float), rows["y"].to_numpy(float), names)
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """doc_id, y and the statistics of ``texts``.
+
+    The counts come out of a generator of one row each, which neither a
+    projection nor a filter is moved through: each pattern runs once a text.
+    """
+    row = F.struct(*[c.alias(f"count {n}") for n, c in counts(F.coalesce(F.col("text"), F.lit(""))).items()])
+    own = [F.col(f"`{c}`") for c in texts.columns]
+    measured = texts.select(*own, F.inline(F.array(row)))
+    stats = statistics({n: F.col(f"`count {n}`") for n in ["chars", *COUNTED]})
+    return measured.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()])
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with the column "rule score"; statistics are columns of their own first, so each is computed once."""
-    names = list(statistics(F.col("text")))
-    used = sorted({name for rule, _ in model.rules for name, _, _ in rule}, key=names.index)
-    stats = statistics(F.coalesce(F.col("text"), F.lit("")))
+    """``docs`` with the column "rule score"; only what the rules ask for is counted, each once a text (see :func:`counted`)."""
+    used = {name for rule, _ in model.rules for name, _, _ in rule}
+    needed = {"chars", "words"} | (used & COUNTED.keys())
     own = [F.col(f"`{c}`") for c in docs.columns]
-    measured = docs.select(*own, *[stats[n].alias(f"rule {n}") for n in used])
-    return measured.select(*own, model.score({n: F.col(f"`rule {n}`") for n in used}).alias("rule score"))
+    row = F.struct(*[c.alias(f"count {n}") for n, c in counts(F.coalesce(F.col("text"), F.lit(""))).items() if n in needed])
+    measured = docs.select(*own, F.inline(F.array(row)))
+    of = statistics({n: F.col(f"`count {n}`") if n in needed else F.lit(0) for n in ["chars", *COUNTED]})
+    return measured.select(*own, model.score(of).alias("rule score"))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, cut_off: float = CUT_OFF) -> DataFrame:
