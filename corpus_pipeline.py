@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldmill.llm import decontaminate, jaccard, kd_shards, mixing, quality_rules
-from foldmill.llm.common import materialise, table
+from foldmill.llm.common import materialise, table, unused
 
 SHARDS = 40
 
@@ -23,11 +23,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that share an id one stays; rows without an id all stay.
     """
     groups = jaccard.jaccard_components(docs, width=5, num=80, den=100)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
+    kept_id, place = unused("kept id", docs), unused("place", docs)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     own = [F.col(f"`{c}`") for c in docs.columns]
-    one = Window.partitionBy("kept id").orderBy("text", "source", "lang")
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("kept id"))
-    kept = kept.withColumn("row of id", F.row_number().over(one)).where(F.col("row of id") == 1).select(*own)
+    one = Window.partitionBy(kept_id).orderBy("text", "source", "lang")
+    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col(f"`{kept_id}`"))
+    kept = kept.withColumn(place, F.row_number().over(one)).where(F.col(f"`{place}`") == 1).select(*own)
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 
 

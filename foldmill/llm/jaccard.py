@@ -276,7 +276,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         links = new if links is None else links.unionAll(new)
         comp = materialise(met.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
     of_set = nodes.select("h1", "h2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
-    # Alone: no words, or no id.  The join is by set, after the sets were made distinct.
+    # Alone: no words, or no id.  A set that many documents have is one row on the other side.
+    of_set = materialise(of_set, "of-set")
     return members.join(of_set, ["h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id")).alias("component_id"),

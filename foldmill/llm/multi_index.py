@@ -17,7 +17,7 @@ FIT_ROWS = 20_000
 #: Centroids of each half.
 CENTROIDS = 32
 #: Share of all entries a query reranks, and how many at least.
-SHARE, LEAST = 0.5, 500
+SHARE, LEAST = 0.6, 1000
 #: Queries that one pass over the index answers; they are broadcast.
 BLOCK = 4096
 

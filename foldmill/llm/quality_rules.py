@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmill.llm.common import unused
+
 #: Labelled rows the rules are fitted on, at most: those whose ids hash smallest.
 FIT_ROWS = 20_000
 #: Trees, their depth, the candidate cuts of a statistic, and the fewest rows of a leaf.
@@ -181,15 +183,16 @@ def counted(texts: DataFrame) -> DataFrame:
     return measured.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()])
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with the column "rule score"; only what the rules ask for is counted, each once a text (see :func:`counted`)."""
+def scored(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
+    """``docs`` with the score; only what the rules ask for is counted, each once a text (see :func:`counted`)."""
     used = {name for rule, _ in model.rules for name, _, _ in rule}
     needed = {"chars", "words"} | (used & COUNTED.keys())
     own = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(*[c.alias(f"count {n}") for n, c in counts(F.coalesce(F.col("text"), F.lit(""))).items() if n in needed])
+    inner = {n: unused(f"count {n}", docs) for n in needed}
+    row = F.struct(*[c.alias(inner[n]) for n, c in counts(F.coalesce(F.col("text"), F.lit(""))).items() if n in needed])
     measured = docs.select(*own, F.inline(F.array(row)))
-    of = statistics({n: F.col(f"`count {n}`") if n in needed else F.lit(0) for n in ["chars", *COUNTED]})
-    return measured.select(*own, model.score(of).alias("rule score"))
+    of = statistics({n: F.col(f"`{inner[n]}`") if n in needed else F.lit(0) for n in ["chars", *COUNTED]})
+    return measured.select(*own, model.score(of).alias(name))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, cut_off: float = CUT_OFF) -> DataFrame:
@@ -199,10 +202,11 @@ def score_quality(docs: DataFrame, model: RuleModel, cut_off: float = CUT_OFF) -
     statistics.  ``docs`` needs doc_id and text.  Null texts are scored as empty
     ones; repeated rows score alike; an empty table gives no rows.
     """
-    found = scored(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", F.col("rule score").alias("score"), (F.col("rule score") >= cut_off).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), model, "score")
+    return found.select("doc_id", "score", (F.col("score") >= cut_off).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, cut_off: float = CUT_OFF) -> DataFrame:
     """The rows of ``docs``, all columns, that the model doesn't reject."""
-    return scored(docs, model).where(F.col("rule score") >= cut_off).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused("rule score", docs)
+    return scored(docs, model, name).where(F.col(f"`{name}`") >= cut_off).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -135,6 +135,14 @@ class Field:
     start: np.ndarray
 
 
+def window_slots(signs: dict[int, str], part: range, n: int, whole: list[int]) -> list[int]:
+    """Feature slots of the tokens of a window, one after the other; ``n`` is the text's number of tokens."""
+    three = {i: token_slots(sign) for i, sign in signs.items()}
+    before = lambda i: three[i - 1][1] if i else EDGE["before"]
+    after = lambda i: three[i + 1][2] if i + 1 < n else EDGE["after"]
+    return [v for i in part for v in (*three[i][0], *before(i), *after(i), *whole)]
+
+
 def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame:
     """(features, tags): windows around the secrets that the patterns find, and others by hash."""
 
@@ -159,9 +167,12 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                 whole = slots("file", file_features(text, len(tokens)))
                 for s in dict.fromkeys(begin):
                     part = range(s, min(s + WINDOW, len(tokens)))
-                    three = {i: token_slots(signature(tokens[i][0])) for i in range(max(0, s - 1), min(part.stop + 1, len(tokens)))}
-                    x = [three[i][0] + (three[i - 1][1] if i else EDGE["before"]) + (three[i + 1][2] if i + 1 < len(tokens) else EDGE["after"]) + whole for i in part]
-                    rows.append(([v for f in x for v in f], tags[s : part.stop].tolist()))
+                    signs = {i: signature(tokens[i][0]) for i in range(max(0, s - 1), min(part.stop + 1, len(tokens)))}
+                    rows.append((window_slots(signs, part, len(tokens), whole), tags[s : part.stop].tolist()))
+                    if tags[s : part.stop].any():
+                        # again without the names, so that a secret's own shape counts
+                        bare = {i: "xxxx" if sign.lower().strip("_-.").endswith(NAMES) else sign for i, sign in signs.items()}
+                        rows.append((window_slots(bare, part, len(tokens), whole), tags[s : part.stop].tolist()))
             yield pd.DataFrame(rows, columns=["features", "tags"])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "features array<int>, tags array<int>")

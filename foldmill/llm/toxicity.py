@@ -113,27 +113,26 @@ def choose_features(sample: DataFrame, least: int = LEAST_DOCS, most: int = FEAT
     return [r["feature"] for r in kept.orderBy(F.desc("z"), "feature").limit(most).collect()]  # FEATURES at most
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, gone: np.ndarray, come: np.ndarray, width: int, strength: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, swap: np.ndarray, moved: np.ndarray, sign: np.ndarray, width: int, strength: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Weights that minimise log loss + ridge + ``strength`` * mean squared change of the margin by a swap.
 
-    ``rows``, ``cols``: where the binary features are; ``gone``, ``come``: the
-    feature a swap removes and the one it adds, ``width`` for none.
+    ``rows``, ``cols``: where the binary features are.  ``swap``, ``moved``,
+    ``sign``: the features that each swap adds (1) or takes away (-1).
     """
-    n = max(len(y), 1)
-    w, b = np.zeros(width + 1), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    m1, m2 = np.zeros(width + 2), np.zeros(width + 2)
+    n, swaps_made = max(len(y), 1), int(swap.max()) + 1 if len(swap) else 0
+    w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, ROUNDS + 1):
         g = 1 / (1 + np.exp(-(np.bincount(rows, w[cols], len(y)) + b))) - y
-        grad = np.bincount(cols, g[rows], width + 1) / n + RIDGE * w
-        if len(gone):
-            change = 2 * strength * (w[come] - w[gone]) / len(gone)
-            grad += np.bincount(come, change, width + 1) - np.bincount(gone, change, width + 1)
-        grad[width] = 0
+        grad = np.bincount(cols, g[rows], width) / n + RIDGE * w
+        if swaps_made:
+            change = np.bincount(swap, sign * w[moved], swaps_made)
+            grad += np.bincount(moved, 2 * strength * sign * change[swap] / swaps_made, width)
         full = np.r_[grad, g.sum() / n]
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.99 * m2 + 0.01 * full**2
         step = 0.1 * (1 - t / (ROUNDS + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w[:width], float(b)
+    return w, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, identity: Sequence[Sequence[str]] = IDENTITY, strength: float = COUNTERFACTUAL) -> ToxicityModel:
@@ -146,26 +145,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_rows rows at most
     chosen_features = choose_features(sample.select("text", "y"))
-    names = sorted({*chosen_features, *(t for terms in identity for t in terms)})
+    names = sorted({*chosen_features, *(f for terms in identity for t in terms for f in features_of(t))})
     number = {f: k for k, f in enumerate(names)}
 
     def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
             own = [sorted(number[f] for f in text_features(t) if f in number) for t in frame["text"]]
-            pairs = [[(number[a], number[b]) for a, b in swaps(t, identity)] for t in frame["text"]]
+            pairs = [swaps(t, identity) for t in frame["text"]]
+            # a swap takes the features of one term and gives those of the other
+            moves = [[(k, number[f], s) for k, pair in enumerate(p) for term, s in zip(pair, (-1, 1)) for f in features_of(term)] for p in pairs]
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype(str), "y": frame["y"].astype("int32"), "own": own,
-                "gone": [[a for a, _ in p] for p in pairs], "come": [[b for _, b in p] for p in pairs],
+                "doc_id": frame["doc_id"].astype(str), "y": frame["y"].astype("int32"), "own": own, "swaps": [len(p) for p in pairs],
+                "swap": [[k for k, _, _ in m] for m in moves], "moved": [[f for _, f, _ in m] for m in moves], "sign": [[s for _, _, s in m] for m in moves],
             })
 
-    rows = sample.mapInPandas(numbered, "doc_id string, y int, own array<int>, gone array<int>, come array<int>").toPandas()
+    rows = sample.mapInPandas(numbered, "doc_id string, y int, own array<int>, swaps int, swap array<int>, moved array<int>, sign array<int>").toPandas()
     rows = rows.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
 
     def flat(column: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in rows[column]]]).astype(np.int64)
 
-    where = np.repeat(np.arange(len(rows)), [len(x) for x in rows["own"]]).astype(np.int64)
-    w, b = fit(where, flat("own"), rows["y"].to_numpy(float), flat("gone"), flat("come"), len(names), strength)
+    def owner(column: str, values: np.ndarray) -> np.ndarray:
+        return np.repeat(values, [len(x) for x in rows[column]]).astype(np.int64)
+
+    where = owner("own", np.arange(len(rows)))
+    first_swap = np.r_[0, np.cumsum(rows["swaps"].to_numpy(np.int64))][: len(rows)]
+    swap = owner("swap", first_swap) + flat("swap")
+    w, b = fit(where, flat("own"), rows["y"].to_numpy(float), swap, flat("moved"), flat("sign").astype(float), len(names), strength)
     return ToxicityModel({f: float(round(v, 6)) for f, v in zip(names, w) if abs(v) >= 1e-6}, round(b, 6))
 
 
