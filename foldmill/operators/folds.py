@@ -67,6 +67,12 @@ def leaking_groups(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.countDistinct("fold").alias("n_folds"), F.sort_array(F.collect_set("fold")).alias("folds")).where("n_folds > 1")
 
 
+def shared_groups(df: DataFrame, group: str, test_fold: int) -> DataFrame:
+    """Groups that lie both in a test fold and outside it; none is right."""
+    inside, outside = df.where(F.col("fold") == test_fold).select(group), df.where(F.col("fold") != test_fold).select(group)
+    return inside.intersect(outside)
+
+
 def unassigned(df: DataFrame) -> DataFrame:
     """Rows without a fold; none is right."""
     return df.where(F.col("fold").isNull())

@@ -80,3 +80,38 @@ def largest_per_class(df: DataFrame, key: str, label: str, value: str, n: int) -
 
     order = F.row_number().over(Window.partitionBy(label).orderBy(F.desc(value), key))
     return df.withColumn("rank", order).where(F.col("rank") <= n)
+
+
+def choose_images(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` with the column image: the segmented path where such a file exists, else the image itself.
+
+    ``files`` has the column path.  A manifest without the column segmented_path
+    keeps its images; existence is one join against the listing.
+    """
+    if "segmented_path" not in rows.columns:
+        return rows.withColumn("image", F.col("image_path"))
+    there = files.select(F.col("path").alias("segmented_path"), F.lit(True).alias("_there")).distinct()
+    joined = rows.join(there, "segmented_path", "left")
+    return joined.withColumn("image", F.coalesce(F.when(F.col("_there"), F.col("segmented_path")), F.col("image_path"))).drop("_there")
+
+
+def with_defaults(rows: DataFrame, classes: tuple[tuple[str, int, str], ...]) -> DataFrame:
+    """Adds label from diagnosis, and folder_name from patient_id, only where the column is absent."""
+    from foldmill.schema import label_of
+
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", label_of(F.col("diagnosis"), classes))
+    if "folder_name" not in rows.columns:
+        rows = rows.withColumn("folder_name", F.col("patient_id"))
+    return rows
+
+
+def crop_counters(crops: DataFrame) -> DataFrame:
+    """How many images were cropped, fell back to the whole image, or couldn't be read."""
+    return crops.agg(F.count("*").alias("n"), F.count_if("fallback").alias("n_fallback"), F.count_if(~F.col("readable")).alias("n_unreadable"))
+
+
+def missing_images(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose image file doesn't exist."""
+    return rows.join(files.select(F.col("path").alias("image_path")), "image_path", "left_anti")
+

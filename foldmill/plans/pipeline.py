@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmill.functions.text import join_fields, strip_terms
-from foldmill.operators import align, encoders, folds, images, metrics, ml, pooling, stats
+from foldmill.operators import align, encoders, folds, images, manifest, metrics, ml, pooling, stats
 from foldmill.schema import Config
 from foldmill.sources import readers, sinks
 
@@ -49,8 +49,8 @@ class Run:
 
 def prepare(run: Run) -> DataFrame:
     """Manifest with folds by patient; leaks are an error."""
-    manifest = readers.scan_dataset(run.spark, run.root, run.csv, run.config.classes).drop("fold")
-    assigned = folds.assign_folds(manifest, folds.group_folds(manifest, "patient_id", "label", run.config.n_folds, run.config.seed), "patient_id")
+    rows = readers.scan_dataset(run.spark, run.root, run.csv, run.config.classes).drop("fold")
+    assigned = folds.assign_folds(rows, folds.group_folds(rows, "patient_id", "label", run.config.n_folds, run.config.seed), "patient_id")
     folds.check_folds(assigned, "patient_id")
     return assigned
 
@@ -64,8 +64,8 @@ def segment(run: Run) -> DataFrame:
 
 def make_csv(run: Run) -> DataFrame:
     """A row for each image and test fold, with its split; the crop stands for the image where there is one."""
-    splits = folds.split_table(run.read("prepare"), run.config.n_folds)
-    return splits.select(F.coalesce("segmented_path", "image_path").alias("image"), "label", "split", "test_fold")
+    rows = manifest.choose_images(run.read("prepare"), readers.list_files(run.spark, run.root))
+    return folds.split_table(rows, run.config.n_folds).select("image", "label", "split", "test_fold")
 
 
 def extract(run: Run) -> DataFrame:

@@ -41,6 +41,7 @@ def test_split_rule(spark):
 def test_leaks_are_found(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), ("b", 2)], "g string, fold int")
     assert [r.g for r in folds.leaking_groups(df, "g").collect()] == ["a"]
+    assert [r.g for r in folds.shared_groups(df, "g", 0).collect()] == ["a"] and folds.shared_groups(df, "g", 2).count() == 0
 
 
 def test_two_diagnoses_make_two_groups_in_one_fold(spark):
@@ -70,3 +71,19 @@ def test_manifest_operators(spark):
     assert sorted(r.key for r in manifest.pending(df, done, "key").collect()) == list(range(290, 300))
     wide = manifest.fold_class_table(folds.stratified_folds(df, "key", "label"), "g", "label", ["a", "b", "c"])
     assert wide.count() == 5
+
+
+def test_image_choice_and_defaults(spark):
+    df = spark.createDataFrame([("a.jpg", "s/a.png", "DN", "P1"), ("b.jpg", "s/b.png", "MIA", "P2"), ("c.jpg", None, "Other", "P3")], "image_path string, segmented_path string, diagnosis string, patient_id string")
+    files = spark.createDataFrame([("s/a.png",), ("b.jpg",), ("a.jpg",)], "path string")
+    assert {r.image for r in manifest.choose_images(df, files).collect()} == {"s/a.png", "b.jpg", "c.jpg"}
+    assert {r.image for r in manifest.choose_images(df.drop("segmented_path"), files).collect()} == {"a.jpg", "b.jpg", "c.jpg"}
+    from foldmill.schema import CLASSES, name_of
+
+    full = manifest.with_defaults(df, CLASSES)
+    assert {(r.label, r.folder_name) for r in full.collect()} == {(0, "P1"), (1, "P2"), (None, "P3")}
+    assert manifest.with_defaults(full, CLASSES).columns == full.columns
+    assert [r[0] for r in full.select(name_of(full.label)).collect()] == ["DN", "MIA", None]
+    assert [r.image_path for r in manifest.missing_images(df, files).collect()] == ["c.jpg"]
+    crops = spark.createDataFrame([(True, True), (False, True), (False, False)], "fallback boolean, readable boolean")
+    assert manifest.crop_counters(crops).first().asDict() == {"n": 3, "n_fallback": 1, "n_unreadable": 1}
