@@ -168,31 +168,37 @@ def components(edges: DataFrame) -> DataFrame:
     pointer jumping, edges move to the roots, until none is left.  All of it is
     joins and pre-aggregated minima over tables in the shared folder.
     """
+
     def neighbours(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(e.select("b", "a"))
 
     def follow(p: DataFrame, q: DataFrame) -> DataFrame:
         return p.join(q.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
 
-    result = None
+    result, made = None, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
     while True:
-        parent = materialise(neighbours(edges).groupBy("id").agg(F.least("id", F.min("other")).alias("comp")), "parents")
-        while True:
-            shorter = materialise(follow(parent, parent), "parents")
+        parent = kept(neighbours(edges).groupBy("id").agg(F.least("id", F.min("other")).alias("comp")), "parents")
+        changed = True
+        while changed:
+            shorter = kept(follow(parent, parent), "parents")
             changed = not shorter.join(parent.withColumnRenamed("comp", "was"), "id").where("comp <> was").isEmpty()
-            drop_table(parent)
             parent = shorter
-            if not changed:
-                break
-        result = parent if result is None else materialise(follow(result, parent), "components")
-        roots = parent.select(F.col("id"), "comp")
+        result = parent if result is None else kept(follow(result, parent), "components")
         moved = (
-            edges.join(roots.select(F.col("id").alias("a"), F.col("comp").alias("ra")), "a")
-            .join(roots.select(F.col("id").alias("b"), F.col("comp").alias("rb")), "b")
+            edges.join(parent.select(F.col("id").alias("a"), F.col("comp").alias("ra")), "a")
+            .join(parent.select(F.col("id").alias("b"), F.col("comp").alias("rb")), "b")
             .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
-        edges = materialise(moved, "edges")
+        edges = kept(moved, "edges")
         if edges.isEmpty():
+            for t in made:
+                if t is not result:
+                    drop_table(t)
             return result
 
 
@@ -249,6 +255,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     texts = materialise(texts.where("text is not null").distinct(), "texts")
     marks = materialise(nodes.select(F.col("rep").alias("id"), "n", "bitmap").join(met, "id"), "marks")
     links, comp = None, met.select("id", F.col("id").alias("comp"))
+    done = [tiles, texts, marks]
     for turn in range(STAR_ROUNDS + 1):
         labelled = tiles.join(comp.withColumnRenamed("id", "rep"), "rep")
         if turn:
@@ -256,6 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             # Heads change from round to round: the node whose id hashes smallest.
             heads = labelled.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64(F.lit(turn), "rep")).alias("h"))
             labelled = materialise(labelled.join(open_tiles.join(heads, "key"), "key").select("key", "rep", "comp", F.col("h.rep").alias("head"), F.col("h.comp").alias("head_comp")), "open")
+            done.append(labelled)
             if labelled.isEmpty():
                 break
         if turn < STAR_ROUNDS:
@@ -271,13 +279,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             room = may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
             pairs = a.join(b, (a["key"] == b["key"]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
         new = materialise(verify(pairs, texts, width, num, den), "links")
+        done.append(new)
         if new.isEmpty():
             continue
         links = new if links is None else links.unionAll(new)
-        comp = materialise(met.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
+        joined = components(links)
+        comp = materialise(met.join(joined, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
+        done += [joined, comp]
     of_set = nodes.select("h1", "h2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     # Alone: no words, or no id.  A set that many documents have is one row on the other side.
     of_set = materialise(of_set, "of-set")
+    for t in done:  # the result needs only the members and their sets
+        drop_table(t)
     return members.join(of_set, ["h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id")).alias("component_id"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import materialise
+from foldmill.llm.common import drop_table, materialise
 
 #: Fixed bytes of a document besides its text.
 OVERHEAD = 16
@@ -93,7 +93,8 @@ def grow(meta: DataFrame, shards: int, dims: int) -> DataFrame:
                 break
         right = by_node({n.first: n.first + n.shards // 2 for n in level})
         moved = F.when(place(level, dims) >= by_node({n.first: n.cut for n in level}), right)
-        rows = materialise(rows.withColumn("node", F.coalesce(moved, F.col("node"))), "shards")
+        before, rows = rows, materialise(rows.withColumn("node", F.coalesce(moved, F.col("node"))), "shards")
+        drop_table(before)
         level = [c for n in level for c in (Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2))]
     return rows
 
