@@ -61,7 +61,7 @@ def fit_logistic(train: DataFrame, features: str, label: str, cost: float):
     """Minimise sum of weighted log losses + |W|^2 / (2 cost); the intercept is free."""
     n = train.count()
     rows = train.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"), balanced_weights(train, label).alias("weight"))
-    learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=1.0 / (cost * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-8)
+    learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=1.0 / (cost * n), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-8)
     return learner.fit(rows)
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The classes with their codes and names, in order.
-CLASSES = (("DN", 0, "Dysplastic nevus"), ("MIA", 1, "Invasive melanoma"), ("Minsitu", 2, "Melanoma in situ"))
+CLASSES = (("DN", 0, "Dysplastic Nevus"), ("MIA", 1, "Melanoma Stage IA"), ("Minsitu", 2, "Melanoma In Situ"))
 #: Extensions of image files, in any case.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
+#: Names of the checkpoints to prefer, in order, and the form of numbered ones.
+PREFERRED_CHECKPOINTS = ("checkpoint-best.pth", "best.pth")
+NUMBERED_CHECKPOINT = r"^checkpoint-\d+\.pth$"
 
 FLAT_METADATA = "isic_id string, lesion_id string, label string"
 MANIFEST = "image_path string, patient_id string, folder_name string, diagnosis string, label int, fold int, segmented_path string"
@@ -23,7 +26,7 @@ METRICS = "model string, fold int, class string, metric string, value double"
 
 @dataclass(frozen=True)
 class Config:
-    """What the stages need to know; passed on explicitly."""
+    """What the stages need to know; passed on explicitly.  The defaults are fixed values of the reference."""
 
     n_folds: int = 5
     inner_folds: int = 3
@@ -35,7 +38,8 @@ class Config:
     neighbours: int = 5
     permutations: int = 100
     least_area: float = 0.01
-    margin: float = 0.05
+    margin: float = 0.1
+    closing: int = 15
     image_side: int = 224
     resize_side: int = 256
     mean: tuple[float, ...] = (0.485, 0.456, 0.406)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from foldmill.functions.text import extension, file_name, first_token, identifier, missing_as_null, parent, whole_number
 from foldmill.operators.manifest import latest
-from foldmill.schema import CLASSES, EXTENSIONS, FLAT_METADATA, MANIFEST, label_of
+from foldmill.schema import CLASSES, EXTENSIONS, FLAT_METADATA, MANIFEST, NUMBERED_CHECKPOINT, PREFERRED_CHECKPOINTS, label_of
 
 
 def plain_path(path: Column) -> Column:
@@ -111,10 +111,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.withColumn("origin", plain_path(F.col("origin"))).where(extension(F.col("origin")).isin(*EXTENSIONS))
 
 
-def find_checkpoint(spark: SparkSession, folder: str, preferred: Sequence[str] = ("checkpoint-best.pth", "checkpoint-last.pth")) -> str:
+def find_checkpoint(spark: SparkSession, folder: str, preferred: Sequence[str] = PREFERRED_CHECKPOINTS) -> str:
     """The checkpoint to load: a preferred name, in order, else the highest number; none is an error."""
     files = spark.read.format("binaryFile").load(folder).select(plain_path(F.col("path")).alias("path"))
-    found = latest(files, tuple(preferred)).collect()
+    name = file_name(F.col("path"))
+    found = latest(files.where(name.isin(*preferred) | name.rlike(NUMBERED_CHECKPOINT)), tuple(preferred)).collect()
     if not found:
         raise FileNotFoundError(f"no checkpoint in {folder}")
     return found[0]["path"]

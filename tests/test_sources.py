@@ -81,7 +81,7 @@ def test_matrix_import(spark, tmp_path):
 
 
 def test_checkpoint_choice(spark, tmp_path):
-    for n in ("checkpoint-9.pth", "checkpoint-10.pth", "other.txt"):
+    for n in ("checkpoint-9.pth", "checkpoint-10.pth", "other-99.pth"):
         (tmp_path / n).write_bytes(b"x")
     assert readers.find_checkpoint(spark, str(tmp_path)).endswith("checkpoint-10.pth")
     (tmp_path / "checkpoint-best.pth").write_bytes(b"x")
@@ -90,13 +90,15 @@ def test_checkpoint_choice(spark, tmp_path):
 
 def test_segmentation_and_crop(spark):
     mask = images.colour_segment(spot())
-    assert 0.1 < mask.mean() < 0.4 and mask[24, 24] == 1 and mask[0, 0] == 0
+    assert 0.1 < mask.mean() < 0.5 and mask[24, 24] == 1 and mask[0, 0] == 0
     assert images.colour_segment(np.full((20, 20, 3), 128, np.uint8)).all()
     one_row = np.zeros((20, 20), np.uint8)
     one_row[5, 3:9] = 1
     assert images.crop(spot(side=20), one_row, 0.0, 16).shape == (16, 16, 3)
     parts, n = images.labelled(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 0, 0]], bool))
     assert n == 2 and parts[0, 0] == parts[1, 1]
+    flat = images.resized_cubic(np.full((9, 7, 3), 77, np.uint8), 16, 16)
+    assert (flat == 77).all() and np.allclose(images.cubic_weights(8, 8), np.eye(8))
     ring = np.ones((5, 5), bool)
     ring[2, 2] = False
     assert images.filled(ring).all()
