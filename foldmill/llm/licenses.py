@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -72,34 +73,36 @@ def fuzzy_spans(low: str, notices: Sequence[tuple[str, str]] = NOTICES, per_edit
     """(label, start, stop, edits) of the notices found in a lower-cased text.
 
     A seed found at a place says where its notice would begin, give or take the
-    edits; only such windows are matched.  Windows of one notice that touch are
-    joined first, and matches of one notice don't overlap.
+    edits; only such windows are matched, each by itself, so a text costs the
+    same for each seed however many stand in it.  A window is too short for two
+    matches; matches of one notice don't overlap.
     """
     machine, compiled = _search(tuple(notices), per_edit)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for end, (length, who) in machine.iter(low):
         for k, at in who:
             _, size, edits, _ = compiled[k]
             start = end - length + 1 - at
-            a, b = max(0, start - edits), start + size + edits
-            spans = windows.setdefault(k, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-                spans[-1][0] = min(a, spans[-1][0])
-            else:
-                spans.append([a, b])
+            windows.setdefault(k, set()).add((max(0, start - edits), min(start + size + edits, len(low))))
     found = []
-    for k, spans in windows.items():
-        pattern, _, _, label = compiled[k]
-        for a, b in spans:
-            for m in pattern.finditer(low, a, min(b, len(low))):
+    for k, places in windows.items():
+        pattern, size, edits, label = compiled[k]
+        done = 0
+        for a, b in sorted(places):
+            a = max(a, done)
+            if b - a < size - edits:
+                continue
+            m = pattern.search(low, a, b)
+            if m:
                 found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                done = m.end()
     # Of notices that overlap the one with the fewest edits stands, then the longest, then the first label.
-    kept: list[tuple[str, int, int, int]] = []
-    for x in sorted(set(found), key=lambda x: (x[3], x[1] - x[2], x[0], x[1])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+    kept: list[tuple[int, int, str, int]] = []  # by start; none overlaps another
+    for label, a, b, e in sorted(set(found), key=lambda x: (x[3], x[1] - x[2], x[0], x[1])):
+        i = bisect_left(kept, (a,))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or b <= kept[i][0]):
+            kept.insert(i, (a, b, label, e))
+    return [(label, a, b, e) for a, b, label, e in kept]
 
 
 def scan_text(text: str | None, phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES, per_edit: int = CHARS_PER_EDIT) -> tuple:

@@ -46,3 +46,12 @@ def test_clean_text_and_overlap():
     assert scan_text("Licensed under CC BY-NC 4.0.")[5] == "cc-by-nc"
     assert scan_text("Released under the MIT License.")[4:7] == ("mit", "mit", 1.0)
     assert scan_text("Relesed under the MIT Licence.")[4:6] == ("", "mit")
+
+
+def test_each_of_several_notices_is_found():
+    notice = NOTICES[1][0]
+    worse = notice.replace("hereby", "herebi")
+    text = f"{worse} {notice} and {worse}"
+    assert [s[3] for s in fuzzy_spans(text)] == [1, 0, 1]
+    assert [text[a:b] for _, a, b, _ in fuzzy_spans(text)] == [worse, notice, worse]
+    assert len(fuzzy_spans("gnu lesser general public licence " * 5000)) == 5000
