@@ -15,6 +15,8 @@ SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words that one worker keeps counted; then it starts anew.
 KEPT_WORDS = 800_000
+#: Longer pre-tokens are cut further, where no piece can join them.
+LONG = 32
 NONE = np.int32(2**31 - 1)
 
 
@@ -57,7 +59,15 @@ class PieceMerger:
         #: Line ends are never part of a longer piece, so lines are counted apart.
         self.lines_apart = "\n" not in grown
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.names)
+        #: Neighbouring characters inside pieces; between any two others no merge ever reaches.
+        self.inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.names for a, b in zip(p, p[1:])] + [2**62], np.int64))
         self.kept: dict[str, int] = {}
+        # Where pieces of spaces alone come last and tie, a run fills up from the left with the longest of them.
+        spaces = [len(p) for p in self.names if len(p) > 1 and p == SPACE * len(p)]
+        top = max(spaces, default=0)
+        last = all(self.rank[self.ids[SPACE * n]] == self.rank.max() for n in spaces)
+        pure = all(p == SPACE * len(p) and len(p) <= top for p in self.names if p.startswith(SPACE * 2))
+        self.full_run = top if top and last and pure and self.count([SPACE * top])[0] == 1 else 0
 
     def made_by(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece each pair merges into, -1 for none; unknown characters (-1) never merge."""
@@ -124,10 +134,34 @@ class PieceMerger:
             part = fresh[start : start + 50_000]
             self.kept.update(zip(part, self.count(part).tolist()))
         get = self.kept.__getitem__
-        return [sum(map(get, words)) for words in split]
+        totals = [sum(map(get, words)) for words in split]
+        for w in fresh:  # what is kept stays small: LONG characters a word
+            if len(w) > LONG:
+                del self.kept[w]
+        return totals
 
     def segments(self, text: str) -> list[str]:
-        """Pre-tokens that no piece crosses: the text, escaped, cut before words and at line ends."""
+        """Pre-tokens that no piece crosses; long ones are cut after full runs and between characters that stand together in no piece."""
+        words = self.words(text)
+        if max(map(len, words), default=0) <= LONG:
+            return words
+        out: list[str] = []
+        for w in words:
+            if len(w) <= LONG:
+                out.append(w)
+                continue
+            if self.full_run and w.startswith(SPACE * 2):
+                full = (len(w) - len(w.lstrip(SPACE)) - 1) // self.full_run
+                out += [SPACE * self.full_run] * full
+                w = w[full * self.full_run :]
+            points = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            pair = points[:-1] << 21 | points[1:]
+            cuts = np.flatnonzero(self.inside[np.searchsorted(self.inside, pair)] != pair) + 1
+            out += [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        return out
+
+    def words(self, text: str) -> list[str]:
+        """The text, escaped, cut before words and at line ends."""
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE)

@@ -27,6 +27,15 @@ def test_hard_texts():
     assert MERGER.texts(texts) == [len(x) for x in SP.encode(texts)]
 
 
+def test_long_words():
+    r = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(r.choice(s) for _ in range(n)) for s in (signs, "0123456789abcdef", "日本語中国文字的人", "etaoinsr") for n in (33, 400, 6000)]
+    texts += ["".join(r.choice(signs) for _ in range(200_000))]
+    texts += [" " * n + tail for n in (*range(28, 70), 1000, 300_000) for tail in ("", "the", "9", "\n", "\n  x", "日", "the" + " " * n)]
+    assert MERGER.texts(texts) == [len(x) for x in SP.encode(texts)]
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in QUERIES["op7_token_counts"](spark, f"{DATA}/sf0.01").collect()}
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()
