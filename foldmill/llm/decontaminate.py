@@ -29,6 +29,8 @@ INDEX_BYTES = 2_000_000
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+|\n+")
 KEPT_WORDS = 400_000
+#: Steps of a text that are screened at once.
+SCREENED = 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -184,18 +186,27 @@ class Searcher:
 
         A term counts once in each step of a passage, so the sums are upper bounds.
         """
+        steps, wide = -(-len(ids) // self.step), self.passage // self.step
+        passages, out = max(1, steps - wide + 1), []
+        for s in range(0, passages, SCREENED):
+            e = min(s + SCREENED, passages)
+            hit = self.screened(ids[s * self.step : (e + wide - 1) * self.step], e - s)
+            out += [(int(s + k) * self.step, min(int(s + k + wide) * self.step, len(ids)), np.flatnonzero(hit[k])) for k in np.flatnonzero(hit.any(1))]
+        return out
+
+    def screened(self, ids: np.ndarray, passages: int) -> np.ndarray:
+        """Whether each of the first passages of ``ids`` may reach each block's threshold."""
         ix = self.index
-        unknown, steps = len(ix.term), -(-len(ids) // self.step)
+        unknown, wide = len(ix.term), self.passage // self.step
+        steps = -(-len(ids) // self.step)
         at = np.flatnonzero(ids < unknown)
         key = np.unique((at // self.step) * (unknown + 1) + ids[at])
         sums = np.zeros((len(key) + 1, ix.block_max.shape[1]), np.float32)
         np.cumsum(ix.block_max[key % (unknown + 1)], 0, out=sums[1:])
         border = sums[np.searchsorted(key // (unknown + 1), np.arange(steps + 1))]
-        wide = self.passage // self.step
-        first = np.arange(max(1, steps - wide + 1))
+        first = np.arange(passages)
         bound = border[np.minimum(first + wide, steps)] - border[first]
-        hit = bound >= ix.least - 1e-3 * (1 + ix.least)
-        return [(int(s) * self.step, min((int(s) + wide) * self.step, len(ids)), np.flatnonzero(hit[s])) for s in np.flatnonzero(hit.any(1))]
+        return bound >= ix.least - 1e-3 * (1 + ix.least)
 
     def leaks(self, text: str | None) -> list[tuple[int, float]]:
         """(item, score) of the items that a text gives away: retrieved by a passage, then verified."""
@@ -218,9 +229,13 @@ class Searcher:
         out = []
         for item, score in sorted(best.items()):
             around = len(ix.words[item])
-            near = []
-            for s, e in spans[item]:
-                near += [*words[max(0, s - around) : e + around], ""]  # the gap keeps n-grams from joining passages
+            joined: list[list[int]] = []
+            for s, e in spans[item]:  # in the order of the text
+                if joined and s - around <= joined[-1][1]:
+                    joined[-1][1] = e + around
+                else:
+                    joined.append([max(0, s - around), e + around])
+            near = [w for s, e in joined for w in (*words[s:e], "")]  # the gap keeps n-grams from joining passages
             whole, question, answer = ix.overlap(item, near)
             if whole >= WHOLE or (question >= BOTH and answer >= BOTH):
                 out.append((item, score))

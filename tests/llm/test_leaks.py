@@ -64,3 +64,22 @@ def test_more_items_than_one_index(spark):
     several = {r.doc_id for r in find_leaks(docs, items, index_bytes=3000).where("leaked").collect()}
     assert exact and exact <= one and exact <= several
     assert len(one - exact) <= 2
+
+
+def test_long_texts_are_screened_in_parts(monkeypatch):
+    r = random.Random(5)
+    words = [f"w{int(r.expovariate(0.02))}" for _ in range(3000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(8, 40))) + ". " + r.choice(words)) for i in range(60)]
+    searcher = Searcher(ItemIndex(items), 64, 32)
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 31, 32, 33, 64, 65, 500, 4000)]
+    texts += [texts[-1] + " " + items[3][1] + " " + texts[-2], " ".join(t for _, t in items) * 3]
+
+    def seen():
+        return [([(s, e, b.tolist()) for s, e, b in searcher.candidates(searcher.ids(t))], searcher.leaks(t)) for t in texts if t]
+
+    monkeypatch.setattr(decontaminate, "SCREENED", 10**9)
+    whole = seen()
+    monkeypatch.setattr(decontaminate, "SCREENED", 3)
+    assert seen() == whole
+    assert 3 in [searcher.index.ids[i] for i, _ in searcher.leaks(texts[-2])]
+    assert {searcher.index.ids[i] for i, _ in searcher.leaks(texts[-1])} == set(range(60))
