@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -157,11 +158,12 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                     continue
                 parts = secret_parts(text, base_spans(text))
                 tags = np.zeros(len(tokens), int)
+                starts, ends = [s for _, s, _ in tokens], [e for _, _, e in tokens]
                 for a, b in parts:
-                    hit = [i for i, (_, s, e) in enumerate(tokens) if s < b and a < e]
-                    for k, i in enumerate(hit):
+                    first = bisect_right(ends, a)
+                    for i in range(first, bisect_left(starts, b)):
                         if tags[i] == OUT:
-                            tags[i] = BEGIN if k == 0 else IN
+                            tags[i] = BEGIN if i == first else IN
                 secret = np.flatnonzero(tags == BEGIN)
                 seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                 last = max(1, len(tokens) - WINDOW + 1)
