@@ -50,3 +50,32 @@ def test_cost_choice_and_nested_folds(spark, data):
     df = stratified_folds(frame(spark, x, y), "id", "y", 2)
     out = ml.nested_cv(df.withColumnRenamed("v", "a"), "id", ["a"], "y", [0, 1, 2], n_folds=2, components=3, costs=(0.1,), inner=2).toPandas()
     assert sorted(out.row_id.astype(int)) == list(range(60)) and (out.y_true == out.y_pred).mean() > 0.5
+
+
+def test_registered_queries_take_all_folds_and_costs(spark, monkeypatch):
+    import inspect
+
+    from foldmill.queries import QUERIES
+    from tests.conftest import DATA
+
+    trained, asked = [], {}
+
+    def fuse(train, rows, vectors, components=8, out="fused"):
+        trained.append({r.fold for r in train.select("fold").distinct().collect()})
+        return rows.withColumn(out, rows[vectors[0]])
+
+    def nested_cv(*args, **named):
+        bound = real.bind(*args, **named)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return asked["df"].selectExpr("fold", "vec_id AS row_id", "label AS y_true", "label AS y_pred", "0 AS cost")
+
+    real = inspect.signature(ml.nested_cv)
+    monkeypatch.setattr(ml, "fuse", fuse)
+    monkeypatch.setattr(ml, "nested_cv", nested_cv)
+    rows = QUERIES["scaler_pca_fusion"](spark, f"{DATA}/sf0.001")
+    n = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").count()
+    assert trained == [set(range(5)) - {k} for k in range(5)] and rows.count() == rows.select("vec_id", "test_fold").distinct().count() == 5 * n
+    QUERIES["nested_cv_logreg"](spark, f"{DATA}/sf0.001")
+    assert (asked["n_folds"], asked["inner"], asked["costs"]) == (5, 3, (0.01, 0.03, 0.1, 0.3, 1.0))
+    assert {r.fold for r in asked["df"].select("fold").distinct().collect()} == set(range(5))
