@@ -6,6 +6,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -138,19 +139,21 @@ class ItemIndex:
             lists = [x for x in lists if x[0] < len(self.docs[x[1]])]
         return out
 
-    def overlap(self, item: int, words: list[str]) -> tuple[float, float, float]:
-        """Shares of the item's, its question's and its answer's n-grams that stand in ``words``."""
+    def overlap(self, item: int, words: list[str], far: set[tuple[str, ...]]) -> tuple[float, float, float]:
+        """Shares of the item's, its question's and its answer's n-grams that stand in ``words``.
 
-        def share(part: list[str]) -> float:
+        Questions and answers of ``GRAM`` words or more count wherever they stand
+        in the text: ``far`` holds their n-grams that do.  Shorter ones are common
+        words, which count in ``words`` only.
+        """
+        near = {n: grams(words, n) for n in {min(GRAM, len(part)) for part in (self.words[item], *self.parts[item])}}
+
+        def share(part: list[str], there: set[tuple[str, ...]]) -> float:
             own = grams(part)
-            if not own:
-                return 1.0
-            n = len(next(iter(own)))
-            there = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-            return len(own & there) / len(own)
+            return len((own & near[min(GRAM, len(part))]) | (own & there)) / len(own) if own else 1.0
 
         q, a = self.parts[item]
-        return share(self.words[item]), share(q), share(a)
+        return share(self.words[item], set()), share(q, far), share(a, far)
 
 
 class Searcher:
@@ -226,6 +229,9 @@ class Searcher:
         if not best:
             return []
         words = words_of(text)
+        # one pass over the whole text, in which only what the items hold is kept
+        far = {g for item in best for part in ix.parts[item] if len(part) >= GRAM for g in grams(part)}
+        far = far.intersection(zip(*(islice(words, k, None) for k in range(GRAM))))
         out = []
         for item, score in sorted(best.items()):
             around = len(ix.words[item])
@@ -236,7 +242,7 @@ class Searcher:
                 else:
                     joined.append([max(0, s - around), e + around])
             near = [w for s, e in joined for w in (*words[s:e], "")]  # the gap keeps n-grams from joining passages
-            whole, question, answer = ix.overlap(item, near)
+            whole, question, answer = ix.overlap(item, near, far)
             if whole >= WHOLE or (question >= BOTH and answer >= BOTH):
                 out.append((item, score))
         return out

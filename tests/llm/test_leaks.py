@@ -83,3 +83,13 @@ def test_long_texts_are_screened_in_parts(monkeypatch):
     assert seen() == whole
     assert 3 in [searcher.index.ids[i] for i, _ in searcher.leaks(texts[-2])]
     assert {searcher.index.ids[i] for i, _ in searcher.leaks(texts[-1])} == set(range(60))
+
+
+def test_answer_far_from_its_question():
+    question, answer = [f"q{k}" for k in range(18)], [f"a{k}" for k in range(12)]
+    other = [(k, f"filler{k} something else entirely {k} goes here now. Fine{k}.") for k in range(1, 9)]
+    s = Searcher(ItemIndex([(0, " ".join(question) + "? " + " ".join(answer) + "."), *other]), 64, 32)
+    between = [f"between{k}" for k in range(500)]
+    for parts in ((question, between, answer), (answer, between, question), (between, question, between, answer, between)):
+        assert [s.index.ids[i] for i, _ in s.leaks(" ".join(w for p in parts for w in p))] == [0]
+    assert s.leaks(" ".join(question + between)) == [] and s.leaks(" ".join(answer + between)) == []
