@@ -6,13 +6,17 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import filter_texts, map_texts
+from foldmill.llm.common import drop_table, filter_texts, map_texts, materialise, unused
 
 #: Words of a passage and the step from one to the next.
 PASSAGE, STEP = 64, 32
@@ -24,6 +28,8 @@ K1, B = 1.2, 0.75
 BLOCKS, LEAST_ITEMS = 100, 2
 #: Words of the n-grams that verify, and the least shares of a leak.
 GRAM, BOTH, WHOLE = 5, 0.5, 0.7
+#: Columns of a search.
+FOUND = "leaked boolean, item_ids array<long>, score double"
 #: Bytes of item texts that one broadcast index holds; more items make more indexes.
 INDEX_BYTES = 2_000_000
 
@@ -51,22 +57,40 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass(frozen=True)
+class Figures:
+    """Items that have words, how many words they have together, and how many items hold each word."""
+
+    n: int
+    words: int
+    holders: dict[str, int]
+
+    @property
+    def mean(self) -> float:
+        return self.words / max(self.n, 1)
+
+
+def figures_of(texts: list[str | None]) -> Figures:
+    words = [w for w in ([*q, *a] for q, a in map(question_and_answer, texts)) if w]
+    holders = Counter(w for own in words for w in set(own))
+    return Figures(len(words), sum(map(len, words)), holders)
+
+
 class ItemIndex:
-    """Inverted index of test items with the largest impact of each block of postings."""
+    """Inverted index of test items with the largest impact of each block of postings.
+
+    ``figures`` of all items score those of a part; without them the items are all there are.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], passage: int = PASSAGE, share: float = SHARE):
+    def __init__(self, items: list[tuple[int, str | None]], passage: int = PASSAGE, share: float = SHARE, figures: Figures | None = None):
         kept = [(i, *question_and_answer(t)) for i, t in items]
         kept = [(i, q, a) for i, q, a in kept if q or a]
-        n = len(kept)
-        mean = sum(len(q) + len(a) for _, q, a in kept) / max(n, 1)
-        holders: dict[str, int] = {}
-        for _, q, a in kept:
-            for w in set(q + a):
-                holders[w] = holders.get(w, 0) + 1
+        n, all_items = len(kept), figures or figures_of([t for _, t in items])
+        holders = all_items.holders
 
         def impacts(words: list[str]) -> dict[str, float]:
-            k = K1 * (1 - B + B * len(words) / mean)
-            return {w: math.log(1 + (n - holders[w] + 0.5) / (holders[w] + 0.5)) * tf * (K1 + 1) / (tf + k) for w, tf in Counter(words).items()}
+            k = K1 * (1 - B + B * len(words) / all_items.mean)
+            return {w: math.log(1 + (all_items.n - holders[w] + 0.5) / (holders[w] + 0.5)) * tf * (K1 + 1) / (tf + k) for w, tf in Counter(words).items()}
 
         scored = [(i, q, a, impacts(q + a)) for i, q, a in kept]
         # Of an item longer than a passage only as much as surely lies in one passage can be found there.
@@ -78,7 +102,7 @@ class ItemIndex:
         self.parts = [(scored[k][1], scored[k][2]) for k in order]
         self.words = [q + a for q, a in self.parts]
         self.block = max(LEAST_ITEMS, math.ceil(n / BLOCKS))
-        self.term = {w: t for t, w in enumerate(sorted(holders))}
+        self.term = {w: t for t, w in enumerate(sorted({w for words in self.words for w in words}))}
         self.docs: list[list[int]] = [[] for _ in self.term]
         self.impacts: list[list[float]] = [[] for _ in self.term]
         for d, k in enumerate(order):
@@ -248,16 +272,71 @@ class Searcher:
         return out
 
 
-def indexes(items: DataFrame, passage: int, share: float, index_bytes: int) -> list:
-    """Broadcast indexes of the items, ``index_bytes`` of their texts in each at most (about)."""
+def word_counts(items: DataFrame) -> DataFrame:
+    """(word, holders, words): how many items hold each word; a null word stands for all items and their words."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            f = figures_of(frame["text"].tolist())
+            yield pd.DataFrame({"word": [None, *f.holders], "holders": [f.n, *f.holders.values()], "words": [f.words] + [0] * len(f.holders)})
+
+    counts = items.select("text").mapInPandas(count, "word string, holders long, words long")
+    return counts.groupBy("word").agg(F.sum("holders").alias("holders"), F.sum("words").alias("words"))
+
+
+def own_figures(counts: DataFrame, total: Row, texts: list[str | None]) -> Figures:
+    """The figures of all items, for the words of a few of them only."""
+    own = counts.sparkSession.sparkContext.broadcast({w for t in texts for half in question_and_answer(t) for w in half})
+    found = counts.where("word is not null").mapInPandas(lambda frames: (f[f["word"].isin(own.value)] for f in frames), counts.schema).collect()
+    own.destroy()
+    return Figures(total["holders"], total["words"], {r["word"]: r["holders"] for r in found})
+
+
+def leaks_by_part(docs: DataFrame, items: DataFrame, parts: int, passage: int, step: int, share: float) -> DataFrame:
+    """(row, item_ids, score) of the documents that leak; one index after the other, so that a worker holds one.
+
+    The indexes are scored by the figures of all items: the number of parts changes no result.
+    """
+    dealt = materialise(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+    counts = materialise(word_counts(dealt), "words")
+    total = counts.where("word is null").collect()
+    out = None
+    for p in range(parts):
+        rows = dealt.where(F.col("part") == p).select("item_id", "text").collect()
+        figures = own_figures(counts, total[0], [r["text"] for r in rows])
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in rows], passage, share, figures))
+        found = materialise(map_texts(docs, FOUND, lambda shared=shared: finder(shared.value, passage, step), keep=["row"]).where("leaked").drop("leaked"), "leaks")
+        shared.destroy()
+        out = found if out is None else out.unionAll(found)
+    drop_table(dealt)
+    drop_table(counts)
+    return out.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("score").alias("score"))
+
+
+def finder(index: ItemIndex, passage: int, step: int) -> Callable[[list[str | None]], dict[str, list]]:
+    searcher = Searcher(index, passage, step)
+
+    def search(texts: list[str | None]) -> dict[str, list]:
+        found = [[(index.ids[i], score) for i, score in searcher.leaks(t)] for t in texts]
+        return {"leaked": [bool(f) for f in found], "item_ids": [sorted({i for i, _ in f}) for f in found], "score": [max((s for _, s in f), default=0.0) for f in found]}
+
+    return search
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` written once with a number for each row."""
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+
+
+def dealt_items(items: DataFrame, index_bytes: int) -> tuple[DataFrame, int]:
+    """The items with an id, and how many indexes of ``index_bytes`` of their texts (about) they make."""
+    items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect()[0]["b"]
-    passes = max(1, math.ceil(size / index_bytes))
-    parts = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).alias("part"))
-    out = []
-    for p in range(passes):
-        rows = parts.where(F.col("part") == p).select("item_id", "text").collect()
-        out.append(items.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in rows], passage, share)))
-    return out
+    return items, max(1, math.ceil(size / index_bytes))
+
+
+def one_index(items: DataFrame, passage: int, share: float) -> Broadcast:
+    return items.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in items.collect()], passage, share))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, step: int = STEP, share: float = SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -272,32 +351,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, step:
     or above its threshold; retrieved items are verified by the n-grams that
     their question and answer share with the text around the passage.  An index
     is broadcast; it holds ``index_bytes`` of item texts at most, and more items
-    are searched by as many indexes.
+    are searched by as many indexes, one after the other, with scores as of one.
 
     Null and empty texts leak nothing; items without words or id are not reported;
     items with equal texts are all reported; repeated rows give repeated results;
     an empty table of items leaves every document clean, one of documents gives no rows.
     """
-    shared = indexes(items.where(F.col("item_id").isNotNull()), passage, share, index_bytes)
-
-    def start():
-        searchers = [Searcher(b.value, passage, step) for b in shared]
-
-        def search(texts: list[str | None]) -> dict[str, list]:
-            found = [[(s.index.ids[i], score) for s in searchers for i, score in s.leaks(t)] for t in texts]
-            return {"leaked": [bool(f) for f in found], "item_ids": [sorted({i for i, _ in f}) for f in found], "score": [max((s for _, s in f), default=0.0) for f in found]}
-
-        return search
-
-    return map_texts(docs, "leaked boolean, item_ids array<long>, score double", start)
+    items, parts = dealt_items(items, index_bytes)
+    if parts == 1:
+        shared = one_index(items, passage, share)
+        return map_texts(docs, FOUND, lambda: finder(shared.value, passage, step))
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    found = leaks_by_part(rows, items, parts, passage, step, share)
+    none = F.array().cast("array<long>")
+    return rows.drop("text").join(found, "row", "left").select(
+        "doc_id", F.col("score").isNotNull().alias("leaked"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, step: int = STEP, share: float = SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that give no item away; see :func:`find_leaks`."""
-    shared = indexes(items.where(F.col("item_id").isNotNull()), passage, share, index_bytes)
-
-    def start():
-        searchers = [Searcher(b.value, passage, step) for b in shared]
-        return lambda texts: [not any(s.leaks(t) for s in searchers) for t in texts]
-
-    return filter_texts(docs, start)
+    items, parts = dealt_items(items, index_bytes)
+    if parts == 1:
+        shared = one_index(items, passage, share)
+
+        def start():
+            searcher = Searcher(shared.value, passage, step)
+            return lambda texts: [not searcher.leaks(t) for t in texts]
+
+        return filter_texts(docs, start)
+    row = unused("row", docs)
+    rows = numbered(docs, row)
+    found = leaks_by_part(rows.select(F.col(f"`{row}`").alias("row"), "text"), items, parts, passage, step, share)
+    leaky = found.select(F.col("row").alias(row))
+    return rows.join(leaky, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from foldmill.llm import decontaminate
 from foldmill.llm.decontaminate import ItemIndex, Searcher, find_leaks
@@ -93,3 +94,15 @@ def test_answer_far_from_its_question():
     for parts in ((question, between, answer), (answer, between, question), (between, question, between, answer, between)):
         assert [s.index.ids[i] for i, _ in s.leaks(" ".join(w for p in parts for w in p))] == [0]
     assert s.leaks(" ".join(question + between)) == [] and s.leaks(" ".join(answer + between)) == []
+
+
+def test_number_of_indexes_changes_nothing(spark):
+    items = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").withColumn("row", F.lit("x"))
+    docs = docs.unionAll(docs.limit(3))
+    size = sum(len(i.text.encode()) for i in items.collect())
+    one = [(r.doc_id, r.leaked, r.item_ids, round(r.score, 9)) for r in find_leaks(docs, items).collect()]
+    several = [(r.doc_id, r.leaked, r.item_ids, round(r.score, 9)) for r in find_leaks(docs, items, index_bytes=size // 3).collect()]
+    assert any(r[1] for r in one) and sorted(several) == sorted(one)
+    kept = decontaminate.drop_leaks(docs, items, index_bytes=size // 3)
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(decontaminate.drop_leaks(docs, items).collect())
