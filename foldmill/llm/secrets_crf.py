@@ -32,6 +32,8 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 FIT_DOCS = 8_000
 #: Tokens of a training window; windows without a secret drawn from each document.
 WINDOW, CLEAN_WINDOWS = 24, 1
+#: Windows that a task gathers before it hands them on.
+KEPT_WINDOWS = 4096
 #: Hashed features, steps of the fit, windows of a step, ridge.
 WIDTH, STEPS, STEP_ROWS, RIDGE = 1 << 13, 200, 1536, 1e-6
 #: A training window with a secret counts as so many without.
@@ -167,7 +169,7 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                 secret = np.flatnonzero(tags == BEGIN)
                 seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                 last = max(1, len(tokens) - WINDOW + 1)
-                begin = [max(0, min(i - WINDOW // 2, last - 1)) for i in secret[:64]] + [(seed * (k + 1) * 2654435761 >> 7) % last for k in range(windows)]
+                begin = [max(0, min(i - WINDOW // 2, last - 1)) for i in secret] + [(seed * (k + 1) * 2654435761 >> 7) % last for k in range(windows)]
                 whole = slots("file", file_features(text, len(tokens)))
                 for s in dict.fromkeys(begin):
                     part = range(s, min(s + WINDOW, len(tokens)))
@@ -177,6 +179,9 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                         # again without the names, so that a secret's own shape counts
                         bare = {i: "xxxx" if sign.lower().strip("_-.").endswith(NAMES) else sign for i, sign in signs.items()}
                         rows.append((window_slots(bare, part, len(tokens), whole), tags[s : part.stop].tolist()))
+                    if len(rows) >= KEPT_WINDOWS:
+                        yield pd.DataFrame(rows, columns=["features", "tags"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["features", "tags"])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "features array<int>, tags array<int>")
@@ -195,12 +200,12 @@ def fit_field(features: list[np.ndarray], tags: list[np.ndarray]) -> Field:
     order = np.random.RandomState(7).permutation(n)
     if not n or not (y > 0).any():
         return Field(theta[0], theta[1], np.array([0.0, -1e6, -1e6]))
-    # Windows with a secret are in every step, the others in turn.
+    # Windows with a secret are in every step, or in turn if they are more than a step's; the others in turn.
     secret = (y > 0).any(1)
     marked, plain = order[secret[order]], order[~secret[order]]
     for t in range(1, STEPS + 1):
         some = np.arange((t - 1) * STEP_ROWS, t * STEP_ROWS)
-        at = np.r_[np.resize(marked, min(len(marked), STEP_ROWS)), plain[some[: max(len(plain), 1)] % len(plain)] if len(plain) else plain]
+        at = np.r_[marked[some[: len(marked)] % len(marked)], plain[some[: max(len(plain), 1)] % len(plain)] if len(plain) else plain]
         grad = gradient(theta, x[at], y[at], size[at])
         for p, g, a, b in zip(theta, grad, m1, m2):
             g = g / size[at].sum() + RIDGE * p

@@ -99,3 +99,20 @@ def test_scan(spark, field):
     assert r[0].base_sha256 == hashlib.sha256(crf.joined(crf.base_spans(text)).encode()).hexdigest() and set(crf.joined(crf.base_spans(text)).split(",")) <= set(r[0].spans.split(","))
     assert base.split(",")[0] in r[0].spans
     assert r[1].spans == "" and r[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_every_secret_window_enters_the_fit(spark, monkeypatch):
+    import numpy as np
+
+    from foldmill.llm import secrets_crf
+
+    text = " ".join("some words " * 20 + f"password=Zk{k}q9X{k}w" for k in range(100))
+    rows = secrets_crf.training_windows(spark.createDataFrame([(text,)], "text string")).collect()
+    assert sum(any(r.tags) for r in rows) == 200
+
+    seen = set()
+    monkeypatch.setattr(secrets_crf, "STEP_ROWS", 4)
+    monkeypatch.setattr(secrets_crf, "STEPS", 8)
+    monkeypatch.setattr(secrets_crf, "gradient", lambda theta, x, y, size: [seen.update(x[:, 0, 0].tolist())] and [np.zeros_like(p) for p in theta])
+    secrets_crf.fit_field([np.full(secrets_crf.PER_TOKEN, k, np.int32) for k in range(20)], [np.array([1 if k < 15 else 0]) for k in range(20)])
+    assert seen == set(range(20))
