@@ -21,6 +21,9 @@ SHARE, LEAST = 0.6, 1000
 #: Queries that one pass over the index answers; they are broadcast.
 BLOCK = 4096
 
+#: Rounding of a squared distance by products, for each component and unit of the squared norms.
+ROUNDING = 8 * np.finfo(float).eps
+
 
 @dataclass(frozen=True)
 class MultiIndex:
@@ -137,7 +140,7 @@ def search(
     lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count()
     common = lengths.orderBy(F.desc("count"), "d").limit(1).collect()
     out_schema = f"query_id long, rank int, {id_col} long, score double"
-    if not common or common[0]["d"] < 2:
+    if not common or common[0]["d"] < 1:
         return spark.createDataFrame([], out_schema)
     dims = common[0]["d"]
     rows = vectors.where(usable(F.col(vector_col), dims) & F.col(id_col).isNotNull()).select(
@@ -181,19 +184,33 @@ def scan(rows: DataFrame, index: MultiIndex, asked: pd.DataFrame, entries: int,
                 for start in range(0, len(part) if len(who) else 0, 256):
                     at = part[start : start + 256]
                     # |q - x|^2 by products finds what can enter; what enters is measured anew
-                    rough = (queries[who] ** 2).sum(1)[:, None] - 2 * queries[who] @ x[at].T + (x[at] ** 2).sum(1)
-                    q, e = np.nonzero(rough <= (top_d[who, -1] ** 2 * (1 + 1e-9) + 1e-9)[:, None])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        norms = (queries[who] ** 2).sum(1)[:, None] + (x[at] ** 2).sum(1)
+                        rough = norms - 2 * queries[who] @ x[at].T
+                        # rounding grows with the norms; NaN says nothing
+                        q, e = np.nonzero(~(rough > (top_d[who, -1] ** 2 * (1 + 1e-9))[:, None] + ROUNDING * index.dims * norms))
                     q, e = who[q], at[e]
                     other = ids[q] != have[e]
                     q, e = q[other], e[other]
                     if len(q):
-                        merge(top_d, top_i, q, np.sqrt(((queries[q] - x[e]) ** 2).sum(1)), have[e])
+                        merge(top_d, top_i, q, distance(queries[q] - x[e]), have[e])
         q, j = np.nonzero(np.isfinite(top_d))
         yield pd.DataFrame({"query_id": ids[q], "id": top_i[q, j], "score": top_d[q, j]})
 
     return rows.select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
 
 
+def distance(diff: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; those whose squares overflow are scaled first."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt((diff**2).sum(1))
+    far = np.flatnonzero(np.isinf(d))
+    if len(far):
+        top = np.abs(diff[far]).max(1)
+        d[far] = top * np.sqrt(((diff[far] / top[:, None]) ** 2).sum(1))
+    return d
+
+
 def merge(top_d: np.ndarray, top_i: np.ndarray, q: np.ndarray, d: np.ndarray, i: np.ndarray) -> None:
     """Put candidates (q, d, i) into the sorted lists of the best, in place."""
     k = top_d.shape[1]

@@ -53,3 +53,19 @@ def test_bad_vectors_ties_and_few_rows(spark):
     assert multi_index.search(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     blocks = multi_index.search(df, F.col("vec_id") % 100 == 0, block=1)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in blocks.collect()) == sorted(g[:3] for g in got)
+
+
+@pytest.mark.parametrize("size", [1e4, 1e8, 1e200])
+def test_copies_of_large_vectors_are_found(spark, size):
+    rng = np.random.RandomState(3)
+    q = (rng.standard_normal(64) * size).tolist()
+    rows = [(0, q)] + [(k, q) for k in range(400, 0, -1) if k % 100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = multi_index.search(df, F.col("vec_id") == 0, share=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(k, 0.0) for k in range(1, 11)]
+
+
+def test_vectors_of_one_component(spark):
+    df = spark.createDataFrame([(k, [float(k) + 1]) for k in range(30)], "vec_id long, embedding array<double>")
+    got = multi_index.search(df, F.col("vec_id") == 0, share=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(k, float(k)) for k in range(1, 11)]
