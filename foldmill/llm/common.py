@@ -17,20 +17,19 @@ NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else the context's checkpoint folder.
 
-    Only where the session names none (tests in local mode) a temporary folder
-    is made and set.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder is made if neither is set; on a cluster that is an error.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
     context = spark.sparkContext
-    known = context.getCheckpointDir()
-    if known is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="foldmill-"))
-        known = context.getCheckpointDir()
-    return known.rstrip("/")
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

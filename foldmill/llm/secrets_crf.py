@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import batches, map_texts
+from foldmill.llm.common import batches, drop_table, map_texts, materialise
 
 #: Kinds of spans, in their order; "crf" is what the field adds.
 KINDS = ("assign", "access", "hex", "crf")
@@ -32,10 +34,16 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 FIT_DOCS = 8_000
 #: Tokens of a training window; windows without a secret drawn from each document.
 WINDOW, CLEAN_WINDOWS = 24, 1
+#: Times a secret's window is seen again with another value, and a clean one with a drawn token.
+REDRAWN, REDRAWN_CLEAN = 6, 1
+#: Values and tokens that are drawn for that.
+DRAWN = 3_000
+#: Windows with a secret, and as many without, that the fit sees at most: those that hash smallest.
+FIT_WINDOWS = 6_000
 #: Windows that a task gathers before it hands them on.
 KEPT_WINDOWS = 4096
 #: Hashed features, steps of the fit, windows of a step, ridge.
-WIDTH, STEPS, STEP_ROWS, RIDGE = 1 << 13, 200, 1536, 1e-6
+WIDTH, STEPS, STEP_ROWS, RIDGE = 1 << 13, 200, 256, 1e-6
 #: A training window with a secret counts as so many without.
 SECRET_WEIGHT = 8.0
 #: Shortest span that the field adds, in characters.
@@ -148,12 +156,58 @@ def window_slots(signs: dict[int, str], part: range, n: int, whole: list[int]) -
     return [v for i in part for v in (*three[i][0], *before(i), *after(i), *whole)]
 
 
+def drawn_secret(r: random.Random) -> str:
+    """A value that a secret might have: random signs of one alphabet, now and then behind a prefix."""
+    upper, letters, digits = string.ascii_uppercase, string.ascii_letters, string.digits
+    alphabet = r.choice(["0123456789abcdef", "0123456789ABCDEF", letters + digits, letters + digits, letters + digits + "_-", letters + digits + "+/", upper + digits, string.ascii_lowercase + digits])
+    value = "".join(r.choice(alphabet) for _ in range(r.randrange(14, 65)))
+    prefix = r.choice(["", "", "", "".join(r.choice(upper) for _ in range(4)), "".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(2, 5))) + r.choice("_-")])
+    return prefix + value
+
+
+def drawn_plain(r: random.Random) -> str:
+    """A token that is no secret though it isn't a plain word: numbers, dates, addresses, paths, codes, long or joined words, signs."""
+    letters = r.choice([string.ascii_lowercase, string.ascii_lowercase + "àáäçèéêíñóöùúüß" * 2])
+    syllable = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 5)))
+    word = lambda n=4: "".join(syllable() for _ in range(r.randrange(1, n)))
+    number = lambda n: "".join(r.choice(string.digits) for _ in range(n))
+    made = r.choice([
+        lambda: number(r.randrange(1, 20)), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: "-".join(number(r.randrange(2, 5)) for _ in range(r.randrange(2, 5))),
+        lambda: ".".join(number(r.randrange(1, 4)) for _ in range(4)), lambda: f"{word()}.{word()}@{word()}.{word(2)}", lambda: f"{word()}{number(2)}@{word()}{number(1)}.example.com",
+        lambda: "/".join(word() for _ in range(r.randrange(2, 6))), lambda: f"www.{word()}.{word(2)}/{word()}-{word()}", lambda: "-".join(word() for _ in range(r.randrange(2, 6))),
+        lambda: "_".join(word() for _ in range(r.randrange(2, 5))), lambda: "".join(word().capitalize() for _ in range(r.randrange(2, 4))), lambda: word().upper() + number(r.randrange(1, 5)),
+        lambda: word(9), lambda: word(9).capitalize(), lambda: word(7).upper(), lambda: f"{word()}{number(r.randrange(1, 5))}", lambda: f"+{number(2)}-{number(3)}-{number(4)}",
+        lambda: r.choice("-=*_.~#") * r.randrange(3, 40), lambda: f"{word()}.{word()}", lambda: syllable() * r.randrange(4, 9), lambda: "-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+    ])()
+    return made + (r.choice(["!!", "***", "$$$", "###", "%%%", "&&&", ".", "...", ".***", ".&&&"]) if r.random() < 0.4 else "")
+
+
+@lru_cache(maxsize=1)
+def drawn_tokens() -> tuple[list[str], list[str]]:
+    """Signatures of ``DRAWN`` secrets and of as many tokens that are none; the same in every task."""
+    r = random.Random(1)
+    return tuple([signature(draw(r)) for _ in range(DRAWN)] for draw in (drawn_secret, drawn_plain))
+
+
 def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame:
-    """(features, tags): windows around the secrets that the patterns find, and others by hash."""
+    """(key, marked, features, tags): windows around the secrets that the patterns find, and others by hash.
+
+    A secret's window comes as it is, without the naming words, and without
+    them but with values drawn from other alphabets (:func:`drawn_secret`), so
+    that the shape of a value counts without its name.  A clean window comes as
+    it is and with drawn tokens that are no secrets (:func:`drawn_plain`).
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "marked", "features", "tags"]
         for frame in batches(frames, 128):
             rows = []
+
+            def keep(signs: dict[int, str], part: range, n: int, whole: list[int], tags: np.ndarray) -> None:
+                found = window_slots(signs, part, n, whole)
+                key = zlib.crc32(np.asarray(found, np.int32).tobytes())
+                rows.append((key, bool(tags.any()), found, tags.tolist()))  # noqa: B023
+
             for text in frame["text"]:
                 tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
                 if not tokens:
@@ -174,17 +228,23 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                 for s in dict.fromkeys(begin):
                     part = range(s, min(s + WINDOW, len(tokens)))
                     signs = {i: signature(tokens[i][0]) for i in range(max(0, s - 1), min(part.stop + 1, len(tokens)))}
-                    rows.append((window_slots(signs, part, len(tokens), whole), tags[s : part.stop].tolist()))
-                    if tags[s : part.stop].any():
+                    own, r = tags[s : part.stop], random.Random(seed + int(s))
+                    keep(signs, part, len(tokens), whole, own)
+                    if own.any():
                         # again without the names, so that a secret's own shape counts
                         bare = {i: "xxxx" if sign.lower().strip("_-.").endswith(NAMES) else sign for i, sign in signs.items()}
-                        rows.append((window_slots(bare, part, len(tokens), whole), tags[s : part.stop].tolist()))
+                        keep(bare, part, len(tokens), whole, own)
+                        for _ in range(REDRAWN):
+                            keep(bare | {i: r.choice(drawn_tokens()[0]) for i in part if tags[i] != OUT}, part, len(tokens), whole, own)
+                    else:
+                        for _ in range(REDRAWN_CLEAN):
+                            keep(signs | {i: r.choice(drawn_tokens()[1]) for i in r.sample(part, min(len(part), 4))}, part, len(tokens), whole, own)
                     if len(rows) >= KEPT_WINDOWS:
-                        yield pd.DataFrame(rows, columns=["features", "tags"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-            yield pd.DataFrame(rows, columns=["features", "tags"])
+            yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "features array<int>, tags array<int>")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "key long, marked boolean, features array<int>, tags array<int>")
 
 
 def fit_field(features: list[np.ndarray], tags: list[np.ndarray]) -> Field:
@@ -333,14 +393,26 @@ class Tagger:
                 spans[-1][1] = m.end()
             elif spans:
                 spans[-1][2] = 1  # closed
-        return [("crf", a, b) for a, b, _ in spans if b - a >= LEAST_ADDED and all(b <= s or e <= a for _, s, e in base)]
+        # where the base spans that begin before a place end at the latest
+        starts, reach = [s for _, s, _ in base], [0]
+        for _, _, e in base:
+            reach.append(max(reach[-1], e))
+        return [("crf", a, b) for a, b, _ in spans if b - a >= LEAST_ADDED and reach[bisect_left(starts, b)] <= a]
+
 
+def train(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> Field:
+    """Fit on a bounded sample, tagged by the fixed patterns.
 
-def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
-    """Fit on windows of a bounded sample of whole texts, tagged by the fixed patterns."""
+    Whole texts of ``fit_docs`` documents make windows; of those with a secret
+    ``fit_windows`` reach the driver, and as many without.  Null and empty texts
+    make none, repeated rows make theirs again; without any secret the field adds nothing.
+    """
     chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_docs ids at most
-    rows = training_windows(sample).toPandas()
+    made = materialise(training_windows(sample), "windows")
+    parts = [made.where(F.col("marked") == m).orderBy("key", "features").limit(fit_windows) for m in (True, False)]
+    rows = reduce(DataFrame.unionAll, parts).select("features", "tags").toPandas()
+    drop_table(made)
     windows = [(np.asarray(f, np.int32), np.asarray(t, int)) for f, t in zip(rows["features"], rows["tags"])]
     keyed = sorted(((f.tobytes(), f, t) for f, t in windows), key=lambda x: x[0])
     return fit_field([f for _, f, _ in keyed], [t for _, _, t in keyed])
