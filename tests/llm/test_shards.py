@@ -1,4 +1,9 @@
+import math
 import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from foldmill.llm import kd_shards
 from foldmill.llm.queries import QUERIES
@@ -14,9 +19,13 @@ def check(rows, shards):
     return {s: sum(x["size"] for x in v) for s, v in by.items()}
 
 
-def test_query(spark):
-    docs = {d.doc_id: d for d in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}
-    rows = QUERIES["op10_kd_shards"](spark, f"{DATA}/sf0.1").collect()
+@pytest.fixture(scope="module")
+def placed(spark):
+    return QUERIES["op10_kd_shards"](spark, f"{DATA}/sf0.1").collect()
+
+
+def test_query(spark, placed):
+    docs, rows = {d.doc_id: d for d in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}, placed
     sizes = check(rows, 40)
     assert len(rows) == len(docs) and len(sizes) == 40
     assert max(sizes.values()) < 1.1 * min(sizes.values())
@@ -44,13 +53,59 @@ def test_a_group_larger_than_a_shard_is_divided(spark):
 
 
 def test_small_groups_stay_together_and_reruns_agree(spark):
-    rows = [(i, f"text number {i // 4} " * 5, "en", f"s{i % 5}") for i in range(800)]
+    rows = [(i, f"text number {i // 4} " * 5, f"l{i % 3}", f"s{i % 5}") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = kd_shards.kd_shards(docs.withColumn("source", docs.lang), target_bytes=8000)
+    got = kd_shards.kd_shards(docs, target_bytes=8000)
     where = {}
     for r in got.collect():
         where.setdefault(r.text_crc32, set()).add(r.shard)
-    shards = max(max(v) for v in where.values()) + 1
-    assert sum(len(v) > 1 for v in where.values()) < shards
-    again = kd_shards.kd_shards(docs.withColumn("source", docs.lang).repartition(5), target_bytes=8000)
+    assert all(len(v) == 1 for v in where.values())
+    again = kd_shards.kd_shards(docs.repartition(5), target_bytes=8000)
     assert sorted(got.collect()) == sorted(again.collect())
+
+
+def test_equal_texts_stay_together_and_shards_are_even(spark, placed):
+    """On whole tables, where copies lie in several sources and languages."""
+    docs = {d.doc_id: d for d in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}
+    rows, sizes, groups = placed, check(placed, 40), {}
+    for r in rows:
+        groups.setdefault(docs[r.doc_id].text, []).append(r)
+    several = [v for v in groups.values() if len({docs[r.doc_id].source for r in v}) > 1]
+    assert len(several) > 100 and all(len({r.shard for r in v}) == 1 for v in groups.values())
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def test_cuts_follow_the_widest_dimension(spark, placed):
+    """An independent look at the tree: of each node's rows, all but one group a side are split at a place of the widest dimension."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()
+    rows = {r.doc_id: r for r in placed}
+    by_text, places = {}, {}
+    for d in docs:
+        by_text.setdefault(d.text, []).append(d)
+    label = lambda x: zlib.crc32(x.encode()) % 65535 + 1
+    for text, group in by_text.items():
+        n = len(text.encode())
+        own = (min(int(math.log2(n + 1) * 2048), 65535), min(label(d.source) for d in group), min(label(d.lang) for d in group))
+        places[text] = own, zlib.crc32(text.encode()), sum(n + 16 for _ in group), rows[group[0].doc_id].shard
+
+    def look(first, n):
+        here = {t: p for t, p in places.items() if first <= p[3] < first + n}
+        if n < 2 or len(here) < 4:
+            return
+        widest = max(range(3), key=lambda d: (max(p[0][d] for p in here.values()) - min(p[0][d] for p in here.values()), -d))
+        order = lambda p: (p[0][widest], p[1])
+        left = sorted(order(p) for p in here.values() if p[3] < first + n // 2)
+        right = sorted(order(p) for p in here.values() if p[3] >= first + n // 2)
+        assert left[-1] <= right[0] or left[-2] <= right[0] or left[-1] <= right[1]
+        goal, total = sum(p[2] for p in here.values()) * (n // 2) / n, sum(p[2] for p in here.values() if p[3] < first + n // 2)
+        assert abs(total - goal) <= max(p[2] for p in here.values()) / 2 + 1
+        look(first, n // 2), look(first + n // 2, n - n // 2)
+
+    look(0, 40)
+
+
+def test_rows_alike_in_everything_are_spread(spark):
+    docs = spark.createDataFrame([(None, "the same text", "en", "a")] * 200, "doc_id long, text string, lang string, source string")
+    rows = kd_shards.kd_shards(docs.withColumn("size", F.lit("x")), shards=8).collect()
+    check(rows, 8)
+    assert sorted(Counter(r.shard for r in rows).values()) == [25] * 8
