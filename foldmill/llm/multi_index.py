@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors the two codebooks are fitted on, at most; every row is indexed.
-FIT_ROWS = 20_000
-#: Centroids of each half.
-CENTROIDS = 32
-#: Share of all entries a query reranks, and how many at least.
-SHARE, LEAST = 0.6, 1000
-#: Queries that one pass over the index answers; they are broadcast.
+from foldmill.llm.common import batches, drop_table, materialise
+
+#: Vectors the two codebooks are fitted on, and those of them that say how far a walk has to go, at most; every row is indexed.
+FIT_ROWS, TRIAL_ROWS = 20_000, 256
+#: Centroids of each half, least and most; between them an eighth of the square root of the rows.
+CENTROIDS = (4, 256)
+#: Recall that a walk is meant to reach, and how many entries it visits at least.
+RECALL, LEAST = 0.95, 100
+#: Rows, and queries, that are compared in one group.
 BLOCK = 4096
 
 #: Rounding of a squared distance by products, for each component and unit of the squared norms.
@@ -38,6 +40,11 @@ class MultiIndex:
         half = self.dims // 2
         return nearest(vectors[:, :half], self.first) * len(self.second) + nearest(vectors[:, half:], self.second)
 
+    def summed(self, query: np.ndarray) -> np.ndarray:
+        """Summed squared distance of a query to each pair of centroids."""
+        half = self.dims // 2
+        return (((self.first - query[:half]) ** 2).sum(1)[:, None] + ((self.second - query[half:]) ** 2).sum(1)).ravel()
+
     def visited(self, query: np.ndarray, entries: int) -> np.ndarray:
         """Cells in order of summed distance, until they hold ``entries`` rows.
 
@@ -87,26 +94,40 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def build_index(rows: DataFrame, dims: int, centroids: int = CENTROIDS, fit_rows: int = FIT_ROWS) -> MultiIndex:
-    """Fit the codebooks on the ``fit_rows`` rows whose ids hash smallest, then count every row's cell."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toPandas()
-    x = np.array(sample["vector"].tolist(), float).reshape(-1, dims)
-    half = dims // 2
-    k = max(1, min(centroids, len(x)))
-    empty = MultiIndex(kmeans(x[:, :half], k), kmeans(x[:, half:], k), np.zeros(k * k, np.int64), dims)
+def centroids_for(n: int) -> int:
+    """A power of two near an eighth of the square root of the rows."""
+    least, most = CENTROIDS
+    return min(most, max(least, 1 << math.ceil(math.log2(max(math.sqrt(n) / 8, 1)))))
 
-    def cell_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k * k, np.int64)
-        for frame in frames:
-            total += np.bincount(empty.cells(np.array(frame["vector"].tolist(), float)), minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    counted = rows.select("vector").mapInPandas(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    sizes = np.zeros(k * k, np.int64)
-    for row in counted.collect():  # centroids ** 2 rows at most
-        sizes[row["cell"]] = row["n"]
-    return MultiIndex(empty.first, empty.second, sizes, dims)
+def build_index(rows: DataFrame, n: int, dims: int, k: int, recall: float = RECALL, fit_rows: int = FIT_ROWS) -> tuple[MultiIndex, float]:
+    """Codebooks fitted on the ``fit_rows`` rows whose ids hash smallest, and the share of the rows that a walk has to visit.
+
+    The share is measured on the sample: ``TRIAL_ROWS`` of its vectors are
+    searched for in it by brute force, and it is the share of the entries by which a
+    walk has met ``recall`` of their neighbours.  In the whole table, where
+    neighbours are nearer, the same share finds no fewer.
+    """
+    sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(fit_rows).select("vector").toPandas()
+    x = np.array(sample["vector"].tolist(), float).reshape(-1, dims)
+    half = dims // 2
+    size = max(1, min(centroids_for(n), len(x)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        index = MultiIndex(kmeans(x[:, :half], size), kmeans(x[:, half:], size), np.zeros(size * size, np.int64), dims)
+        cells, met = index.cells(x), []
+        count = np.bincount(cells, minlength=size * size)
+        for q in range(0, len(x), max(1, len(x) // TRIAL_ROWS)):
+            far = ((x - x[q]) ** 2).sum(1)
+            far[q] = np.inf
+            near = np.argpartition(far, min(k, len(x)) - 1)[: min(k, len(x) - 1)]
+            order = np.argsort(index.summed(x[q]), kind="stable")
+            behind = np.cumsum(count[order])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            met.append(behind[place[cells[near]]])
+    reached = np.sort(np.concatenate([np.zeros(0), *met]))
+    share = float(reached[min(len(reached) - 1, math.ceil(recall * len(reached)))]) / len(x) if len(reached) else 1.0
+    return index, share
 
 
 def search(
@@ -115,26 +136,29 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 10,
-    share: float = SHARE,
+    recall: float = RECALL,
+    share: float | None = None,
     least: int = LEAST,
-    centroids: int = CENTROIDS,
     fit_rows: int = FIT_ROWS,
     block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest rows (Euclidean) of every query row, among all rows but itself.
 
     Returns query_id, rank (from 1), the neighbour's id under ``id_col``, score.
-    Each query walks the pairs of centroids by summed distance until the pairs
-    hold ``share`` of all rows (``least`` at least), and reranks all their
-    entries on the original vectors in double precision; equal distances go to
-    the smaller id.  The index is scanned once for each block of queries, which
-    is broadcast: ``block`` of them, whatever the table's size.  Each task keeps
-    k candidates a query, so a cell or a vector that many rows share needs no
-    group of its own.
+    Every row is written once with its pair of centroids.  Each query walks the
+    pairs by summed distance, inside a task, until they hold the share of all rows
+    that reached ``recall`` on a sample (or ``share``, if given; ``least`` rows at least), and
+    meets their entries: rows and queries are joined by the first centroid, both
+    in blocks of about ``block``, so a cell or a vector that many rows share is spread, and each
+    block of rows is read once for each block of queries that visits it.
+    Entries are reranked on the original vectors in double precision; equal
+    distances go to the smaller id.
 
     Rows whose vector is null, zero, of another length than most, or holds null
     or non-finite components take no part on either side, nor do rows without
-    an id.  Rows that share a query's id are not its neighbours.  An empty table gives no rows.
+    an id.  A query's own row alone is no neighbour of it: rows that share its id
+    are, and each of several query rows of one id has its own ranks.  Vectors of
+    one component have an empty first half.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count()
@@ -143,61 +167,95 @@ def search(
     if not common or common[0]["d"] < 1:
         return spark.createDataFrame([], out_schema)
     dims = common[0]["d"]
-    rows = vectors.where(usable(F.col(vector_col), dims) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks")
-    )
-    index = build_index(rows.select("id", "vector"), dims, centroids, fit_rows)
-    n, n_queries = int(index.sizes.sum()), rows.where("asks").count()
-    entries = max(least, k + 1, math.ceil(share * n))
-    blocks = math.ceil(n_queries / block)
-    asked = rows.where("asks").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
-    parts = [scan(rows, index, asked.where(F.col("block") == b).orderBy("id").toPandas(), entries, k) for b in range(blocks)]
-    if not parts:
+    usable_rows = vectors.where(usable(F.col(vector_col), dims) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"),
+    )
+    rows = materialise(usable_rows, "vectors")
+    n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).collect()[0]
+    if not n_queries:
+        drop_table(rows)
         return spark.createDataFrame([], out_schema)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    index, measured = build_index(rows, n, dims, k, recall, fit_rows)
+    entries = max(least, k + 1, math.ceil((measured if share is None else share) * n))
+    codebooks = spark.sparkContext.broadcast(index)  # CENTROIDS[1] vectors at most
 
+    def with_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(cell=codebooks.value.cells(np.array(frame["vector"].tolist(), float).reshape(-1, dims)))
+
+    indexed = materialise(rows.mapInPandas(with_cells, "id long, vector array<double>, asks boolean, row long, cell long"), "indexed")
+    drop_table(rows)
+    sizes = np.zeros(len(index.sizes), np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # CENTROIDS[1] ** 2 rows at most
+        sizes[r["cell"]] = r["count"]
+    second = len(index.second)
+    walked = spark.sparkContext.broadcast(MultiIndex(index.first, index.second, sizes, dims))
+    #: Into how many blocks the rows of each first centroid and the queries are dealt.
+    spread = np.maximum(1, -(-sizes.reshape(-1, second).sum(1) // block))
+    turns = max(1, math.ceil(n_queries / block))
+
+    def walks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames, 256):
+            out = []
+            for q_row, vector in zip(frame["row"], frame["vector"]):
+                cells = walked.value.visited(np.asarray(vector, float), entries)
+                for a in np.unique(cells // second):
+                    seconds = (cells[cells // second == a] % second).astype(np.int32)
+                    out += [(int(a), b, vector, q_row, seconds) for b in range(spread[a])]
+            frame = frame.set_index("row")
+            yield pd.DataFrame({
+                "first": [o[0] for o in out], "deal": [o[1] for o in out], "turn": [o[3] % turns for o in out], "query": [o[3] for o in out],
+                "query_id": frame["id"].loc[[o[3] for o in out]].to_numpy(), "vector": [o[2] for o in out], "seconds": [o[4] for o in out],
+            })
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            first = frame["cell"] // second
+            # rows of a table are numbered one after the other, so numbers deal alike rows evenly
+            yield pd.DataFrame({"first": first, "deal": frame["row"] % spread[first], "id": frame["id"], "row": frame["row"], "vector": frame["vector"], "second": frame["cell"] % second})
 
-def scan(rows: DataFrame, index: MultiIndex, asked: pd.DataFrame, entries: int, k: int) -> DataFrame:
-    """The best ``k`` entries of each query of one block in each partition of the index."""
-    asked = asked.drop_duplicates("id")
-    ids, queries = asked["id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(-1, index.dims)
-    visits = np.zeros((len(index.sizes), len(ids)), bool)
-    for q, vector in enumerate(queries):
-        visits[index.visited(vector, entries), q] = True
-    shared = rows.sparkSession.sparkContext.broadcast((index, ids, queries, np.packbits(visits, axis=1)))
+    asked = indexed.where("asks").select("id", "vector", "row").mapInPandas(walks, "first long, deal long, turn long, query long, query_id long, vector array<double>, seconds array<int>")
+    entry = indexed.select("id", "vector", "row", "cell").mapInPandas(dealt, "first long, deal long, id long, row long, vector array<double>, second long")
+    entry = entry.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)).cast("array<long>")))
+    key = ["first", "deal", "turn"]
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, ids, queries, packed = shared.value
-        visits = np.unpackbits(packed, axis=1, count=len(ids)).astype(bool)
-        top_d, top_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for frame in frames:
-            have, x = frame["id"].to_numpy(), np.array(frame["vector"].tolist(), float)
-            cells = index.cells(x)
-            order = np.argsort(cells, kind="stable")
-            cuts = np.flatnonzero(np.diff(cells[order])) + 1
-            for part in np.split(order, cuts):
-                who = np.flatnonzero(visits[cells[part[0]]])
-                for start in range(0, len(part) if len(who) else 0, 256):
-                    at = part[start : start + 256]
-                    # |q - x|^2 by products finds what can enter; what enters is measured anew
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        norms = (queries[who] ** 2).sum(1)[:, None] + (x[at] ** 2).sum(1)
-                        rough = norms - 2 * queries[who] @ x[at].T
-                        # rounding grows with the norms; NaN says nothing
-                        q, e = np.nonzero(~(rough > (top_d[who, -1] ** 2 * (1 + 1e-9))[:, None] + ROUNDING * index.dims * norms))
-                    q, e = who[q], at[e]
-                    other = ids[q] != have[e]
-                    q, e = q[other], e[other]
-                    if len(q):
-                        merge(top_d, top_i, q, distance(queries[q] - x[e]), have[e])
-        q, j = np.nonzero(np.isfinite(top_d))
-        yield pd.DataFrame({"query_id": ids[q], "id": top_i[q, j], "score": top_d[q, j]})
-
-    return rows.select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
+    def compare(asked: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return best_of_block(asked, entry, second, dims, k)
+
+    found = asked.groupBy(*key).cogroup(entry.groupBy(*key)).applyInPandas(compare, "query long, query_id long, id long, score double")
+    order = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
+    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def best_of_block(asked: pd.DataFrame, entry: pd.DataFrame, second: int, dims: int, k: int) -> pd.DataFrame:
+    """The best ``k`` entries that each query visits in one block of rows."""
+    if not len(asked) or not len(entry):
+        return pd.DataFrame({"query": [], "query_id": [], "id": [], "score": []})
+    queries, x = (np.array(f["vector"].tolist(), float).reshape(-1, dims) for f in (asked, entry))
+    own, have, ids = asked["query"].to_numpy(np.int64), entry["row"].to_numpy(np.int64), entry["id"].to_numpy(np.int64)
+    visits = np.zeros((len(queries), second), bool)
+    for q, seconds in enumerate(asked["seconds"]):
+        visits[q, seconds] = True
+    cell = entry["second"].to_numpy(np.int64)
+    top_d, top_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    with np.errstate(over="ignore", invalid="ignore"):
+        q_norm, x_norm = (queries**2).sum(1), (x**2).sum(1)
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
+            # |q - x|^2 by products finds what can enter; what enters is measured anew
+            norms = q_norm[:, None] + x_norm[part]
+            rough = norms - 2 * queries @ x[part].T
+            # rounding grows with the norms; NaN says nothing
+            open_to = ~(rough > (top_d[:, -1] ** 2 * (1 + 1e-9))[:, None] + ROUNDING * dims * norms)
+            q, e = np.nonzero(open_to & visits[:, cell[part]])
+            e = e + at
+            other = own[q] != have[e]
+            q, e = q[other], e[other]
+            if len(q):
+                merge(top_d, top_i, q, distance(queries[q] - x[e]), ids[e])
+    q, j = np.nonzero(np.isfinite(top_d))
+    return pd.DataFrame({"query": own[q], "query_id": asked["query_id"].to_numpy(np.int64)[q], "id": top_i[q, j], "score": top_d[q, j]})
 
 
 def distance(diff: np.ndarray) -> np.ndarray:

@@ -69,3 +69,42 @@ def test_vectors_of_one_component(spark):
     df = spark.createDataFrame([(k, [float(k) + 1]) for k in range(30)], "vec_id long, embedding array<double>")
     got = multi_index.search(df, F.col("vec_id") == 0, share=1.0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(k, float(k)) for k in range(1, 11)]
+
+
+def test_repeated_ids_and_columns_with_clashing_names(spark):
+    """Only the query's own row is left out: of rows that share its id each is a neighbour, and each query row has its ranks."""
+    rng = np.random.RandomState(4)
+    x = rng.standard_normal((60, 6)).round(2)
+    x[20:25] = x[0]
+    ids = np.r_[[0, 0, 0], np.arange(3, 57), [100, 100, 5]]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    df = df.withColumns({c: F.lit("x") for c in ("id", "row", "vector", "asks", "cell", "first", "second", "deal", "turn", "query", "query_id", "rank", "score")})
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in multi_index.search(df, F.col("vec_id") % 100 == 0, share=1.0, block=7).collect())
+    want = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [e for e in np.lexsort((ids, d)) if e != q][:10]
+        want += [(int(ids[q]), k + 1, int(ids[e]), round(float(d[e]), 9)) for k, e in enumerate(order)]
+    assert got == sorted(want) and len(got) == 50
+
+
+def test_walk_skips_most_rows_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    centres = rng.standard_normal((40, 16)) * 6
+    x = centres[rng.randint(40, size=4000)] + rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    real = multi_index.build_index
+    monkeypatch.setattr(multi_index, "build_index", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    want = brute(np.arange(4000), x, range(0, 4000, 100))
+    got = {}
+    for r in multi_index.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert seen[0][1] < 0.2
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_rows_and_queries_in_blocks_like_one_block(spark):
+    table = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
+    one, several = (sorted(multi_index.search(table, F.col("vec_id") % 20 == 0, share=0.4, block=b).collect()) for b in (4096, 9))
+    assert one == several and len(one) == 250
