@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 KEPT_WORDS = 800_000
 #: Longer pre-tokens are cut further, where no piece can join them.
 LONG = 32
+#: What is still longer then is merged by a queue of its pairs: rounds over all of it would cost the square of its length.
+QUEUED = 512
 NONE = np.int32(2**31 - 1)
 
 
@@ -62,6 +65,7 @@ class PieceMerger:
         #: Neighbouring characters inside pieces; between any two others no merge ever reaches.
         self.inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.names for a, b in zip(p, p[1:])] + [2**62], np.int64))
         self.kept: dict[str, int] = {}
+        self.ranks, self.made_of = self.rank.tolist(), {}  # for count_long, filled when it is first asked for
         # Where pieces of spaces alone come last and tie, a run fills up from the left with the longest of them.
         spaces = [len(p) for p in self.names if len(p) > 1 and p == SPACE * len(p)]
         top = max(spaces, default=0)
@@ -123,6 +127,47 @@ class PieceMerger:
             piece, owner = piece[keep], owner[keep]
         return total
 
+    def count_long(self, word: str) -> int:
+        """Tokens of one long pre-token, by the same order of merges: best rank first, of equal ones the leftmost.
+
+        A queue holds each pair that can be merged; pairs that have changed since are passed over.
+        """
+        if not self.made_of:
+            self.made_of.update(zip(self.pair_key[:-1].tolist(), self.pair_made[:-1].tolist()))
+        made_of, rank, size, n = self.made_of, self.ranks, len(self.names), len(word)
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = self.of_point[points]
+        total = int(np.where(at < 0, self.byte_len[points], 1).sum())
+        made = self.made_by(at[:-1], at[1:])
+        first = np.flatnonzero(made >= 0)
+        queue = (self.rank[made[first]].astype(np.int64) * n + first).tolist()
+        heapq.heapify(queue)
+        wanted = np.where(made >= 0, self.rank[made], -1).tolist() + [-1]  # rank of the pair that begins at a place
+        piece, after, before = at.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while queue:
+            r, i = divmod(heapq.heappop(queue), n)
+            if wanted[i] != r:
+                continue
+            j = after[i]
+            new = piece[i] = made_of[piece[i] * size + piece[j]]
+            total -= 1
+            wanted[j], wanted[i], k, p = -1, -1, after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                other = piece[k]
+                grown = made_of.get(new * size + other, -1) if other >= 0 else -1
+                if grown >= 0:
+                    wanted[i] = rank[grown]
+                    heapq.heappush(queue, wanted[i] * n + i)
+            if p >= 0:
+                other = piece[p]
+                grown = made_of.get(other * size + new, -1) if other >= 0 else -1
+                wanted[p] = rank[grown] if grown >= 0 else -1
+                if grown >= 0:
+                    heapq.heappush(queue, wanted[p] * n + p)
+        return total
+
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text."""
         split = [self.segments(t) for t in texts]
@@ -130,8 +175,10 @@ class PieceMerger:
         if len(self.kept) + len(fresh) > KEPT_WORDS:
             self.kept.clear()
             fresh = list({w for words in split for w in words})
-        for start in range(0, len(fresh), 50_000):
-            part = fresh[start : start + 50_000]
+        self.kept.update((w, self.count_long(w)) for w in fresh if len(w) > QUEUED)
+        short = [w for w in fresh if len(w) <= QUEUED]
+        for start in range(0, len(short), 50_000):
+            part = short[start : start + 50_000]
             self.kept.update(zip(part, self.count(part).tolist()))
         get = self.kept.__getitem__
         totals = [sum(map(get, words)) for words in split]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import sentencepiece
@@ -36,6 +37,19 @@ def test_long_words():
     assert MERGER.texts(texts) == [len(x) for x in SP.encode(texts)]
 
 
+def test_words_of_any_length_by_the_queue():
+    """Pairs by a queue against pairs by rounds, on short words too, and on unbroken words of 300,000 signs against the library."""
+    r = random.Random(7)
+    alphabets = ("etaoinsr", "ab", "the", "▁▁a", "日本語é的", "=-_", "abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(r.choice(s) for _ in range(r.randrange(1, 120))) for s in alphabets for _ in range(150)]
+    assert [MERGER.count_long(w) for w in words] == MERGER.count(words).tolist()
+    for s in ("etaoinsr", "the", "ab", "a"):
+        texts = ["".join(r.choice(s) for _ in range(300_000)), s * (300_000 // len(s))]
+        began = time.time()
+        assert MERGER.texts(texts) == [len(x) for x in SP.encode(texts)]
+        assert time.time() - began < 60
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in QUERIES["op7_token_counts"](spark, f"{DATA}/sf0.01").collect()}
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()
