@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -35,6 +36,8 @@ NOTICES = (
 )
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
+#: Windows of one notice in a text that go straight to the regular expression, and that have their distances taken at once.
+FEW, AT_ONCE = 4, 4096
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Every byte that isn't part of a word becomes a space.
@@ -69,13 +72,36 @@ def _search(notices: tuple[tuple[str, str], ...], per_edit: int):
     return machine, compiled
 
 
+def within(codes: np.ndarray, places: list[tuple[int, int]], notice: str, edits: int) -> np.ndarray:
+    """Whether each window (start, stop) of a text, given as code points, holds the notice with ``edits`` edits at most.
+
+    The table of edit distances, a row for each sign of the notice, for many
+    windows at once; what can't match never reaches the regular expression.
+    """
+    out, width = [], max(b - a for a, b in places)
+    steps = np.arange(width + 1, dtype=np.int16)
+    for at in range(0, len(places), AT_ONCE):
+        part = np.array(places[at : at + AT_ONCE])
+        index = part[:, :1] + np.arange(width)
+        signs = np.where(index < part[:, 1:], codes[np.minimum(index, len(codes) - 1)], 0)
+        before = np.zeros((len(part), width + 1), np.int16)  # the notice may begin anywhere
+        for k, sign in enumerate(notice, 1):
+            row = np.full_like(before, k)
+            np.minimum(before[:, :-1] + (signs != ord(sign)), before[:, 1:] + 1, out=row[:, 1:])
+            before = np.minimum.accumulate(row - steps, axis=1) + steps
+        out.append(before.min(1) <= edits)
+    return np.concatenate(out)
+
+
 def fuzzy_spans(low: str, notices: Sequence[tuple[str, str]] = NOTICES, per_edit: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int]]:
     """(label, start, stop, edits) of the notices found in a lower-cased text.
 
     A seed found at a place says where its notice would begin, give or take the
     edits; only such windows are matched, each by itself, so a text costs the
-    same for each seed however many stand in it.  A window is too short for two
-    matches; matches of one notice don't overlap.
+    same for each seed however many stand in it.  Where there are more than a
+    few windows, edit distances taken for all of them at once (:func:`within`)
+    leave the regular expression those that match.  A window is too short for
+    two matches; matches of one notice don't overlap.
     """
     machine, compiled = _search(tuple(notices), per_edit)
     windows: dict[int, set[tuple[int, int]]] = {}
@@ -84,18 +110,25 @@ def fuzzy_spans(low: str, notices: Sequence[tuple[str, str]] = NOTICES, per_edit
             _, size, edits, _ = compiled[k]
             start = end - length + 1 - at
             windows.setdefault(k, set()).add((max(0, start - edits), min(start + size + edits, len(low))))
-    found = []
+    found, codes = [], None
     for k, places in windows.items():
         pattern, size, edits, label = compiled[k]
-        done = 0
-        for a, b in sorted(places):
+        done, known, ordered = 0, {}, sorted(places)
+        if len(ordered) > FEW:
+            codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) if codes is None else codes
+            ordered = [p for p, near in zip(ordered, within(codes, ordered, notices[k][0], edits)) if near]
+        for a, b in ordered:
             a = max(a, done)
             if b - a < size - edits:
                 continue
-            m = pattern.search(low, a, b)
-            if m:
-                found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                done = m.end()
+            window = low[a:b]
+            if window not in known:  # a notice that a text repeats is matched once
+                m = pattern.search(window)
+                known[window] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+            if known[window]:
+                start, stop, e = known[window]
+                found.append((label, a + start, a + stop, e))
+                done = a + stop
     # Of notices that overlap the one with the fewest edits stands, then the longest, then the first label.
     kept: list[tuple[int, int, str, int]] = []  # by start; none overlaps another
     for label, a, b, e in sorted(set(found), key=lambda x: (x[3], x[1] - x[2], x[0], x[1])):

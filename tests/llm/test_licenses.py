@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import regex
 
@@ -55,3 +56,30 @@ def test_each_of_several_notices_is_found():
     assert [s[3] for s in fuzzy_spans(text)] == [1, 0, 1]
     assert [text[a:b] for _, a, b, _ in fuzzy_spans(text)] == [worse, notice, worse]
     assert len(fuzzy_spans("gnu lesser general public licence " * 5000)) == 5000
+
+
+def test_near_misses_cost_little_and_change_nothing(monkeypatch):
+    """Runs of near misses, alike and each different, of 1 MB and with matches among them, against the regular expression alone."""
+    r = random.Random(3)
+    parts = ["released under the mit ", "license ", "licensed under the apache ", "gnu general public ", "permission is hereby granted, free ", "all rights ", "é日"]
+    texts = ["".join(r.choice(parts) + "q" * r.randrange(4) for _ in range(40)) + edited(r.choice(NOTICES)[0], r.randrange(5), r) for _ in range(60)]
+    quick = [fuzzy_spans(t) for t in texts]
+    monkeypatch.setattr(licenses, "FEW", 10**9)
+    assert [fuzzy_spans(t) for t in texts] == quick and any(quick)
+    monkeypatch.undo()
+    for make in (lambda: "released under the mit ", lambda: f"released under the mit {r.randrange(10**6)} ", lambda: f"license {r.randrange(10**6)} "):
+        text = "".join(make() for _ in range(40_000))[:1_000_000]
+        began = time.time()
+        assert fuzzy_spans(text) == [] and time.time() - began < 30
+
+
+def test_windows_by_edit_distances():
+    r = random.Random(4)
+    for _ in range(200):
+        notice = "".join(r.choice("abc ") for _ in range(r.randrange(1, 12)))
+        text = "".join(r.choice("abc ") for _ in range(40))
+        places = sorted({(a, min(40, a + r.randrange(1, 20))) for a in r.sample(range(40), 6)})
+        codes = licenses.np.frombuffer(text.encode("utf-32-le"), licenses.np.uint32)
+        for edits in (0, 1, 2):
+            want = [bool(regex.search(rf"(?:{regex.escape(notice)}){{e<={edits}}}", text[a:b])) for a, b in places]
+            assert licenses.within(codes, places, notice, edits).tolist() == want
