@@ -18,6 +18,10 @@ from foldmill.llm.common import batches, drop_table, map_texts, materialise
 BAND = 1.5
 #: Rounds that compare each document with one other of its tiles, before all that is left.
 STAR_ROUNDS = 2
+#: Members of a tile that are compared in full; those of larger tiles have to share a rare shingle too.
+FULL = 256
+#: Texts that one head is compared with in one place.
+SHARED = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,8 +125,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(ids_and_texts(docs), "n long, h1 long, h2 long, bitmap array<long>", lambda: signed)
 
 
-def tile_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, rep): the tiles of each distinct set, under the smallest id that has it."""
+def set_tiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(rep, keys): the tiles of each distinct set, under the smallest id that has it."""
 
     def tiled(texts: list[str | None]) -> dict[str, list]:
         sets = [shingle_set(t, width) for t in texts]
@@ -135,8 +139,18 @@ def tile_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     named = ids_and_texts(docs).where("doc_id is not null")
     found = map_texts(named, "h1 long, h2 long, keys array<long>", lambda: tiled, most=256).where("size(keys) > 0")
-    sets = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    return sets.select(F.explode("keys").alias("key"), "rep")
+    return found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
+
+
+def shared_tiles(sets: DataFrame) -> DataFrame:
+    """(key, rep, head) of the tiles that several sets share; the head is the smallest.
+
+    Heads come from pre-aggregated minima and maxima, so no tile is gathered in
+    one place; the join that hands them out may split a tile of many rows.
+    """
+    rows = sets.select(F.explode("keys").alias("key"), "rep")
+    ends = rows.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
+    return rows.join(ends, "key").select("key", "rep", "head")
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -203,22 +217,64 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection; ``texts`` has id and text."""
-    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose sets link, by exact intersection; ``texts`` has id and text.
+
+    Members go to their head, ``SHARED`` of them to one place about; the head's text goes once
+    to each place, where it comes first and its set is made once.
+    """
+    sized = pairs.join(pairs.groupBy("a").count(), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SHARED)).alias("place"))
+    own = texts.select(F.col("id").alias("b"), "text")
+    members = sized.join(own, "b").select("a", "place", "b", "text")
+    heads = sized.select("a", "place").distinct().join(own.withColumnRenamed("b", "a"), "a").select("a", "place", F.lit(None).cast("long").alias("b"), "text")
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, heads = None, []
+        for frame in frames:
+            found = []
+            for a, place, b, text in zip(frame["a"], frame["place"], frame["b"], frame["text"]):
+                if (a, place) != here:
+                    here, heads = (a, place), []
+                values = shingle_set(text, width)
+                if b != b or b is None:  # a head; rows that share its id may have other texts
+                    heads.append(values)
+                elif any(link(h, values, num, den) for h in heads):
+                    found.append((a, int(b)))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    placed = heads.unionByName(members).repartition("a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first())
+    return placed.mapInPandas(linked, "a long, b long")
+
+
+def rare_pairs(sets: DataFrame, texts: DataFrame, width: int, num: int, den: int, made: list[DataFrame]) -> DataFrame:
+    """(a, b): pairs of ``sets(rep, comp, n, bitmap)`` in different components that share a rare shingle and may link.
+
+    For tiles that many unlike sets share, say by a passage that stands in all of
+    them.  Shingles are ordered by how many of the sets hold them, rarest first; sets
+    that link share at least one of the first n - ceil(n * num / den) + 1 of either.
+    The table that the pairs are read from is added to ``made``.
+    """
+
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
-            seen: dict[str, np.ndarray] = {}
+            found = [shingle_set(t, width).view(np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"rep": np.repeat(frame["id"].to_numpy(), [len(f) for f in found]), "shingle": np.concatenate([np.zeros(0, np.int64), *found])})
 
-            def of(text: str) -> np.ndarray:
-                if text not in seen:
-                    seen[text] = shingle_set(text, width)
-                return seen[text]
+    rows = texts.join(sets.select(F.col("rep").alias("id")), "id").select("id", "text").mapInPandas(shingles, "rep long, shingle long").distinct()
+    rows = materialise(rows, "shingles")
+    made.append(rows)
+    known = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
+    total, place = F.count("*").over(Window.partitionBy("rep")), F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    first = known.withColumn("total", total).withColumn("place", place).where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * num / den) + 1)
+    side = first.select("shingle", "rep").join(sets, "rep")
+    return pairs_within(side, "shingle", num, den)
 
-            keep = [link(of(x), of(y), num, den) for x, y in zip(frame["text_a"], frame["text_b"])]
-            yield frame.loc[keep, ["a", "b"]]
 
-    return sides.select("a", "b", "text_a", "text_b").mapInPandas(linked, "a long, b long")
+def pairs_within(side: DataFrame, key: str, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of the rows of ``side(key, rep, comp, n, bitmap)`` that share a key, lie in different components and may link."""
+    a = side.select(key, F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
+    b = side.select(key, F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    room = may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
+    return a.join(b, (a[key] == b[key]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -232,8 +288,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sorted arrays.  As components are asked for, a tile is done once its nodes
     are in one component: the first rounds compare each node with the one node,
     heading a tile, that shares most tiles with it; then all pairs of tiles
-    that still lie in different components are compared.  No pair of nodes that
-    links can be missed, and no group of copies is expanded into its pairs.
+    that still lie in different components are compared, those of tiles of more than
+    ``FULL`` nodes only where they share a rare shingle, as nodes that link do
+    (:func:`rare_pairs`).  No pair of nodes that links can be missed, and no
+    group of copies, nor of texts with a passage in common, is expanded into its pairs.
 
     Null, empty and blank texts have 0 shingles and stay alone; fewer words than
     ``width`` make one shingle; rows that share an id count as one document; a
@@ -242,17 +300,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     members = materialise(signatures(docs, width), "members")
     nodes = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    whole = Window.partitionBy("key")
-    tiles = (
-        tile_rows(docs, width, num, den)
-        .withColumn("head", F.min("rep").over(whole)).withColumn("last", F.max("rep").over(whole))
-        .where("head <> last").select("key", "rep", "head")
-    )
-    tiles = materialise(tiles, "tiles")
+    sets = materialise(set_tiles(docs, width, num, den), "sets")
+    tiles = materialise(shared_tiles(sets), "tiles")
+    drop_table(sets)
     met = tiles.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met, "id")
     # An id that repeated rows share may have several texts; each of them is compared.
-    texts = materialise(texts.where("text is not null").distinct(), "texts")
+    texts = texts.where("text is not null").withColumn("hash", F.xxhash64("text", F.reverse("text")))
+    texts = materialise(texts.dropDuplicates(["id", "hash"]).drop("hash"), "texts")
     marks = materialise(nodes.select(F.col("rep").alias("id"), "n", "bitmap").join(met, "id"), "marks")
     links, comp = None, met.select("id", F.col("id").alias("comp"))
     done = [tiles, texts, marks]
@@ -274,10 +329,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             pairs = pairs.where(may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)).select("a", "b")
         else:
             side = labelled.select("key", "rep", "comp").join(marks.withColumnRenamed("id", "rep"), "rep")
-            a = side.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-            b = side.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-            room = may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
+            large = materialise(labelled.groupBy("key").count().where(F.col("count") > FULL).select("key"), "large")
+            pairs = pairs_within(side.join(large, "key", "left_anti"), "key", num, den)
+            done.append(large)
+            if not large.isEmpty():
+                crowd = side.join(large, "key", "left_semi").select("rep", "comp", "n", "bitmap").dropDuplicates(["rep"])
+                crowd = materialise(crowd, "crowd")
+                done.append(crowd)
+                pairs = pairs.unionAll(rare_pairs(crowd, texts, width, num, den, done)).distinct()
         new = materialise(verify(pairs, texts, width, num, den), "links")
         done.append(new)
         if new.isEmpty():

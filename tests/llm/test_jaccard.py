@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,8 +8,15 @@ from foldmill.llm import jaccard
 from tests.conftest import DATA
 
 
+def shingles(text, width):
+    """Sets of word tuples, by the rule and not by the code under test."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    n = min(width, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
 def brute(rows, width, num, den):
-    sets = [set(jaccard.shingle_set(t, width).tolist()) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -44,6 +52,27 @@ def test_like_all_pairs(spark, width, num, den, seed):
     assert got == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize("seed", [5])
+def test_large_tiles_and_shared_heads_like_all_pairs(spark, monkeypatch, seed):
+    """The ways for tiles of many sets and heads of many members, from the third member on; unlike texts share a passage."""
+    monkeypatch.setattr(jaccard, "FULL", 2)
+    monkeypatch.setattr(jaccard, "SHARED", 2)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    r = random.Random(seed)
+    words, rows = [f"w{i}" for i in range(300)], []
+    passage = [r.choice(words) for _ in range(40)]
+    for _ in range(8):
+        base = [r.choice(words) for _ in range(30)] + passage
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(r.randrange(0, 4)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            rows.append((len(rows) * 7 % 1009, " ".join(copy)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 75, 100).collect()}
+    want = brute(rows, 3, 75, 100)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 96
+
+
 def test_documents_like_all_pairs(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, 4, 85, 100).collect()}

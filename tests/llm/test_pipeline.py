@@ -3,8 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from foldmill.llm import decontaminate, jaccard, mixing, quality_rules
+from foldmill.llm import decontaminate, mixing, quality_rules
 from tests.conftest import DATA
+from tests.llm.test_jaccard import shingles
 
 SF = f"{DATA}/sf0.01"
 
@@ -25,7 +26,7 @@ def test_stages(spark):
     right = [(labels[i] == 1) == (i in ids["near_copies"]) for i in labels]
     assert sum(right) >= 0.98 * len(right)
 
-    sets = {r.doc_id: set(jaccard.shingle_set(r.text, 5).tolist()) for r in rows["near_copies"]}
+    sets = {r.doc_id: shingles(r.text, 5) for r in rows["near_copies"]}
     order, parent = sorted(sets), {i: i for i in sets}
 
     def find(x):
