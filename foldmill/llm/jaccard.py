@@ -142,15 +142,42 @@ def set_tiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
 
 
-def shared_tiles(sets: DataFrame) -> DataFrame:
+def shared_tiles(sets: DataFrame, made: list[DataFrame]) -> DataFrame:
     """(key, rep, head) of the tiles that several sets share; the head is the smallest.
 
-    Heads come from pre-aggregated minima and maxima, so no tile is gathered in
-    one place; the join that hands them out may split a tile of many rows.
+    Rows are dealt by ranges of key and set, so that a tile of many sets is cut
+    like any other run of rows, and are read in order: a tile that lies in one
+    partition is settled there.  The first and last tile of each partition may go
+    on in others; their heads come from pre-aggregated minima.  The table
+    that the tiles are read from is added to ``made``.
     """
-    rows = sets.select(F.explode("keys").alias("key"), "rep")
-    ends = rows.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
-    return rows.join(ends, "key").select("key", "rep", "head")
+    rows = sets.select(F.explode("keys").alias("key"), "rep").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rep, first = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+
+        def told(key: np.ndarray, rep: np.ndarray, cut: bool) -> pd.DataFrame:
+            """Rows of whole tiles; with ``cut`` all of them may go on elsewhere, else the first tile may if ``first``."""
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            sizes = np.diff(np.r_[starts, len(key)])
+            open_end = np.full(len(starts), cut) | (first & (np.arange(len(starts)) == 0))
+            keep = open_end | (rep[starts] != rep[starts + sizes - 1])
+            at = np.repeat(keep, sizes)
+            return pd.DataFrame({"key": key[at], "rep": rep[at], "head": np.repeat(rep[starts], sizes)[at], "cut": np.repeat(open_end, sizes)[at]})
+
+        for frame in frames:
+            key, rep = np.r_[key, frame["key"].to_numpy()], np.r_[rep, frame["rep"].to_numpy()]
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield told(key[:last], rep[:last], False)
+                key, rep, first = key[last:], rep[last:], False
+        yield told(key, rep, True)
+
+    local = materialise(rows.mapInPandas(settled, "key long, rep long, head long, cut boolean"), "tiles")
+    made.append(local)
+    border = local.where("cut")
+    ends = border.groupBy("key").agg(F.min("head").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
+    return local.where(~F.col("cut")).select("key", "rep", "head").unionAll(border.select("key", "rep").join(ends, "key").select("key", "rep", "head"))
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -300,9 +327,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     members = materialise(signatures(docs, width), "members")
     nodes = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    sets = materialise(set_tiles(docs, width, num, den), "sets")
-    tiles = materialise(shared_tiles(sets), "tiles")
-    drop_table(sets)
+    done: list[DataFrame] = []
+    tiles = shared_tiles(set_tiles(docs, width, num, den), done)
     met = tiles.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met, "id")
     # An id that repeated rows share may have several texts; each of them is compared.
@@ -310,7 +336,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     texts = materialise(texts.dropDuplicates(["id", "hash"]).drop("hash"), "texts")
     marks = materialise(nodes.select(F.col("rep").alias("id"), "n", "bitmap").join(met, "id"), "marks")
     links, comp = None, met.select("id", F.col("id").alias("comp"))
-    done = [tiles, texts, marks]
+    done += [texts, marks]
     for turn in range(STAR_ROUNDS + 1):
         labelled = tiles.join(comp.withColumnRenamed("id", "rep"), "rep")
         if turn:

@@ -110,3 +110,21 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201)]
     got = {r.id: r.comp for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys([*range(41), 100], 0) | {200: 200, 201: 200}
+
+
+def test_tiles_cut_by_partitions_keep_one_head(spark):
+    """One tile that most sets share, dealt over many partitions, and tiles of one, two and three sets."""
+    rows = [(k, [7]) for k in range(300)] + [(1000 + k, [100 + k // (1 + k % 3), 7 if k % 2 else 8]) for k in range(90)]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        made = []
+        sets = spark.createDataFrame(rows, "rep long, keys array<long>").repartition(5)
+        got = sorted(map(tuple, jaccard.shared_tiles(sets, made).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by = {}
+    for rep, keys in rows:
+        for key in keys:
+            by.setdefault(key, []).append(rep)
+    assert got == sorted((key, rep, min(reps)) for key, reps in by.items() if len(reps) > 1 for rep in reps)
+    assert made[0].where("cut").select("key").distinct().count() > 1
