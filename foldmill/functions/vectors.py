@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is named inside (lambdas would work it out for each element)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -29,8 +36,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(doubles(v), lambda x: x / size)).otherwise(doubles(v))
+    whole = bound(F.struct(doubles(v).alias("v")), lambda s: F.struct(s["v"].alias("v"), norm(s["v"]).alias("size")))
+    return bound(whole, lambda s: F.when(s["size"] > 0, F.transform(s["v"], lambda x: x / s["size"])).otherwise(s["v"]))
 
 
 def masked_mean(tokens: Column, mask: Column) -> Column:
@@ -69,15 +76,20 @@ def linear_grid(n: int) -> Column:
 def min_max(v: Column, mask: Column | None = None) -> Column:
     """Scaled to 0..1 by the extent of the masked entries and clipped; constant ones stay unscaled, others become 0."""
     inside = v if mask is None else F.filter(F.zip_with(v, mask, lambda x, m: F.when(m != 0, x)), lambda x: x.isNotNull())
-    low, high = F.array_min(inside), F.array_max(inside)
-    scaled = F.transform(v, lambda x: F.least(F.greatest(F.when(high > low, (x - low) / (high - low)).otherwise(x), F.lit(0.0)), F.lit(1.0)))
+    ends = F.struct(v.alias("v"), F.array_min(inside).alias("low"), F.array_max(inside).alias("high"))
+
+    def scale(s: Column) -> Column:
+        low, high = s["low"], s["high"]
+        return F.transform(s["v"], lambda x: F.least(F.greatest(F.when(high > low, (x - low) / (high - low)).otherwise(x), F.lit(0.0)), F.lit(1.0)))
+
+    scaled = bound(ends, scale)
     return scaled if mask is None else F.zip_with(scaled, mask, lambda x, m: F.when(m != 0, x).otherwise(0.0))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    raised = bound(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    whole = bound(F.struct(raised.alias("e")), lambda s: F.struct(s["e"].alias("e"), total(s["e"]).alias("sum")))
+    return bound(whole, lambda s: F.transform(s["e"], lambda x: x / s["sum"]))
 
 
 def attention(query: Column, keys: Column) -> Column:

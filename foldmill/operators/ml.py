@@ -88,21 +88,23 @@ def choose_cost(train: DataFrame, key: str, features: str, label: str, classes:
     return min(costs, key=lambda c: (-round(mean[c], 12), c))
 
 
-def nested_cv(df: DataFrame, key: str, vectors: Sequence[str], label: str, classes: Sequence[int], n_folds: int = 5, components: int = 8, costs: Sequence[float] = COSTS, inner: int = 3, name: str = "fusion") -> DataFrame:
+def nested_cv(df: DataFrame, key: str, vectors: Sequence[str], label: str, classes: Sequence[int], n_folds: int = 5, components: int = 8, costs: Sequence[float] = COSTS, inner: int = 3, name: str = "fusion", test_folds: Sequence[int] | None = None) -> DataFrame:
     """Predictions for every row by the model of the folds it isn't in: model, fold, row_id, y_true, y_pred, proba, cost.
 
-    ``df`` has the column fold.  Scaling and components are fitted on the
+    ``df`` has the column fold; only rows of ``test_folds`` are predicted, if given.  Scaling and components are fitted on the
     training folds only; the cost is chosen within them.
     """
     out = None
-    for k in range(n_folds):
+    for k in range(n_folds) if test_folds is None else test_folds:
         train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
         if test.isEmpty():
             continue
         fused = fuse(train, df, vectors, components).select(key, label, "fold", "fused").persist()
         own = fused.where(F.col("fold") != k)
         cost = choose_cost(own.drop("fold"), key, "fused", label, classes, costs, inner)
-        pred = predict(fit_logistic(own, "fused", label, cost), fused.where(F.col("fold") == k), "fused")
+        model = fit_logistic(own, "fused", label, cost)
+        fused.unpersist()  # the predictions work out their few rows anew
+        pred = predict(model, fused.where(F.col("fold") == k), "fused")
         part = pred.select(F.lit(name).alias("model"), "fold", F.col(key).cast("string").alias("row_id"), F.col(label).alias("y_true"), "y_pred", "proba", F.lit(float(cost)).alias("cost"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldmill.functions.vectors import unit
 from foldmill.operators.ranking import numbered
 
-#: Queries that one pass over the rows answers; they are broadcast.
+#: Rows of a block; two blocks are compared in one task.
 BLOCK = 4096
 #: Similarities are rounded before they are ranked, so that ties are ties in any order of summation.
 DIGITS = 9
@@ -72,41 +72,36 @@ def class_cohesion(df: DataFrame, vector: str, label: str) -> DataFrame:
 def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(key, rank, neighbour, similarity): the k most similar other rows by cosine, ties to the smaller key.
 
-    Exact.  Rows are compared block by block: ``block`` rows are broadcast, each
-    task keeps the best k for each of them over its own rows, and the tasks' best
-    are merged.  Zero vectors have similarity 0 to all.
+    Exact, so each row meets each other one: rows are dealt into blocks of about
+    ``block`` and every pair of blocks is compared by itself, as one job; the best k
+    of each block are merged.  For tables where all pairs are too many there is the
+    index search of the other subpackage.  Zero vectors have similarity 0 to all.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("u"))
-    blocks = max(1, math.ceil(rows.count() / block))
-    asked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        part = best_in_block(rows, asked.where(F.col("block") == b).toPandas(), k)
-        found = part if found is None else found.unionAll(part)
+    blocks = max(1, math.ceil(df.where(F.col(vector).isNotNull()).count() / block))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked = rows.select(F.col("id").alias("own"), F.col("u").alias("query"), dealt.alias("asks"), each.alias("meets")).groupBy("asks", "meets")
+    there = rows.select(F.col("id").alias("other"), F.col("u").alias("row"), each.alias("from"), dealt.alias("to")).groupBy("from", "to")
+    found = asked.cogroup(there).applyInPandas(lambda a, b: best_of_blocks(a, b, k), "id long, neighbour long, similarity double")
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "neighbour", "similarity")
 
 
-def best_in_block(rows: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
-    ids, queries = asked["id"].to_numpy(np.int64), np.array(asked["u"].tolist(), float).reshape(len(asked), -1)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, queries = shared.value
-        top_s, top_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                have = part["id"].to_numpy(np.int64)
-                s = np.round(queries @ np.array(part["u"].tolist(), float).T, DIGITS)
-                s[ids[:, None] == have] = -np.inf
-                s, i = np.c_[top_s, s], np.c_[top_i, np.broadcast_to(have, s.shape)]
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        q, j = np.nonzero(np.isfinite(top_s))
-        yield pd.DataFrame({"id": ids[q], "neighbour": top_i[q, j], "similarity": top_s[q, j]})
-
-    return rows.mapInPandas(best, "id long, neighbour long, similarity double")
+def best_of_blocks(asked: pd.DataFrame, there: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` rows of one block for each row of another."""
+    ids, queries = asked["own"].to_numpy(np.int64), np.array(asked["query"].tolist(), float).reshape(len(asked), -1)
+    top_s, top_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    for at in range(0, len(there) if len(ids) else 0, 1024):
+        part = there.iloc[at : at + 1024]
+        have = part["other"].to_numpy(np.int64)
+        s = np.round(queries @ np.array(part["row"].tolist(), float).T, DIGITS)
+        s[ids[:, None] == have] = -np.inf
+        s, i = np.c_[top_s, s], np.c_[top_i, np.broadcast_to(have, s.shape)]
+        order = np.lexsort((i, -s), axis=1)[:, :k]
+        top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    q, j = np.nonzero(np.isfinite(top_s))
+    return pd.DataFrame({"id": ids[q], "neighbour": top_i[q, j], "similarity": top_s[q, j]})
 
 
 def vote(near: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

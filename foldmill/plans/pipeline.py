@@ -11,15 +11,18 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmill.functions.text import join_fields, strip_terms
 from foldmill.operators import align, encoders, folds, images, manifest, metrics, ml, pooling, stats
-from foldmill.schema import Config
+from foldmill.schema import Config, name_of
 from foldmill.sources import readers, sinks
+from foldmill.terms import DIAGNOSIS_TERMS
 
 
 @dataclass
@@ -33,8 +36,11 @@ class Run:
     csv: str | None = None
     reports: str | None = None
     report_columns: tuple[str, str, tuple[str, ...]] = ("clinical_history_number", "source_diagnosis", ("diagnostic_summary_english", "macroscopic_description_english"))
-    strip_rules: tuple[str, ...] = ()
+    strip_rules: tuple[str, ...] = DIAGNOSIS_TERMS
     model: str = "frozen"
+    #: A folder with a folder of checkpoints for each fold, and what loads one: then each test fold has vectors of its own model.
+    checkpoints: str | None = None
+    load_encoder: Callable[[str], Callable] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.out}/{self.model}/{name}"
@@ -43,7 +49,7 @@ class Run:
         return self.spark.read.parquet(self.path(name))
 
     def fingerprint(self, stage: str) -> str:
-        told = json.dumps([stage, self.root, self.csv, self.reports, self.strip_rules, asdict(self.config)], sort_keys=True)
+        told = json.dumps([stage, self.root, self.csv, self.reports, self.strip_rules, self.checkpoints, asdict(self.config)], sort_keys=True)
         return hashlib.sha256(told.encode()).hexdigest()[:16]
 
 
@@ -69,16 +75,33 @@ def make_csv(run: Run) -> DataFrame:
 
 
 def extract(run: Run) -> DataFrame:
-    """Vectors of the crops by the default encoder, pooled by patient and diagnosis."""
-    make = encoders.stub_image_encoder()
-
-    def load():
-        encode = make()
-        return lambda data: encode(np.stack([np.frombuffer(x, np.uint8) for x in data]).astype(np.float32) / 255)
-
-    crops = run.read("segment").where("readable").withColumn("features", encoders.model_column(load, F.col("data"), encoders.IMAGE_BATCH))
-    rows = run.read("prepare").join(crops.select(F.col("origin").alias("image_path"), "features"), "image_path")
-    return pooling.pool_patients(rows)
+    """Vectors of the crops, pooled by patient and diagnosis.
+
+    One encoder serves all test folds (test_fold is null), or, with
+    ``run.checkpoints``, each test fold has the vectors of its own checkpoint; folds without one are left out.
+    """
+    crops, rows = run.read("segment").where("readable"), run.read("prepare")
+
+    def pooled(make: Callable, test_fold: int | None) -> DataFrame:
+        def load():
+            encode = make()
+            return lambda data: encode(np.stack([np.frombuffer(x, np.uint8) for x in data]).astype(np.float32) / 255)
+
+        vectors = crops.withColumn("features", encoders.model_column(load, F.col("data"), encoders.IMAGE_BATCH)).select(F.col("origin").alias("image_path"), "features")
+        return pooling.pool_patients(rows.join(vectors, "image_path")).withColumn("test_fold", F.lit(test_fold).cast("int"))
+
+    if not run.checkpoints:
+        return pooled(encoders.stub_image_encoder(), None)
+    parts = []
+    for k in range(run.config.n_folds):
+        try:
+            found = readers.find_checkpoint(run.spark, f"{run.checkpoints}/results_fold{k}")
+        except (FileNotFoundError, AnalysisException):
+            continue
+        parts.append(pooled(run.load_encoder(found), k))
+    if not parts:
+        raise FileNotFoundError(f"no checkpoint of any fold in {run.checkpoints}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clinical(run: Run) -> DataFrame:
@@ -93,18 +116,33 @@ def fusion(run: Run) -> DataFrame:
     """Predictions from both modalities under nested cross-validation."""
     both = align.align(run.read("extract"), run.read("clinical").select("patient_id", "text_features"))
     codes = [code for _, code, _ in run.config.classes]
-    return ml.nested_cv(both, "group_id", ["features", "text_features"], "label", codes, run.config.n_folds, run.config.components, run.config.costs, run.config.inner_folds, f"fusion_{run.model}")
 
+    def crossed(rows: DataFrame, test_folds: list[int] | None) -> DataFrame:
+        c = run.config
+        return ml.nested_cv(rows, "group_id", ["features", "text_features"], "label", codes, c.n_folds, c.components, c.costs, c.inner_folds, f"fusion_{run.model}", test_folds)
 
-def evaluate(run: Run) -> DataFrame:
-    """Scores by fold, summarised over folds."""
-    pred = run.read("fusion")
+    if not run.checkpoints:
+        return crossed(both, None)
+    own = sorted(r["test_fold"] for r in both.select("test_fold").distinct().collect())  # a row a fold
+    return reduce(DataFrame.unionByName, [crossed(both.where(F.col("test_fold") == k), [k]) for k in own])
+
+
+def fold_metrics(run: Run) -> DataFrame:
+    """(model, fold, class, metric, value): the scores of each fold, and those of each class (by name) within it."""
+    pred, by = run.read("fusion"), ["model", "fold"]
     codes = [code for _, code, _ in run.config.classes]
-    scalars = metrics.scalar_scores(metrics.confusion(pred, codes, ["model", "fold"]), ["model", "fold"])
-    by_class = metrics.roc_auc(metrics.one_vs_rest(pred, codes), ["model", "fold", "class"])
-    wide = scalars.join(metrics.macro_auc(by_class, ["model", "fold"]), ["model", "fold"])
-    long = metrics.long_format(wide, ["model", "fold"], ["accuracy", "balanced_accuracy", "kappa", "macro_f1", "macro_auc"])
-    return stats.fold_summary(long, ["model", "metric"])
+    matrix = metrics.confusion(pred, codes, by)
+    auc = metrics.roc_auc(metrics.one_vs_rest(pred, codes), [*by, "class"])
+    wide = metrics.scalar_scores(matrix, by).join(metrics.macro_auc(auc, by), by)
+    whole = metrics.long_format(wide, by, ["accuracy", "balanced_accuracy", "kappa", "macro_f1", "macro_auc"]).withColumn("class", F.lit(None).cast("string"))
+    scores = metrics.class_scores(matrix, by).select(*by, "class", "f1").join(auc.select(*by, "class", "auc"), [*by, "class"], "left")
+    named = scores.withColumn("class", name_of(F.col("class"), run.config.classes))
+    return whole.unionByName(metrics.long_format(named, [*by, "class"], ["f1", "auc"]))
+
+
+def evaluate(run: Run) -> DataFrame:
+    """Scores by fold, summarised over folds: of all classes together (class null) and of each."""
+    return stats.fold_summary(fold_metrics(run), ["model", "class", "metric"])
 
 
 STAGES: dict[str, Callable[[Run], DataFrame]] = {
@@ -139,11 +177,13 @@ def main(argv: list[str] | None = None) -> dict[str, float]:
     parser.add_argument("--csv")
     parser.add_argument("--reports")
     parser.add_argument("--model", default="frozen")
+    parser.add_argument("--strip-rules", help="a file of patterns, one a line, in place of the built-in terms")
     parser.add_argument("--stage", default="all", choices=["all", *STAGES])
     parser.add_argument("--skip-existing", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("foldmill").getOrCreate()
-    run = Run(spark, args.root, args.out, csv=args.csv, reports=args.reports, model=args.model)
+    rules = tuple(r["value"] for r in spark.read.text(args.strip_rules).collect() if r["value"]) if args.strip_rules else DIAGNOSIS_TERMS  # as long as the file
+    run = Run(spark, args.root, args.out, csv=args.csv, reports=args.reports, model=args.model, strip_rules=rules)
     stages = list(STAGES) if args.stage == "all" else [args.stage]
     if not args.reports:
         stages = [s for s in stages if s not in ("clinical", "fusion", "evaluate")]

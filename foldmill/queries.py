@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldmill.functions import text as tx
 from foldmill.functions import vectors as vec
 from foldmill.operators import align, encoders, folds, manifest, metrics, ml, pooling, similarity, stats
+from foldmill.sources import sinks
 
 #: 0.975 quantile of Student's t with 4 degrees of freedom, for the SQL.
 T_4 = "2.7764451051977987"
@@ -221,12 +222,38 @@ def paired_t_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = metrics.scalar_scores(metrics.confusion(predictions(spark, sf_dir, k), LABELS, ["fold"]), ["fold"])
         part = metrics.long_format(wide, ["fold"], ["accuracy"]).withColumn("model", F.lit(f"k{k}"))
         parts = part if parts is None else parts.unionByName(part)
-    found = stats.paired_t(parts, "k5", "k1").drop("p")
-    return rounded(found, 7, "delta", "ci_lo", "ci_hi", "t")
+    return rounded(stats.paired_t(parts, "k5", "k1"), 7, "delta", "ci_lo", "ci_hi", "t", "p")
 
 
 def spearman_length_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.spearman(labelled_documents(spark, sf_dir), "n_chars", "quality").drop("p"), 9, "rho")
+    return rounded(stats.spearman(labelled_documents(spark, sf_dir), "n_chars", "quality"), 9, "rho", "p")
+
+
+def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that rows folded without regard to them put both into test fold 0 and outside it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
+    return folds.shared_groups(folds.stratified_folds(rows, "row", "l_returnflag"), "l_orderkey", 0)
+
+
+def fold_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.fold_map(folded_events(spark, sf_dir).withColumnRenamed("user_id", "group_id"))
+
+
+def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a fold, the scores of the first three classes beside the scalars."""
+    matrix = fold_confusion(spark, sf_dir)
+    whole = metrics.long_format(metrics.scalar_scores(matrix, ["fold"]).withColumnRenamed("n", "n_test"), ["fold"], ["accuracy", "balanced_accuracy", "kappa", "macro_f1", "n_test"])
+    by_class = metrics.long_format(metrics.class_scores(matrix, ["fold"]).withColumn("class", F.concat(F.lit("c"), "class")), ["fold", "class"], ["f1"])
+    long = whole.withColumn("class", F.lit(None).cast("string")).unionByName(by_class).withColumn("model", F.lit("knn"))
+    wide = sinks.wide_metrics(long, ["c0", "c1", "c2"], ("f1",))
+    return rounded(wide, 9, *[c for c in wide.columns if c not in ("model", "fold")])
+
+
+def choose_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images, every second with a crop of which labelled ones have a file."""
+    crop = F.concat(F.lit("crops/"), F.col("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("image_path"), F.when(F.col("doc_id") % 2 == 0, crop).alias("segmented_path"))
+    return manifest.choose_images(rows, table(spark, sf_dir, "labels").select(crop.alias("path"))).select("doc_id", "image")
 
 
 def roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,11 +330,15 @@ QUERIES = {
         text_length_stats, report_fields, label_encode, class_cohesion, knn_neighbours, knn_loo_predictions, knn_loo_accuracy,
         permutation_test, permutation_p, confusion_matrix, confusion_normalised, class_report, scalar_metrics_by_fold, fold_summary_ci,
         paired_t_models, spearman_length_label, roc_auc_ovr, roc_points, mean_roc, class_sample, row_sample, topk_per_class,
-        incremental_pending, text_encoder, scaler_pca_fusion, nested_cv_logreg,
+        incremental_pending, shared_groups, fold_map, wide_metrics, choose_images, text_encoder, scaler_pca_fusion, nested_cv_logreg,
     )
 }
 
 
+#: Two-sided p of Student's t with 4 degrees of freedom.
+_P_4 = "1 - abs({t}) / sqrt(4 + {t} ** 2) * (3 - {t} ** 2 / (4 + {t} ** 2)) / 2"
+
+
 def _sql(body: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
 
@@ -341,6 +372,8 @@ _ROC = """counts AS (SELECT lang, score, sum(positive) AS p, sum(1 - positive) A
 totals AS (SELECT lang, sum(p) AS all_p, sum(q) AS all_q FROM counts GROUP BY lang HAVING sum(p) > 0 AND sum(q) > 0),
 points AS (SELECT c.lang, c.score, CAST(sum(q) OVER w AS DOUBLE) / all_q AS fpr, CAST(sum(p) OVER w AS DOUBLE) / all_p AS tpr FROM counts c JOIN totals t ON c.lang = t.lang WINDOW w AS (PARTITION BY c.lang ORDER BY c.score DESC)
   UNION ALL SELECT lang, NULL, 0.0, 0.0 FROM totals)"""
+_SPEARMAN = """ranked AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ra, rank() OVER (ORDER BY positive) + (count(*) OVER (PARTITION BY positive) - 1) / 2.0 AS rb FROM rows WHERE score IS NOT NULL AND positive IS NOT NULL),
+sides AS (SELECT n, rho, n - 2 AS nu, abs(rho) AS sine FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM ranked))"""
 _PLACES = "placed AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)"
 _PERMS = f"""{_PLACES},
 perms AS (SELECT CAST(r.i AS INT) AS perm, vec_id, row_number() OVER (PARTITION BY r.i ORDER BY md5(CAST(vec_id AS VARCHAR) || '_' || CAST(r.i AS VARCHAR)), vec_id) AS place FROM embeddings CROSS JOIN range(100) r(i)),
@@ -380,8 +413,16 @@ ORACLE_SQL = {
     "class_report": _sql("SELECT fold, class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM scores", *_KNN, _GRID, _SCORES),
     "scalar_metrics_by_fold": _sql("SELECT fold, n, round(accuracy, 9) AS accuracy, round(balanced_accuracy, 9) AS balanced_accuracy, round(kappa, 9) AS kappa, round(macro_f1, 9) AS macro_f1 FROM scalars", *_KNN, _GRID, _SCORES, _SCALARS),
     "fold_summary_ci": _sql(f"SELECT metric, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, round(avg(value) - {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_lo, round(avg(value) + {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_hi FROM (SELECT fold, unnest(['accuracy', 'balanced_accuracy', 'kappa', 'macro_f1']) AS metric, unnest([accuracy, balanced_accuracy, kappa, macro_f1]) AS value FROM scalars) GROUP BY metric", *_KNN, _GRID, _SCORES, _SCALARS),
-    "paired_t_models": _sql(f"SELECT 'accuracy' AS metric, count(*) AS n, round(avg(d), 7) AS delta, round(avg(d) - {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_lo, round(avg(d) + {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_hi, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 7) AS t FROM (SELECT fold, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN y_true = one.nl THEN 1.0 ELSE 0.0 END) AS d FROM pred JOIN (SELECT vec_id, nl FROM near WHERE rank = 1) one USING (vec_id) GROUP BY fold)", *_KNN),
-    "spearman_length_label": _sql("SELECT count(*) AS n, round(corr(ra, rb), 9) AS rho FROM (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ra, rank() OVER (ORDER BY positive) + (count(*) OVER (PARTITION BY positive) - 1) / 2.0 AS rb FROM rows WHERE score IS NOT NULL AND positive IS NOT NULL)", _LABELLED),
+    "paired_t_models": _sql(f"SELECT 'accuracy' AS metric, count(*) AS n, round(avg(d), 7) AS delta, round(avg(d) - {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_lo, round(avg(d) + {T_4} * stddev_samp(d) / sqrt(count(*)), 7) AS ci_hi, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 7) AS t, round({_P_4.format(t="(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0))")}, 7) AS p FROM (SELECT fold, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN y_true = one.nl THEN 1.0 ELSE 0.0 END) AS d FROM pred JOIN (SELECT vec_id, nl FROM near WHERE rank = 1) one USING (vec_id) GROUP BY fold)", *_KNN),
+    "spearman_length_label": _sql("""SELECT n, round(rho, 9) AS rho, round(CASE WHEN nu % 2 = 0 THEN 1 - sine * even ELSE 1 - 2 / pi() * (asin(sine) + sine * odd) END, 9) AS p FROM sides,
+  (SELECT sum(term) AS even FROM (SELECT exp(sum(CASE WHEN i = 0 THEN 0 ELSE ln((2 * i - 1) / CAST(2 * i AS DOUBLE) * (1 - sine * sine)) END) OVER (ORDER BY i)) AS term FROM sides, range(2000000) k(i) WHERE i <= (nu - 2) / 2)),
+  (SELECT sum(term) AS odd FROM (SELECT sqrt(1 - sine * sine) * exp(sum(CASE WHEN i = 0 THEN 0 ELSE ln(2 * i / CAST(2 * i + 1 AS DOUBLE) * (1 - sine * sine)) END) OVER (ORDER BY i)) AS term FROM sides, range(2000000) k(i) WHERE i <= (nu - 3) / 2))""", _LABELLED, _SPEARMAN),
+    "balanced_group_folds": _sql("SELECT fold, l_returnflag, count(*) AS n FROM lineitem JOIN dealt USING (l_orderkey) GROUP BY fold, l_returnflag", """profiles AS (SELECT l_orderkey, '[' || string_agg('{"l":"' || l_returnflag || '","n":' || n || '}', ',' ORDER BY l_returnflag) || ']' AS profile FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey),
+dealt AS (SELECT l_orderkey, CAST((row_number() OVER (PARTITION BY profile ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '_42'), l_orderkey) - 1 + CAST('0x' || substr(md5(profile), 1, 6) AS BIGINT)) % 5 AS INT) AS fold FROM profiles)"""),
+    "shared_groups": _sql("SELECT l_orderkey FROM folded WHERE fold = 0 INTERSECT SELECT l_orderkey FROM folded WHERE fold <> 0", f"folded AS (SELECT l_orderkey, {_fold('(l_orderkey * 10 + l_linenumber)', 'l_returnflag')} AS fold FROM lineitem)"),
+    "fold_map": _sql("SELECT user_id AS group_id, min(fold) AS fold FROM rows GROUP BY user_id", _EVENT_FOLDS),
+    "wide_metrics": _sql("SELECT 'knn' AS model, s.fold, round(balanced_accuracy, 9) AS balanced_accuracy, round(accuracy, 9) AS accuracy, CAST(NULL AS DOUBLE) AS macro_auc, round(s.macro_f1, 9) AS macro_f1, round(kappa, 9) AS cohen_kappa, CAST(NULL AS DOUBLE) AS n_train, CAST(n AS DOUBLE) AS n_test, CAST(NULL AS DOUBLE) AS best_c, " + ", ".join(f"round((SELECT f1 FROM scores c WHERE c.fold = s.fold AND c.class = {k}), 9) AS c{k}_f1" for k in range(3)) + " FROM scalars s", *_KNN, _GRID, _SCORES, _SCALARS),
+    "choose_images": "SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 AND l.doc_id IS NOT NULL THEN 'crops/' || d.doc_id ELSE source || '/' || d.doc_id END AS image FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
     "roc_auc_ovr": "SELECT class, CAST(sum(p) AS BIGINT) AS n_pos, CAST(count(*) - sum(p) AS BIGINT) AS n_neg, round((sum(r) FILTER (WHERE p = 1) - sum(p) * (sum(p) + 1) / 2.0) / nullif(CAST(sum(p) AS DOUBLE) * (count(*) - sum(p)), 0), 9) AS auc FROM (SELECT c.class, CASE WHEN lang = c.class THEN 1 ELSE 0 END AS p, rank() OVER (PARTITION BY c.class ORDER BY n_chars) + (count(*) OVER (PARTITION BY c.class, n_chars) - 1) / 2.0 AS r FROM documents CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) c(class)) GROUP BY class",
     "roc_points": _sql("SELECT lang, score, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM points", _LABELLED, _ROC),
     "mean_roc": _sql("""SELECT CAST(step AS INT) AS step, round(CASE WHEN step = 99 THEN 1.0 ELSE avg(tpr) END, 8) AS mean_tpr, round(stddev_pop(tpr), 8) AS std_tpr, count(*) AS n_curves FROM (

@@ -27,8 +27,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def wide_metrics(metrics: DataFrame, classes: list[str], per_class: tuple[str, ...] = ("f1", "auc")) -> DataFrame:
     """One row a fold: the scalar metrics, then <class>_<metric>, from ``metrics(model, fold, class, metric, value)``."""
-    name = F.when(F.col("class").isNull(), F.col("metric")).otherwise(F.concat_ws("_", "class", "metric"))
-    scalars = ["balanced_accuracy", "accuracy", "macro_auc", "macro_f1", "kappa", "n_train", "n_test", "best_c"]
+    metric = F.when(F.col("metric") == "kappa", "cohen_kappa").otherwise(F.col("metric"))
+    name = F.when(F.col("class").isNull(), metric).otherwise(F.concat_ws("_", "class", "metric"))
+    scalars = ["balanced_accuracy", "accuracy", "macro_auc", "macro_f1", "cohen_kappa", "n_train", "n_test", "best_c"]
     columns = scalars + [f"{c}_{m}" for m in per_class for c in classes]
     return metrics.withColumn("name", name).groupBy("model", "fold").pivot("name", columns).agg(F.first("value", ignorenulls=True))
 

@@ -147,3 +147,25 @@ def test_cohesion_like_pairs(spark):
     r = similarity.class_cohesion(df, "v", "y").first()
     assert [r.within_mean, r.within_std, r.between_mean, r.between_std] == pytest.approx([s[same].mean(), s[same].std(), s[~same].mean(), s[~same].std()])
     assert similarity.class_cohesion(df.limit(1), "v", "y").first().within_mean is None
+
+
+def test_each_test_fold_has_vectors_of_its_own_checkpoint(spark, tree):
+    from foldmill.operators import encoders
+
+    for k in (0, 2):
+        (tree / "ck" / f"results_fold{k}").mkdir(parents=True)
+        (tree / "ck" / f"results_fold{k}" / "checkpoint-best.pth").write_bytes(b"x")
+    asked = []
+    run = pipeline.Run(spark, str(tree / "data"), str(tree / "tuned"), checkpoints=str(tree / "ck"), load_encoder=lambda path: asked.append(path) or encoders.stub_image_encoder(4 + len(asked)))
+    pipeline.run_all(run, ["prepare", "segment", "extract"])
+    rows = run.read("extract").collect()
+    assert len(asked) == 2 and {(r.test_fold, len(r.features)) for r in rows} == {(0, 5), (2, 6)} and len(rows) == 10
+
+
+def test_scores_of_each_class_are_summarised(spark, tmp_path):
+    run = pipeline.Run(spark, "", str(tmp_path))
+    rows = [("m", k % 2, str(k), k % 3, (k % 3 if k % 4 else 0), [0.6, 0.3, 0.1] if k % 3 == 0 else [0.1, 0.5, 0.4]) for k in range(24)]
+    sinks.write_table(spark.createDataFrame(rows, "model string, fold int, row_id string, y_true int, y_pred int, proba array<double>"), run.path("fusion"))
+    got = {(r["class"], r.metric): r for r in pipeline.evaluate(run).collect()}
+    assert set(got) == {(None, m) for m in ("accuracy", "balanced_accuracy", "kappa", "macro_f1", "macro_auc")} | {(c, m) for c in ("DN", "MIA", "Minsitu") for m in ("f1", "auc")}
+    assert got["DN", "auc"].mean == 1.0 and got["DN", "f1"].n == 2 and got["DN", "f1"].mean < 1

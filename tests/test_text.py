@@ -72,3 +72,36 @@ def test_vectors(spark):
     assert r[0] == 0.0 and r[1] == pytest.approx(0.5**0.5) and r[2] == 0 and r[3] == [0, 1, 0] and r[4] == [0.0, 0.5, 1.0] and r[5] == [0.5, 0.5] and r[6] == [0.5, 0.5]
     masked = spark.createDataFrame([([1.0, 3.0, 9.0], [1, 1, 0])], "v array<double>, m array<int>").select(vec.min_max(F.col("v"), F.col("m")), vec.attention(F.array(F.lit(1.0)), F.array(F.array(F.lit(0.0)), F.array(F.lit(0.0))))).first()
     assert masked[0] == [0.0, 1.0, 0.0] and masked[1] == [0.5, 0.5]
+
+
+def test_terms_that_give_a_diagnosis_away_are_deleted(spark):
+    from foldmill.terms import DIAGNOSIS_TERMS
+
+    cases = {
+        "Skin with Melanoma in situ, Clark: II and scar": "Skin with , and scar",
+        "A dysplastic nevus is seen. Breslow 0,4 mm. Ordinary skin.": "A is seen. . Ordinary skin.",
+        "Lesión DISPLÁSICA leve. Piel normal nan": "Lesión . Piel normal",
+        "Sample in cassette 2. Two fragments": "Sample in . Two fragments",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "id int, t string")
+    got = [r.c for r in df.select("id", tx.strip_terms(F.col("t"), DIAGNOSIS_TERMS).alias("c")).orderBy("id").collect()]
+    assert got == list(cases.values()) and len(DIAGNOSIS_TERMS) == 100
+
+
+def test_vector_functions_cost_grows_with_the_width(spark):
+    import time
+
+    from foldmill.functions import vectors as vec
+
+    def seconds(d):
+        x = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: F.sin(i + F.col("id")))
+        df = spark.range(0, 400, 1, 1).select(F.transform(x, lambda v: v * 3).alias("v")).select("v", vec.softmax(F.col("v")).alias("s"), vec.min_max(F.col("v")).alias("m"), vec.unit(F.col("v")).alias("u"))
+        df.count(), df.limit(1).collect()
+        began = time.time()
+        row = df.agg(F.sum(vec.total(F.col("s"))).alias("s"), F.max(F.array_max("m")).alias("m"), F.sum(vec.dot(F.col("u"), F.col("u"))).alias("u")).first()
+        assert row.s == pytest.approx(400) and row.m == 1 and row.u == pytest.approx(400)
+        return time.time() - began
+
+    seconds(64)
+    assert seconds(1024) < 40 * seconds(64) + 5
