@@ -1,10 +1,14 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from foldmill.llm import decontaminate
 from foldmill.llm.decontaminate import ItemIndex, Searcher, find_leaks
+from foldmill.llm.queries import QUERIES
 from tests.conftest import DATA
 
 
@@ -106,3 +110,53 @@ def test_number_of_indexes_changes_nothing(spark):
     assert any(r[1] for r in one) and sorted(several) == sorted(one)
     kept = decontaminate.drop_leaks(docs, items, index_bytes=size // 3)
     assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(decontaminate.drop_leaks(docs, items).collect())
+
+
+def test_query_like_scoring_every_passage_and_item(spark):
+    """The registered query against plain BM25 of every item for every passage and n-gram shares by the rule; no code under test."""
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet").collect()}
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    halves = {}
+    for i, t in items.items():
+        parts = [w for w in (words(x) for x in re.split(r"(?<=[.?!])\s+|\n+", t)) if w]
+        halves[i] = ([w for p in parts[:-1] for w in p], parts[-1]) if len(parts) > 1 else (parts[0], [])
+    own = {i: q + a for i, (q, a) in halves.items()}
+    holders = Counter(w for x in own.values() for w in set(x))
+    n, mean = len(own), sum(map(len, own.values())) / len(own)
+
+    def impact(i, w):
+        tf = own[i].count(w)
+        return math.log(1 + (n - holders[w] + 0.5) / (holders[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own[i]) / mean))
+
+    impacts = {i: {w: impact(i, w) for w in set(x)} for i, x in own.items()}
+    least = {i: 0.5 * sum(x.values()) * min(1, 32 / len(own[i])) for i, x in impacts.items()}
+    grams = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+    got = {r.doc_id: r for r in QUERIES["op4_benchmark_leaks"](spark, f"{DATA}/sf0.001").collect()}
+    assert any(r.leaked for r in got.values())
+    for d in docs:
+        text, found = words(d.text), {}
+        everywhere = grams(text, 5)
+        for i in own:
+            score, spans = 0.0, []
+            for at in range(0, max(1, len(text) - 32), 32):
+                here = set(text[at : at + 64])
+                s = sum(x for w, x in impacts[i].items() if w in here)
+                if s >= least[i]:
+                    score = max(score, s)
+                    spans.append((max(0, at - len(own[i])), at + 64 + len(own[i])))
+            if not spans:
+                continue
+            near = lambda k: {g for a, b in spans for g in grams(text[a:b], k)}  # noqa: B023, E731
+
+            def share(part, far):
+                k = min(5, len(part))
+                mine = grams(part, k) if part else set()
+                return sum(g in near(k) or (far and g in everywhere) for g in mine) / len(mine) if mine else 1.0  # noqa: B023
+
+            q, a = halves[i]
+            if share(own[i], False) >= 0.7 or (share(q, True) >= 0.5 and share(a, True) >= 0.5):
+                found[i] = score
+        r = got[d.doc_id]
+        assert (r.leaked, r.item_ids) == (bool(found), sorted(found)), d.doc_id
+        assert abs(r.score - max(found.values(), default=0.0)) < 1e-6
