@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ FIT_ROWS = 20_000
 #: Features kept, and the fewest toxic sample documents that hold one.
 FEATURES, LEAST_DOCS = 4096, 3
 #: Weight of the counterfactual penalty and of the ridge, rounds of the fit.
-COUNTERFACTUAL, RIDGE, ROUNDS = 10.0, 1e-4, 400
+COUNTERFACTUAL, RIDGE, ROUNDS = 1000.0, 1e-4, 400
 CUT_OFF = 0.3
 #: Identity terms, by axis: a term is swapped with the others of its axis.
 IDENTITY = (
@@ -52,15 +52,19 @@ def text_features(text: str | None) -> set[str]:
     return {f for token in set((text or "").split()) for f in features_of(token)}
 
 
-def swaps(text: str | None, identity: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[str, str]]:
-    """(feature gone, feature come) for each sentence with an identity term and each term it may be swapped with."""
+def swapped_sentences(text: str | None, identity: Sequence[Sequence[str]] = IDENTITY) -> Iterator[tuple[set[str], list[tuple[str, str]]]]:
+    """The words of each sentence with an identity term, and (term gone, term come) for each swap within its axis."""
     axis = {t: terms for terms in identity for t in terms}
-    out = []
     for sentence in SENTENCE_END.split(text or ""):
         words = set(WORD.findall(sentence.lower()))
-        for w in sorted(words & axis.keys()):
-            out += [(w, other) for other in axis[w] if other != w and other not in words]
-    return out
+        pairs = [(w, other) for w in sorted(words & axis.keys()) for other in axis[w] if other != w and other not in words]
+        if pairs:
+            yield words, pairs
+
+
+def swaps(text: str | None, identity: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[str, str]]:
+    """(term gone, term come) for each sentence with an identity term and each term it may be swapped with."""
+    return [pair for _, pairs in swapped_sentences(text, identity) for pair in pairs]
 
 
 @dataclass(frozen=True)
@@ -113,22 +117,46 @@ def choose_features(sample: DataFrame, least: int = LEAST_DOCS, most: int = FEAT
     return [r["feature"] for r in kept.orderBy(F.desc("z"), "feature").limit(most).collect()]  # FEATURES at most
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, swap: np.ndarray, moved: np.ndarray, sign: np.ndarray, width: int, strength: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights that minimise log loss + ridge + ``strength`` * mean squared change of the margin by a swap.
-
-    ``rows``, ``cols``: where the binary features are.  ``swap``, ``moved``,
-    ``sign``: the features that each swap adds (1) or takes away (-1).
+@dataclass
+class Swapped:
+    """Sentences with identity terms, and their swaps: ``feature`` of sentence ``sentence``; swap ``swap`` of sentence
+    ``of[swap]`` adds (``sign`` 1) or takes away (-1) the feature ``moved``."""
+
+    sentence: np.ndarray
+    feature: np.ndarray
+    of: np.ndarray
+    swap: np.ndarray
+    moved: np.ndarray
+    sign: np.ndarray
+
+    def penalty(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Mean squared change of a sentence's score by a swap, and its derivatives by the weights and the intercept."""
+        n = len(self.of)
+        if not n:
+            return 0.0, np.zeros(len(w)), 0.0
+        sentences = int(self.of.max()) + 1
+        before = (np.bincount(self.sentence, w[self.feature], sentences) + b)[self.of]
+        after = before + np.bincount(self.swap, self.sign * w[self.moved], n)
+        p, q = 1 / (1 + np.exp(-before)), 1 / (1 + np.exp(-after))
+        by_after, by_before = 2 * (q - p) * q * (1 - q) / n, -2 * (q - p) * p * (1 - p) / n
+        both = by_after + by_before  # what a sentence keeps counts before and after the swap
+        by_sentence = np.bincount(self.of, both, sentences)
+        grad = np.bincount(self.moved, self.sign * by_after[self.swap], len(w)) + np.bincount(self.feature, by_sentence[self.sentence], len(w))
+        return float(((q - p) ** 2).mean()), grad, float(both.sum())
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, swapped: Swapped, width: int, strength: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights that minimise log loss + ridge + ``strength`` * mean squared change of the score by a swap.
+
+    ``rows``, ``cols``: where the binary features are.
     """
-    n, swaps_made = max(len(y), 1), int(swap.max()) + 1 if len(swap) else 0
+    n = max(len(y), 1)
     w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, ROUNDS + 1):
         g = 1 / (1 + np.exp(-(np.bincount(rows, w[cols], len(y)) + b))) - y
-        grad = np.bincount(cols, g[rows], width) / n + RIDGE * w
-        if swaps_made:
-            change = np.bincount(swap, sign * w[moved], swaps_made)
-            grad += np.bincount(moved, 2 * strength * sign * change[swap] / swaps_made, width)
-        full = np.r_[grad, g.sum() / n]
+        _, by_w, by_b = swapped.penalty(w, b)
+        full = np.r_[np.bincount(cols, g[rows], width) / n + RIDGE * w + strength * by_w, g.sum() / n + strength * by_b]
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.99 * m2 + 0.01 * full**2
         step = 0.1 * (1 - t / (ROUNDS + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -139,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     """Fit on a bounded sample of the labelled rows; ``labels`` needs doc_id and ``label``.
 
     Null labels and ids are not used.  The driver gets, for each sampled
-    document, the numbers of its chosen features and its swaps.
+    document, the numbers of its chosen features, of those of its sentences with
+    identity terms, and the swaps of these.  ``strength`` weighs the penalty on
+    score changes; ``FEATURES`` features are kept at most.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -148,30 +178,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     names = sorted({*chosen_features, *(f for terms in identity for t in terms for f in features_of(t))})
     number = {f: k for k, f in enumerate(names)}
 
+    def known_features(words: Iterable[str]) -> set[int]:
+        return {number[f] for w in words for f in features_of(w) if f in number}
+
     def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
-            own = [sorted(number[f] for f in text_features(t) if f in number) for t in frame["text"]]
-            pairs = [swaps(t, identity) for t in frame["text"]]
-            # a swap takes the features of one term and gives those of the other
-            moves = [[(k, number[f], s) for k, pair in enumerate(p) for term, s in zip(pair, (-1, 1)) for f in features_of(term)] for p in pairs]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype(str), "y": frame["y"].astype("int32"), "own": own, "swaps": [len(p) for p in pairs],
-                "swap": [[k for k, _, _ in m] for m in moves], "moved": [[f for _, f, _ in m] for m in moves], "sign": [[s for _, _, s in m] for m in moves],
-            })
-
-    rows = sample.mapInPandas(numbered, "doc_id string, y int, own array<int>, swaps int, swap array<int>, moved array<int>, sign array<int>").toPandas()
+            out = []
+            for text in frame["text"]:
+                sentence, feature, of, moves, sentences = [], [], [], [], 0
+                for words, pairs in swapped_sentences(text, identity):
+                    before = known_features(words)
+                    for gone, come in pairs:
+                        after = known_features((words - {gone}) | {come})
+                        moves += [(len(of), f, 1 if f in after else -1) for f in sorted(before ^ after)]
+                        of.append(sentences)
+                    sentence += [sentences] * len(before)
+                    feature += sorted(before)
+                    sentences += 1
+                own = sorted(number[f] for f in text_features(text) if f in number)
+                out.append((own, sentences, sentence, feature, of, *([m[k] for m in moves] for k in range(3))))
+            names = ["own", "sentences", "sentence", "feature", "of", "swap", "moved", "sign"]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str).tolist(), "y": frame["y"].astype("int32").tolist(), **{c: [r[k] for r in out] for k, c in enumerate(names)}})
+
+    lists = "own array<int>, sentences int, sentence array<int>, feature array<int>, of array<int>, swap array<int>, moved array<int>, sign array<int>"
+    rows = sample.mapInPandas(numbered, f"doc_id string, y int, {lists}").toPandas()
     rows = rows.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
 
-    def flat(column: str) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in rows[column]]]).astype(np.int64)
+    def flat(column: str, first: np.ndarray | None = None) -> np.ndarray:
+        """The lists of all rows end to end; with ``first``, that number of the row is added to what its list holds."""
+        values = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in rows[column]]])
+        return values if first is None else values + np.repeat(first, [len(x) for x in rows[column]]).astype(np.int64)
 
-    def owner(column: str, values: np.ndarray) -> np.ndarray:
-        return np.repeat(values, [len(x) for x in rows[column]]).astype(np.int64)
+    def starts(sizes: Iterable[int]) -> np.ndarray:
+        return np.cumsum([0, *sizes])[: len(rows)].astype(np.int64)
 
-    where = owner("own", np.arange(len(rows)))
-    first_swap = np.r_[0, np.cumsum(rows["swaps"].to_numpy(np.int64))][: len(rows)]
-    swap = owner("swap", first_swap) + flat("swap")
-    w, b = fit(where, flat("own"), rows["y"].to_numpy(float), swap, flat("moved"), flat("sign").astype(float), len(names), strength)
+    where = np.repeat(np.arange(len(rows)), [len(x) for x in rows["own"]]).astype(np.int64)
+    first_sentence, first_swap = starts(rows["sentences"]), starts(len(x) for x in rows["of"])
+    swapped = Swapped(flat("sentence", first_sentence), flat("feature"), flat("of", first_sentence), flat("swap", first_swap), flat("moved"), flat("sign").astype(float))
+    w, b = fit(where, flat("own"), rows["y"].to_numpy(float), swapped, len(names), strength)
     return ToxicityModel({f: float(round(v, 6)) for f, v in zip(names, w) if abs(v) >= 1e-6}, round(b, 6))
 
 

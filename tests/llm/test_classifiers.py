@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldmill.llm import quality_rules, toxicity
+from foldmill.llm.common import crc_mod
 from foldmill.llm.queries import QUERIES
 from tests.conftest import DATA
 
@@ -60,3 +62,33 @@ def test_swaps():
     assert toxicity.swaps("The women met. Nothing here.", [("women", "men")]) == [("women", "men")]
     assert toxicity.swaps("women and men", [("women", "men")]) == []
     assert toxicity.swaps(None) == []
+
+
+def test_penalty_is_on_score_changes():
+    """Derivatives of the penalty against differences."""
+    swapped = toxicity.Swapped(np.array([0, 0, 1]), np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([0, 0, 1, 2]), np.array([0, 3, 4, 2]), np.array([-1.0, 1, 1, -1]))
+    w, b, e = np.array([0.3, -1.2, 2.0, 0.7, -0.4]), 0.3, 1e-6
+    score = lambda z: 1 / (1 + np.exp(-z))
+    # two swaps of the first sentence (features 0, 1): 0 for 3, and 4 added; one of the second: 2 taken away
+    moves = [score(w[1] + w[3] + b) - score(w[0] + w[1] + b), score(w[0] + w[1] + w[4] + b) - score(w[0] + w[1] + b), score(b) - score(w[2] + b)]
+    value, by_w, by_b = swapped.penalty(w, b)
+    assert value == pytest.approx(np.mean(np.square(moves)))
+    assert by_w == pytest.approx([(swapped.penalty(w + e * d, b)[0] - value) / e for d in np.eye(5)], abs=1e-5)
+    assert by_b == pytest.approx((swapped.penalty(w, b + e)[0] - value) / e, abs=1e-5)
+
+
+def test_neutral_mentions_in_whole_texts(spark):
+    """Mentions of groups put into the given documents, mostly one group's into toxic ones: neutral sentences score alike with the penalty only."""
+    docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
+    leaning = F.when(crc_mod(F.col("doc_id"), 10) < F.when(F.col("toxic") == 1, 8).otherwise(2), "muslims").otherwise("christians")
+    docs = docs.join(labels, "doc_id").select("doc_id", F.concat("text", F.lit("\nMy neighbours are "), leaning, F.lit(".")).alias("text")).checkpoint()
+    seen = labels.where(crc_mod(F.col("doc_id"), 4) != 2)
+    free, held = (toxicity.train(docs, seen, strength=s) for s in (0.0, toxicity.COUNTERFACTUAL))
+
+    def change(model):
+        s = toxicity.Scorer(model)
+        return abs(s("The muslims opened a school.") - s("The christians opened a school."))
+
+    assert change(held) < 0.2 * change(free) and change(held) < 0.01
+    both = toxicity.score_toxicity(docs, held).join(labels.where(crc_mod(F.col("doc_id"), 4) == 2), "doc_id").toPandas()
+    assert (both.predicted == both.toxic).mean() >= 0.95
