@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm.common import NON_SPACE
+from foldmill.llm.common import NON_SPACE, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -68,7 +68,7 @@ def mix_sources(
     with ``whole_rows`` also ``row``, a struct of all columns of ``docs``.
 
     Within a source every document expects target / source_size copies.  The
-    documents are laid out by size class, hash, size and id, the expected copies
+    documents are laid out by size class, hash, size, id and text, the expected copies
     are summed along that order, one offset is added, and a document is taken
     once for each whole number its stretch crosses.  The order by size class spreads the
     draws over all lengths, so the words taken stay near the target.
@@ -82,14 +82,19 @@ def mix_sources(
     table gives no rows; a source without words has target 0 and takes nothing.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row)
-    # One size class to a doubling; a class is split by the hash of the id, 256 ways.  The key stands for the source, null too.
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *row)
+    # One size class to a doubling; a class is split by the hash of id and text, 256 ways.  The key stands for the source, null too.
+    hashed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest"))
     cell = (
         sized.withColumn("key", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")))
         .withColumn("band", F.length(F.bin("size")))
-        .withColumn("bucket", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"))
+        .withColumn("bucket", F.conv(F.substring(hashed, 1, 2), 16, 10).cast("int"))
     )
+    # Texts are read once: without their rows the sizes are written, else the counts of the cells, whose rows are few.
+    if not whole_rows:
+        cell = materialise(cell, "sizes")
     counts = cell.groupBy("key", "source", "band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = materialise(counts, "cells")
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rated = targets.select(
@@ -98,7 +103,7 @@ def mix_sources(
     )
     ahead = Window.partitionBy("key").orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.select("key", "band", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")).join(rated, "key")
-    inside = F.row_number().over(Window.partitionBy("key", "band", "bucket").orderBy("size", "doc_id"))
+    inside = F.row_number().over(Window.partitionBy("key", "band", "bucket").orderBy("size", "doc_id", "digest"))
     place = F.col("before") + F.col("inside")
     copies = F.floor(F.col("rate") * place + F.col("offset")) - F.floor(F.col("rate") * (place - 1) + F.col("offset"))
     placed = cell.withColumn("inside", inside).join(cells, ["key", "band", "bucket"]).withColumn("copies", copies.cast("long"))

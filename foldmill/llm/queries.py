@@ -69,7 +69,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mix_sources": r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighted AS (
@@ -93,7 +93,7 @@ WITH sized AS (
   FROM targets
 ), placed AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY
-    length(bin(size)), CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS INT), size, doc_id) AS place
+    length(bin(size)), CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 2) AS INT), size, doc_id, digest) AS place
   FROM sized
 )
 SELECT p.doc_id, p.size, r.source_size, r.target,

@@ -50,3 +50,10 @@ def test_rows_come_as_often_as_taken(spark):
     want = {r.doc_id: r.copies for r in mixing.mix_sources(docs).where("copies > 0").collect()}
     got = {r.doc_id: r["count"] for r in mixing.mixed_rows(docs).groupBy("doc_id").count().collect()}
     assert got == want
+
+
+def test_rows_without_ids_are_told_apart_by_their_texts(spark):
+    """A table of one id, or none: the same texts are taken however the rows are dealt."""
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id")).alias("text"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"))
+    once, again = (sorted(mixing.mixed_rows(d).select("text", "source").collect()) for d in (docs, docs.repartition(5)))
+    assert once == again and len(once) > 300
