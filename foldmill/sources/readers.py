@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
+import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -73,20 +77,62 @@ def read_fold_map(spark: SparkSession, path: str) -> DataFrame:
     return by_name(spark, path, "group_id string, fold int")
 
 
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet as texts, gaps filled with nulls."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            shared = ["".join(t.text or "" for t in item.iterfind(".//{*}t")) for item in root.iterfind("{*}si")]
+        sheets = [n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        with book.open(min(sheets, key=lambda n: (len(n), n))) as sheet:
+            for _, row in ElementTree.iterparse(sheet):
+                if row.tag.rpartition("}")[2] != "row":
+                    continue
+                values: list[str | None] = []
+                for cell in row.iterfind("{*}c"):
+                    at = 0
+                    for letter in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
+                        at = at * 26 + ord(letter) - 64
+                    values += [None] * (at - 1 - len(values))
+                    value = cell.findtext("{*}v")
+                    if cell.get("t") == "inlineStr":
+                        value = "".join(t.text or "" for t in cell.iterfind(".//{*}t"))
+                    elif cell.get("t") == "s" and value is not None:
+                        value = shared[int(value)]
+                    values.append(value)
+                row.clear()
+                yield values
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """``columns``, as text, of the first sheets of the XLSX workbooks at a path; their first rows name the columns."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                rows = sheet_rows(content)
+                header = next(rows, [])
+                places = [header.index(c) for c in columns] if header else []
+                while part := list(islice(rows, 1024)):
+                    yield pd.DataFrame([[r[k] if k < len(r) else None for k in places] for r in part], columns=list(columns), dtype=object)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
+
+
 def read_reports(spark: SparkSession, path: str, id_col: str, label_col: str, text_cols: Sequence[str]) -> DataFrame:
-    """Reports from CSV, as text: UTF-8, or Latin-1 if the bytes aren't UTF-8.
+    """Reports, as text: an XLSX workbook, or CSV in UTF-8, or in Latin-1 if the bytes aren't UTF-8.
 
-    Spark reads bad bytes as U+FFFD, so that mark decides.  NaN, NA and empty
-    fields are null.
+    NaN, NA and empty fields are null.
     """
-    options = {"header": True, "inferSchema": False, "multiLine": True, "escape": '"'}
-    rows = spark.read.csv(path, encoding="UTF-8", **options)
-    wanted = [id_col, label_col, *text_cols]
-    bad = F.lit(False)
-    for c in wanted:
-        bad = bad | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    if not rows.where(bad).isEmpty():
-        rows = spark.read.csv(path, encoding="ISO-8859-1", **options)
+    wanted = list(dict.fromkeys([id_col, label_col, *text_cols]))
+    if path.lower().endswith(".xlsx"):
+        rows = read_workbooks(spark, path, wanted)
+    else:
+        # lines are read as the bytes they are
+        utf8 = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+        rows = spark.read.csv(path, encoding="UTF-8" if utf8 else "ISO-8859-1", header=True, inferSchema=False, multiLine=True, escape='"')
     return rows.select(identifier(F.col(f"`{id_col}`")).alias("patient_id"), missing_as_null(F.col(f"`{label_col}`")).alias("label"), *[missing_as_null(F.col(f"`{c}`")).alias(c) for c in text_cols])
 
 

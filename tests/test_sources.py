@@ -1,4 +1,5 @@
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -64,6 +65,26 @@ def test_reports_in_both_encodings_and_missing_marks(spark, tmp_path):
         assert rows["7"].label is None and rows["7"].a is None and rows["7"].b == "gr\xf3s"
 
 
+def test_a_replacement_mark_in_utf8_is_no_latin1(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("id,label,a\n1,DN,gr\u00f3s \ufffd\n", encoding="utf-8")
+    assert readers.read_reports(spark, str(tmp_path / "u.csv"), "id", "label", ["a"]).first().a == "gr\u00f3s \ufffd"
+
+
+def test_reports_from_a_workbook(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    names = "".join(f"<si><t>{t}</t></si>" for t in ("label", "id", "a", "DN")) + "<si><r><t>two </t></r><r><t>runs &amp; gr\u00f3s</t></r></si>"
+    rows = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="AA1" t="s"><v>2</v></c></row>'
+        '<row r="2"><c r="A2" t="s"><v>3</v></c><c r="B2"><v>7</v></c><c r="AA2" t="s"><v>4</v></c></row>'
+        '<row r="3"><c r="B3" t="inlineStr"><is><t>008</t></is></c></row>'
+    )
+    with zipfile.ZipFile(tmp_path / "r.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {main}>{names}</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    got = sorted(map(tuple, readers.read_reports(spark, str(tmp_path / "r.xlsx"), "id", "label", ["a"]).collect()))
+    assert got == [("008", None, None), ("7", "DN", "two runs & gr\u00f3s")]
+
+
 def test_csv_round_trip_keeps_ids(spark, tmp_path):
     df = spark.createDataFrame([("00123", 4), ("a\nb", 1)], "group_id string, fold int")
     sinks.write_csv(sinks.fold_map(df), str(tmp_path / "m"))
