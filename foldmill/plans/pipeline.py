@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.functions.text import join_fields, strip_terms
+from foldmill.functions.text import file_name, join_fields, strip_terms
 from foldmill.operators import align, encoders, folds, images, manifest, metrics, ml, pooling, stats
 from foldmill.schema import Config, name_of
 from foldmill.sources import readers, sinks
@@ -62,15 +62,31 @@ def prepare(run: Run) -> DataFrame:
 
 
 def segment(run: Run) -> DataFrame:
-    """Crops of the manifest's images."""
-    wanted = run.read("prepare").select(F.col("image_path").alias("origin"))
-    found = readers.read_images(run.spark, run.root).join(wanted, "origin", "left_semi")
-    return images.segment_images(found, margin=run.config.margin, side=run.config.image_side)
+    """Crops of the manifest's images, as rows and as files: below crops/, by diagnosis and patient folder."""
+    side, folder = run.config.image_side, run.path("crops")
+    wanted = run.read("prepare").groupBy(F.col("image_path").alias("origin")).agg(F.min(F.concat_ws("/", "diagnosis", "folder_name")).alias("place"))
+    found = readers.read_images(run.spark, run.root).join(wanted.select("origin"), "origin", "left_semi")
+    crops = images.segment_images(found, margin=run.config.margin, side=side).join(wanted, "origin")
+    named = crops.withColumn("file", F.when(F.col("readable"), F.concat("place", F.lit("/"), file_name(F.col("origin")), F.lit(".png")))).drop("place")
+    written = sinks.with_files(named, folder, side, side)
+    return written.withColumn("segmented_path", readers.plain_path(F.concat(F.lit(f"{folder}/"), "file"))).drop("file")
+
+
+def montage(run: Run, n: int = 20) -> DataFrame:
+    """Image, mask and crop side by side for ``n`` images of the manifest, the same in every run."""
+    some = manifest.sample(run.read("prepare").select(F.col("image_path").alias("origin")).distinct(), "origin", n, run.config.seed)
+    found = readers.read_images(run.spark, run.root).join(some, "origin", "left_semi")
+    return images.montage(found, margin=run.config.margin, side=run.config.image_side)
 
 
 def make_csv(run: Run) -> DataFrame:
-    """A row for each image and test fold, with its split; the crop stands for the image where there is one."""
-    rows = manifest.choose_images(run.read("prepare"), readers.list_files(run.spark, run.root))
+    """A row for each image and test fold, with its split; the crop stands for the image where its file is there."""
+    crops = run.read("segment").where("segmented_path is not null").select(F.col("origin").alias("image_path"), "segmented_path")
+    rows = run.read("prepare").drop("segmented_path").join(crops, "image_path", "left")
+    if not crops.isEmpty():
+        rows = manifest.choose_images(rows, readers.list_files(run.spark, run.path("crops")))
+    else:
+        rows = rows.withColumn("image", F.col("image_path"))
     return folds.split_table(rows, run.config.n_folds).select("image", "label", "split", "test_fold")
 
 
@@ -80,12 +96,16 @@ def extract(run: Run) -> DataFrame:
     One encoder serves all test folds (test_fold is null), or, with
     ``run.checkpoints``, each test fold has the vectors of its own checkpoint; folds without one are left out.
     """
-    crops, rows = run.read("segment").where("readable"), run.read("prepare")
+    crops, rows, c = run.read("segment").where("readable"), run.read("prepare"), run.config
+
+    def seen(data: bytes) -> np.ndarray:
+        image = np.frombuffer(data, np.uint8).reshape(c.image_side, c.image_side, 3)
+        return images.evaluation_input(image, c.mean, c.std, c.resize_side, c.image_side)
 
     def pooled(make: Callable, test_fold: int | None) -> DataFrame:
         def load():
             encode = make()
-            return lambda data: encode(np.stack([np.frombuffer(x, np.uint8) for x in data]).astype(np.float32) / 255)
+            return lambda data: encode(np.stack([seen(x) for x in data]))
 
         vectors = crops.withColumn("features", encoders.model_column(load, F.col("data"), encoders.IMAGE_BATCH)).select(F.col("origin").alias("image_path"), "features")
         return pooling.pool_patients(rows.join(vectors, "image_path")).withColumn("test_fold", F.lit(test_fold).cast("int"))
@@ -146,7 +166,7 @@ def evaluate(run: Run) -> DataFrame:
 
 
 STAGES: dict[str, Callable[[Run], DataFrame]] = {
-    "prepare": prepare, "segment": segment, "make_csv": make_csv, "extract": extract, "clinical": clinical, "fusion": fusion, "evaluate": evaluate,
+    "prepare": prepare, "segment": segment, "montage": montage, "make_csv": make_csv, "extract": extract, "clinical": clinical, "fusion": fusion, "evaluate": evaluate,
 }
 
 

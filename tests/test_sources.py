@@ -101,6 +101,20 @@ def test_matrix_import(spark, tmp_path):
     assert [r.features for r in rows] == m.tolist()
 
 
+def test_matrix_round_trip(spark, tmp_path):
+    rows = [(k, [float(k), -k / 2]) for k in range(50)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    sinks.write_table(sinks.write_matrices(df, str(tmp_path / "m"), "id", "v"), str(tmp_path / "index"))
+    back = readers.read_matrix(spark, str(tmp_path / "m")).collect()
+    index = {(r.file, r.row): r.key for r in spark.read.parquet(str(tmp_path / "index")).collect()}
+    assert len(back) == 50 and {index[r.file.split("/")[-1], r.row]: r.features for r in back} == dict(rows[:50])
+
+
+def test_mask_is_shown_in_green():
+    shown = images.overlaid(np.full((2, 2, 3), 100, np.uint8), np.array([[1, 0], [0, 0]]))
+    assert shown[0, 0].tolist() == [60, 162, 60] and (shown[1] == 100).all()
+
+
 def test_checkpoint_choice(spark, tmp_path):
     for n in ("checkpoint-9.pth", "checkpoint-10.pth", "other-99.pth"):
         (tmp_path / n).write_bytes(b"x")
@@ -134,11 +148,22 @@ def test_unreadable_images_are_flagged(spark, tree):
 
 def test_stages_and_skipping(spark, tree):
     run = pipeline.Run(spark, str(tree / "data"), str(tree / "out"))
-    stages = ["prepare", "segment", "make_csv", "extract"]
+    stages = ["prepare", "segment", "montage", "make_csv", "extract"]
     took = pipeline.run_all(run, stages)
     assert all(t > 0 for t in took.values())
     assert pipeline.run_all(run, stages, skip_existing=True) == dict.fromkeys(stages, 0.0)
-    assert run.read("make_csv").count() == 30
+    rows = run.read("make_csv").collect()
+    assert len(rows) == 30
+    chosen = {r.image for r in rows}
+    own = str(tree / "data" / "DN" / "P2" / "bad.png")  # unreadable: no crop
+    assert own in chosen and len(chosen) == 6
+    for path in chosen - {own}:
+        assert path.startswith(run.path("crops")) and "/".join(path.split("/")[-3:-1]) in {"DN/P1 left", "DN/P2", "MIA/P1", "MIA/P3", "Minsitu/P4"}
+    crops = {r.segmented_path: r.data for r in run.read("segment").where("readable").collect()}
+    for r in readers.read_images(spark, run.path("crops")).collect():
+        assert images.rgb(r).tobytes() == bytes(crops[r.origin])
+    panels = run.read("montage").collect()
+    assert len(panels) == 5 and all(len(r.data) == 3 * r.height * r.width and r.width == 3 * r.height for r in panels)
     groups = {r.group_id: r.fold for r in run.read("extract").collect()}
     assert set(groups) == {"P1__DN", "P1__MIA", "P2__DN", "P3__MIA", "P4__Minsitu"} and groups["P1__DN"] == groups["P1__MIA"]
 
