@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.llm import decontaminate, jaccard, kd_shards, licenses, mixing, multi_index, quality_rules, secrets_crf, token_counts, toxicity
+from foldmill.llm import ball_tree, decontaminate, jaccard, kd_shards, licenses, mixing, multi_index, quality_rules, secrets_crf, token_counts, toxicity
 from foldmill.llm.common import crc_mod, table
 
 
@@ -58,11 +58,16 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_license_scan, op3_multi_index_search, op4_benchmark_leaks, op5_quality_rules,
         op6_jaccard_join, op7_token_counts, op8_secret_scan, op9_toxicity, op10_kd_shards,
+        op11_ball_tree_clusters,
     )
 }
 
