@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmill.llm import ball_tree, decontaminate, jaccard, kd_shards, licenses, mixing, multi_index, quality_rules, secrets_crf, token_counts, toxicity
+from foldmill.llm import ball_tree, decontaminate, importance, jaccard, kd_shards, language_id, licenses, mixing, multi_index, quality_rules, secrets_crf, token_counts, toxicity
 from foldmill.llm.common import crc_mod, table
 
 
@@ -62,12 +62,24 @@ def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_license_scan, op3_multi_index_search, op4_benchmark_leaks, op5_quality_rules,
         op6_jaccard_join, op7_token_counts, op8_secret_scan, op9_toxicity, op10_kd_shards,
-        op11_ball_tree_clusters,
+        op11_ball_tree_clusters, op12_importance_sample, op13_language_id,
     )
 }
 
