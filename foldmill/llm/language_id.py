@@ -18,8 +18,9 @@ START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of a language that the model is fitted on, about: those whose ids hash smallest, with their whole texts.
 FIT_DOCS = 2000
-#: Rounds of the fit, and what every piece is counted beside its occurrences.
-ROUNDS, PRIOR = 3, 0.01
+#: Rounds of the fit; the share of a language's probability that follows all languages, and the share of that spread evenly:
+#: what no training text holds is then as likely in a language of few texts as in one of many.
+ROUNDS, COMMON, EVEN = 3, 0.02, 0.1
 #: Languages at most: scores of a word are held for each.
 LANGUAGES = 200
 #: Words whose lattices are summed at once (fewer with more than four languages), and letters of a word up to which no scaling is needed.
@@ -193,14 +194,20 @@ def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS, per_language:
     if languages:
         words = materialise(words, "words")
     for k in range(rounds if languages else 0):
-        uses = np.full((size, len(languages)), PRIOR)
+        uses = np.zeros((size, len(languages)))
         for r in expected_uses(words, model_file, languages, p if k else None).collect():
             uses[r.piece, r.language] += r.uses
-        p = uses / uses.sum(0)
+        p = smoothed(uses)
     n = np.array([counts[x] for x in languages], float)
     return LanguageModel(model_file, languages, np.log(n / max(n.sum(), 1)), p)
 
 
+def smoothed(uses: np.ndarray) -> np.ndarray:
+    """Probabilities by language, mixed with those of all languages and a little of every piece."""
+    own = np.where(uses.sum(0) > 0, uses / np.maximum(uses.sum(0), 1e-300), 1 / len(uses))
+    return (1 - COMMON) * own + COMMON * ((1 - EVEN) * own.mean(1, keepdims=True) + EVEN / len(uses))
+
+
 def expected_uses(words: DataFrame, model_file: str, languages: list[str], p: np.ndarray | None) -> DataFrame:
     """(piece, language, uses); without probabilities every piece that fits somewhere counts, the longer the more."""
     number = {x: k for k, x in enumerate(languages)}

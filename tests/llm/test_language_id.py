@@ -86,10 +86,14 @@ def test_query_scores_like_enumeration(spark):
     model = language_id.train(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"), MODEL)
     pieces, got = language_id.pieces_of(MODEL), {r.doc_id: r for r in QUERIES["op13_language_id"](spark, sf).collect()}
     assert np.allclose(model.p.sum(0), 1)
-    for r in sorted(docs.collect(), key=lambda r: len(r.text))[:40]:
+    checked = 0
+    for r in sorted(docs.collect(), key=lambda r: len(r.text)):
         words = language_id.words_of(r.text)
-        if not words or max(map(len, words)) > 12:
+        if not words or max(map(len, words)) > 10:
             continue
+        checked += 1
+        if checked > 8:
+            break
         log = [model.prior[c] + sum(math.log(all_segmentations(w, pieces, model.p[:, c])[0]) for w in words) for c in range(len(model.languages))]
         assert got[r.doc_id].lang_pred == model.languages[int(np.argmax(log))]
         assert math.isclose(got[r.doc_id].score, 1 / sum(math.exp(x - max(log)) for x in log), rel_tol=1e-6)
