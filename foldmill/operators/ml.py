@@ -1,10 +1,8 @@
-"""Scaled components of two modalities, and balanced logistic regression under nested cross-validation."""
+"""Scaled components and balanced logistic regression of one training set."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
-
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmill.functions.vectors import argmax
-from foldmill.operators.folds import stratified_folds
-from foldmill.operators.metrics import confusion, scalar_scores
 
-COSTS = (0.01, 0.03, 0.1, 0.3, 1.0)
+
+def signs(loadings: np.ndarray) -> np.ndarray:
+    """1 or -1 for each column, so that its largest entry becomes positive; the first of those that are alike but for rounding."""
+    size = np.abs(loadings)
+    first = (size >= size.max(0) - 1e-9).argmax(0)
+    return np.where(np.take_along_axis(loadings, first[None], 0)[0] >= 0, 1.0, -1.0)
 
 
 class FittedComponents:
@@ -31,24 +32,15 @@ class FittedComponents:
         self.factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
         self.model = PCA(k=self.k, inputCol="z", outputCol="c").fit(self.scaler.transform(rows))
         loadings = self.model.pc.toArray()
-        self.signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
+        self.signs = signs(loadings)
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         x = df.withColumn("x", array_to_vector(F.col(self.vector).cast("array<double>")))
         scored = self.model.transform(self.scaler.transform(x))
-        signed = F.zip_with(vector_to_array("c"), F.array(*[F.lit(s * self.factor) for s in self.signs]), lambda a, b: a * b)
+        signed = F.zip_with(vector_to_array("c"), F.array(*[F.lit(float(s) * self.factor) for s in self.signs]), lambda a, b: a * b)
         return scored.withColumn(out, signed).drop("x", "z", "c")
 
 
-def fuse(train: DataFrame, rows: DataFrame, vectors: Sequence[str], components: int = 8, out: str = "fused") -> DataFrame:
-    """``rows`` with the components of each modality, fitted on ``train`` alone, one after the other."""
-    parts = []
-    for v in vectors:
-        rows = FittedComponents(train, v, components).transform(rows, f"_{v}")
-        parts.append(f"_{v}")
-    return rows.withColumn(out, F.concat(*parts)).drop(*parts)
-
-
 def balanced_weights(train: DataFrame, label: str) -> Column:
     """n / (classes * rows of the class), as a column over the labels."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row a class
@@ -71,45 +63,6 @@ def predict(model, rows: DataFrame, features: str) -> DataFrame:
     return scored.withColumn("proba", vector_to_array("probability")).withColumn("y_pred", argmax(F.col("proba"))).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def choose_cost(train: DataFrame, key: str, features: str, label: str, classes: Sequence[int], costs: Sequence[float] = COSTS, inner: int = 3, seed: int | str = 42, threads: int = 4) -> float:
-    """The cost with the best mean balanced accuracy over inner folds; the smallest on ties."""
-    folded = stratified_folds(train, key, label, inner, seed).persist()
-
-    def one(job: tuple[float, int]) -> tuple[float, float]:
-        cost, k = job
-        model = fit_logistic(folded.where(F.col("fold") != k), features, label, cost)
-        pred = predict(model, folded.where(F.col("fold") == k), features).select(F.col(label).alias("y_true"), "y_pred")
-        return cost, scalar_scores(confusion(pred, classes)).first()["balanced_accuracy"]
-
-    with ThreadPool(threads) as pool:
-        scores = pool.map(one, [(c, k) for c in costs for k in range(inner)])
-    folded.unpersist()
-    mean = {c: sum(s for x, s in scores if x == c) / inner for c in costs}
-    return min(costs, key=lambda c: (-round(mean[c], 12), c))
-
-
-def nested_cv(df: DataFrame, key: str, vectors: Sequence[str], label: str, classes: Sequence[int], n_folds: int = 5, components: int = 8, costs: Sequence[float] = COSTS, inner: int = 3, name: str = "fusion", test_folds: Sequence[int] | None = None) -> DataFrame:
-    """Predictions for every row by the model of the folds it isn't in: model, fold, row_id, y_true, y_pred, proba, cost.
-
-    ``df`` has the column fold; only rows of ``test_folds`` are predicted, if given.  Scaling and components are fitted on the
-    training folds only; the cost is chosen within them.
-    """
-    out = None
-    for k in range(n_folds) if test_folds is None else test_folds:
-        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        if test.isEmpty():
-            continue
-        fused = fuse(train, df, vectors, components).select(key, label, "fold", "fused").persist()
-        own = fused.where(F.col("fold") != k)
-        cost = choose_cost(own.drop("fold"), key, "fused", label, classes, costs, inner)
-        model = fit_logistic(own, "fused", label, cost)
-        fused.unpersist()  # the predictions work out their few rows anew
-        pred = predict(model, fused.where(F.col("fold") == k), "fused")
-        part = pred.select(F.lit(name).alias("model"), "fold", F.col(key).cast("string").alias("row_id"), F.col(label).alias("y_true"), "y_pred", "proba", F.lit(float(cost)).alias("cost"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def two_components(df: DataFrame, vector: str) -> DataFrame:
     """Two principal components, in place of a neighbour embedding for plots."""
     return FittedComponents(df, vector, 2).transform(df, "xy").withColumn("x", F.get("xy", F.lit(0))).withColumn("y", F.get("xy", F.lit(1))).drop("xy")

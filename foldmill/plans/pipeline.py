@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmill.functions.text import file_name, join_fields, strip_terms
-from foldmill.operators import align, encoders, folds, images, manifest, metrics, ml, pooling, stats
+from foldmill.operators import align, encoders, folds, images, manifest, metrics, nested, pooling, stats
 from foldmill.schema import Config, name_of
 from foldmill.sources import readers, sinks
 from foldmill.terms import DIAGNOSIS_TERMS
@@ -139,7 +139,7 @@ def fusion(run: Run) -> DataFrame:
 
     def crossed(rows: DataFrame, test_folds: list[int] | None) -> DataFrame:
         c = run.config
-        return ml.nested_cv(rows, "group_id", ["features", "text_features"], "label", codes, c.n_folds, c.components, c.costs, c.inner_folds, f"fusion_{run.model}", test_folds)
+        return nested.nested_cv(rows, "group_id", ["features", "text_features"], "label", codes, c.n_folds, c.components, c.costs, c.inner_folds, f"fusion_{run.model}", test_folds)
 
     if not run.checkpoints:
         return crossed(both, None)

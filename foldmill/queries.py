@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldmill.functions import text as tx
 from foldmill.functions import vectors as vec
-from foldmill.operators import align, encoders, folds, manifest, metrics, ml, pooling, similarity, stats
+from foldmill.operators import align, encoders, folds, manifest, metrics, nested, pooling, similarity, stats
 from foldmill.sources import sinks
 
 #: 0.975 quantile of Student's t with 4 degrees of freedom, for the SQL.
@@ -309,17 +309,13 @@ def two_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaler_pca_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of both modalities of every row for each test fold, fitted on the other folds."""
-    rows = two_modalities(spark, sf_dir)
-    out = None
-    for k in range(5):
-        part = ml.fuse(rows.where(F.col("fold") != k), rows, ["image", "report"]).select("vec_id", "fold", F.lit(k).alias("test_fold"), "fused")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = nested.fused_by_fold(two_modalities(spark, sf_dir), ["image", "report"], range(5))
+    return found.select("vec_id", "fold", "test_fold", "fused")
 
 
 def nested_cv_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested cross-validation over the five folds as dealt, with the operator's own costs and inner folds."""
-    return ml.nested_cv(two_modalities(spark, sf_dir), "vec_id", ["image", "report"], "label", LABELS).select("fold", "row_id", "y_true", "y_pred", "cost")
+    return nested.nested_cv(two_modalities(spark, sf_dir), "vec_id", ["image", "report"], "label", LABELS).select("fold", "row_id", "y_true", "y_pred", "cost")
 
 
 QUERIES = {
