@@ -20,6 +20,8 @@ BAND = 1.5
 STAR_ROUNDS = 2
 #: Members of a tile that are compared in full; those of larger tiles have to share a rare shingle too.
 FULL = 256
+#: Sets of a block: pairs of sets that share a key are made by pairs of blocks.
+BLOCK = 256
 #: Texts that one head is compared with in one place.
 SHARED = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,9 +71,10 @@ def tiles_of(values: np.ndarray, num: int, den: int) -> np.ndarray:
     elements.  For each band that the larger of a pair may be in, the hash space
     is dealt into more parts than d can be; some part then holds the same
     elements in both, and the part's content is the key.  Parts with at most one
-    element are poor keys; as parts outnumber d by some, they are left out unless
-    a set has so many of them that the equal parts might all be among them, which
-    then holds for both sets of the pair.
+    element are poor keys, and empty ones say nothing; as parts outnumber d by some,
+    both kinds are left out, or the empty ones alone, unless a set has so many of them that the equal
+    parts might all be among them.  Of two sets the one that leaves out more has
+    an equal part among the rest, and the other keeps that part too.
     """
     n = len(values)
     top = n * den // num  # the largest partner
@@ -88,9 +91,9 @@ def tiles_of(values: np.ndarray, num: int, den: int) -> np.ndarray:
         count = np.bincount(part, minlength=parts)
         content = np.zeros(parts, np.uint64)
         np.add.at(content, part, h)
-        weak = count <= 1
-        use = ~weak if weak.sum() < parts - most else np.ones(parts, bool)
-        at = np.flatnonzero(use)
+        spare = parts - most  # parts that are equal in any two sets that link, at least
+        least = next((k for k in (2, 1) if (count < k).sum() < spare), 0)
+        at = np.flatnonzero(count >= least)
         keys.append(mixed(content[at] * MIX + at.astype(np.uint64) * np.uint64(1024) + np.uint64(band)))
     return np.concatenate(keys).view(np.int64)
 
@@ -273,35 +276,68 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
 
 
 def rare_pairs(sets: DataFrame, texts: DataFrame, width: int, num: int, den: int, made: list[DataFrame]) -> DataFrame:
-    """(a, b): pairs of ``sets(rep, comp, n, bitmap)`` in different components that share a rare shingle and may link.
+    """(a, b): pairs of ``sets(rep, h1, h2, comp, n, bitmap)`` in different components that share a rare shingle and may link.
 
     For tiles that many unlike sets share, say by a passage that stands in all of
     them.  Shingles are ordered by how many of the sets hold them, rarest first; sets
     that link share at least one of the first n - ceil(n * num / den) + 1 of either.
+    An id may have several sets; each has its own first shingles.
     The table that the pairs are read from is added to ``made``.
     """
 
     def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
-            found = [shingle_set(t, width).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"rep": np.repeat(frame["id"].to_numpy(), [len(f) for f in found]), "shingle": np.concatenate([np.zeros(0, np.int64), *found])})
-
-    rows = texts.join(sets.select(F.col("rep").alias("id")), "id").select("id", "text").mapInPandas(shingles, "rep long, shingle long").distinct()
+            found = [shingle_set(t, width) for t in frame["text"]]
+            size = [len(f) for f in found]
+            h1, h2 = (np.array([signed64(xxhash.xxh64_intdigest(f.tobytes(), k)) for f in found], np.int64) for k in (1, 2))
+            values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pd.DataFrame({"rep": np.repeat(frame["id"].to_numpy(), size), "h1": np.repeat(h1, size), "h2": np.repeat(h2, size), "shingle": values})
+
+    one = ["rep", "h1", "h2"]
+    rows = texts.join(sets.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text")
+    rows = rows.mapInPandas(shingles, "rep long, h1 long, h2 long, shingle long").join(sets.select(*one), one, "left_semi").distinct()
     rows = materialise(rows, "shingles")
     made.append(rows)
     known = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
-    total, place = F.count("*").over(Window.partitionBy("rep")), F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    total, place = F.count("*").over(Window.partitionBy(*one)), F.row_number().over(Window.partitionBy(*one).orderBy("holders", "shingle"))
     first = known.withColumn("total", total).withColumn("place", place).where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * num / den) + 1)
-    side = first.select("shingle", "rep").join(sets, "rep")
-    return pairs_within(side, "shingle", num, den)
+    return pairs_within(first.select("shingle", *one).join(sets, one), "shingle", num, den, made)
+
 
+def pairs_within(side: DataFrame, key: str, num: int, den: int, made: list[DataFrame]) -> DataFrame:
+    """(a, b): pairs of the rows of ``side(key, rep, comp, n, bitmap)`` that share a key, lie in different components and may link.
 
-def pairs_within(side: DataFrame, key: str, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of the rows of ``side(key, rep, comp, n, bitmap)`` that share a key, lie in different components and may link."""
-    a = side.select(key, F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-    b = side.select(key, F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    room = may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
-    return a.join(b, (a[key] == b[key]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
+    The rows of a key are cut by size into bands, of which only equal and
+    neighbouring ones can link, and a band into blocks of about ``BLOCK``; each pair of
+    blocks is a join key of its own, so that no key's pairs are made in one task.
+    The table of block counts is added to ``made``.
+    """
+    ratio = math.log(den / num) if num < den else 1.0
+    rows = side.select(key, "rep", "comp", "n", "bitmap", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).alias("band"))
+    sizes = materialise(rows.groupBy(key, "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    made.append(sizes)
+
+    def beside(mark: str, other: str, steps: tuple[int, int]) -> DataFrame:
+        """Rows under the numbers of their own band and block, once for each block of the bands ``steps`` away."""
+        own = rows.join(sizes, [key, "band"]).select(
+            key, F.col("rep").alias(mark), F.col("comp").alias(f"c{mark}"), F.col("n").alias(f"n{mark}"), F.col("bitmap").alias(f"m{mark}"),
+            F.col("band").alias(f"band_{mark}"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias(f"block_{mark}"),
+            F.explode(F.array(*[F.col("band") + F.lit(s) for s in steps])).alias(f"band_{other}"))
+        there = sizes.select(key, F.col("band").alias(f"band_{other}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(f"block_{other}"))
+        return own.join(there, [key, f"band_{other}"])
+
+    met = beside("a", "b", (0, 1)).join(beside("b", "a", (0, -1)), [key, "band_a", "block_a", "band_b", "block_b"])
+    # within a band both orders meet, across bands one does
+    once = (F.col("ca") < F.col("cb")) | ((F.col("band_a") < F.col("band_b")) & (F.col("ca") > F.col("cb")))
+    return met.where(once & may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)).select("a", "b").distinct()
+
+
+def same_id(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes that belong together as rows with one id have both sets; most tables have none."""
+    rows = members.where("n > 0 and doc_id is not null").select("doc_id", "h1", "h2")
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc_id")
+    reps = rows.join(several, "doc_id").join(nodes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", F.col("rep").alias("b")).distinct()
+    return reps.join(reps.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a < b").select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -329,14 +365,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     nodes = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     done: list[DataFrame] = []
     tiles = shared_tiles(set_tiles(docs, width, num, den), done)
-    met = tiles.select(F.col("rep").alias("id")).distinct()
+    same = materialise(same_id(members, nodes), "same-id")
+    done.append(same)
+    met = tiles.select(F.col("rep").alias("id")).unionAll(same.select("a")).unionAll(same.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met, "id")
     # An id that repeated rows share may have several texts; each of them is compared.
     texts = texts.where("text is not null").withColumn("hash", F.xxhash64("text", F.reverse("text")))
     texts = materialise(texts.dropDuplicates(["id", "hash"]).drop("hash"), "texts")
-    marks = materialise(nodes.select(F.col("rep").alias("id"), "n", "bitmap").join(met, "id"), "marks")
+    marks = materialise(nodes.select(F.col("rep").alias("id"), "h1", "h2", "n", "bitmap").join(met, "id"), "marks")
     links, comp = None, met.select("id", F.col("id").alias("comp"))
     done += [texts, marks]
+
+    def joined_up(links: DataFrame) -> DataFrame:
+        joined = components(links)
+        comp = materialise(met.join(joined, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
+        done.extend([joined, comp])
+        return comp
+
+    if not same.isEmpty():
+        links, comp = same, joined_up(same)
     for turn in range(STAR_ROUNDS + 1):
         labelled = tiles.join(comp.withColumnRenamed("id", "rep"), "rep")
         if turn:
@@ -356,10 +403,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         else:
             side = labelled.select("key", "rep", "comp").join(marks.withColumnRenamed("id", "rep"), "rep")
             large = materialise(labelled.groupBy("key").count().where(F.col("count") > FULL).select("key"), "large")
-            pairs = pairs_within(side.join(large, "key", "left_anti"), "key", num, den)
+            pairs = pairs_within(side.join(large, "key", "left_anti"), "key", num, den, done)
             done.append(large)
             if not large.isEmpty():
-                crowd = side.join(large, "key", "left_semi").select("rep", "comp", "n", "bitmap").dropDuplicates(["rep"])
+                crowd = side.join(large, "key", "left_semi").select("rep", "h1", "h2", "comp", "n", "bitmap").dropDuplicates(["rep", "h1", "h2"])
                 crowd = materialise(crowd, "crowd")
                 done.append(crowd)
                 pairs = pairs.unionAll(rare_pairs(crowd, texts, width, num, den, done)).distinct()
@@ -368,9 +415,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         if new.isEmpty():
             continue
         links = new if links is None else links.unionAll(new)
-        joined = components(links)
-        comp = materialise(met.join(joined, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
-        done += [joined, comp]
+        comp = joined_up(links)
     of_set = nodes.select("h1", "h2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     # Alone: no words, or no id.  A set that many documents have is one row on the other side.
     of_set = materialise(of_set, "of-set")

@@ -73,6 +73,39 @@ def test_large_tiles_and_shared_heads_like_all_pairs(spark, monkeypatch, seed):
     assert got == want and 1 < len({c for _, c in want.values()}) < 96
 
 
+@pytest.mark.parametrize("full,block", [(0, 3), (2, 256), (256, 2)])
+def test_repeated_ids_with_several_texts(spark, monkeypatch, full, block):
+    """Links of each text of an id are found, however large its tiles are; an id's texts belong together."""
+    monkeypatch.setattr(jaccard, "FULL", full)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    bases, rows = [[r.choice(words) for _ in range(40)] for _ in range(10)], []
+    for i in range(40):
+        copy = list(bases[i % 10])
+        copy[r.randrange(40)] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+        rows.append((i, " ".join(r.choice(words) for _ in range(400))))  # an unlike second text under the same id
+    rows += [(100, rows[0][1]), (101, rows[1][1]), (101, rows[4][1])]  # one that brings two ids together
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 75, 100).collect()}
+    sets, parent = [shingles(t, 3) for _, t in rows], {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(rows[i][0]), find(rows[j][0])))
+                parent[b] = a
+    want = {(d, len(s), find(d)) for (d, _), s in zip(rows, sets)}
+    assert got == want and len({c for *_, c in want}) < 42
+
+
 def test_documents_like_all_pairs(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, 4, 85, 100).collect()}
