@@ -148,9 +148,10 @@ def search(
     Every row is written once with its pair of centroids.  Each query walks the
     pairs by summed distance, inside a task, until they hold the share of all rows
     that reached ``recall`` on a sample (or ``share``, if given; ``least`` rows at least), and
-    meets their entries: rows and queries are joined by the first centroid, both
-    in blocks of about ``block``, so a cell or a vector that many rows share is spread, and each
-    block of rows is read once for each block of queries that visits it.
+    meets their entries: the rows of a first centroid are dealt into blocks of about
+    ``block``, so a cell or a vector that many rows share is spread, and each query goes
+    to the blocks it visits. A block's rows are sent once and come first; the
+    queries stream past them, ``block`` at a time.
     Entries are reranked on the original vectors in double precision; equal
     distances go to the smaller id.
 
@@ -193,51 +194,77 @@ def search(
     walked = spark.sparkContext.broadcast(MultiIndex(index.first, index.second, sizes, dims))
     #: Into how many blocks the rows of each first centroid and the queries are dealt.
     spread = np.maximum(1, -(-sizes.reshape(-1, second).sum(1) // block))
-    turns = max(1, math.ceil(n_queries / block))
 
     def walks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
-            out = []
-            for q_row, vector in zip(frame["row"], frame["vector"]):
+            first, deal, at, seconds = [], [], [], []
+            for q, vector in enumerate(frame["vector"]):
                 cells = walked.value.visited(np.asarray(vector, float), entries)
                 for a in np.unique(cells // second):
-                    seconds = (cells[cells // second == a] % second).astype(np.int32)
-                    out += [(int(a), b, vector, q_row, seconds) for b in range(spread[a])]
-            frame = frame.set_index("row")
-            yield pd.DataFrame({
-                "first": [o[0] for o in out], "deal": [o[1] for o in out], "turn": [o[3] % turns for o in out], "query": [o[3] for o in out],
-                "query_id": frame["id"].loc[[o[3] for o in out]].to_numpy(), "vector": [o[2] for o in out], "seconds": [o[4] for o in out],
-            })
+                    first += [int(a)] * int(spread[a])
+                    deal += range(spread[a])
+                    at += [q] * int(spread[a])
+                    seconds += [(cells[cells // second == a] % second).astype(np.int32)] * int(spread[a])
+            rows = frame.iloc[at]
+            yield pd.DataFrame({"first": first, "deal": deal, "asks": True, "id": rows["id"].to_numpy(), "row": rows["row"].to_numpy(), "vector": rows["vector"].to_numpy(), "seconds": seconds})
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            first = frame["cell"] // second
+            first = frame["cell"].to_numpy() // second
+            seconds = (frame["cell"].to_numpy() % second).astype(np.int32)
             # rows of a table are numbered one after the other, so numbers deal alike rows evenly
-            yield pd.DataFrame({"first": first, "deal": frame["row"] % spread[first], "id": frame["id"], "row": frame["row"], "vector": frame["vector"], "second": frame["cell"] % second})
+            yield pd.DataFrame({"first": first, "deal": frame["row"] % spread[first], "asks": False, "id": frame["id"], "row": frame["row"], "vector": frame["vector"], "seconds": list(seconds[:, None])})
 
-    asked = indexed.where("asks").select("id", "vector", "row").mapInPandas(walks, "first long, deal long, turn long, query long, query_id long, vector array<double>, seconds array<int>")
-    entry = indexed.select("id", "vector", "row", "cell").mapInPandas(dealt, "first long, deal long, id long, row long, vector array<double>, second long")
-    entry = entry.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)).cast("array<long>")))
-    key = ["first", "deal", "turn"]
-
-    def compare(asked: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return best_of_block(asked, entry, second, dims, k)
-
-    found = asked.groupBy(*key).cogroup(entry.groupBy(*key)).applyInPandas(compare, "query long, query_id long, id long, score double")
+    placed = "first long, deal long, asks boolean, id long, row long, vector array<double>, seconds array<int>"
+    asked = indexed.where("asks").select("id", "vector", "row").mapInPandas(walks, placed)
+    entry = indexed.select("id", "vector", "row", "cell").mapInPandas(dealt, placed)
+    blocks = entry.unionAll(asked).repartition("first", "deal").sortWithinPartitions("first", "deal", "asks")
+    found = blocks.mapInPandas(lambda frames: best_of_blocks(frames, second, dims, k, block), "query long, query_id long, id long, score double")
     order = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def best_of_blocks(frames: Iterator[pd.DataFrame], second: int, dims: int, k: int, block: int) -> Iterator[pd.DataFrame]:
+    """Rows in order of their block, entries before queries: the entries of one block are held, and ``block`` queries at most."""
+    here, entries, queries, waiting = None, [], [], 0
+
+    def answers() -> pd.DataFrame:
+        return best_of_block(pd.concat(queries), pd.concat(entries), second, dims, k)
+
+    for frame in frames:
+        key = frame["first"].to_numpy() * (1 << 32) + frame["deal"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        for start, end in zip(cuts, [*cuts[1:], len(key)]):
+            if key[start] != here:
+                if queries and entries:
+                    yield answers()
+                here, entries, queries, waiting = key[start], [], [], 0
+            part = frame.iloc[start:end]
+            asks = part["asks"].to_numpy()
+            if not asks.all():
+                entries.append(part[~asks])
+            part = part[asks]
+            while len(part):
+                queries.append(part.iloc[: block - waiting])
+                waiting, part = waiting + len(queries[-1]), part.iloc[block - waiting :]
+                if waiting == block:
+                    if entries:
+                        yield answers()
+                    queries, waiting = [], 0
+    if queries and entries:
+        yield answers()
+
+
 def best_of_block(asked: pd.DataFrame, entry: pd.DataFrame, second: int, dims: int, k: int) -> pd.DataFrame:
     """The best ``k`` entries that each query visits in one block of rows."""
     if not len(asked) or not len(entry):
         return pd.DataFrame({"query": [], "query_id": [], "id": [], "score": []})
     queries, x = (np.array(f["vector"].tolist(), float).reshape(-1, dims) for f in (asked, entry))
-    own, have, ids = asked["query"].to_numpy(np.int64), entry["row"].to_numpy(np.int64), entry["id"].to_numpy(np.int64)
+    own, have, ids = asked["row"].to_numpy(np.int64), entry["row"].to_numpy(np.int64), entry["id"].to_numpy(np.int64)
     visits = np.zeros((len(queries), second), bool)
     for q, seconds in enumerate(asked["seconds"]):
         visits[q, seconds] = True
-    cell = entry["second"].to_numpy(np.int64)
+    cell = np.array(entry["seconds"].tolist(), np.int64)[:, 0]
     top_d, top_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     with np.errstate(over="ignore", invalid="ignore"):
         q_norm, x_norm = (queries**2).sum(1), (x**2).sum(1)
@@ -255,7 +282,7 @@ def best_of_block(asked: pd.DataFrame, entry: pd.DataFrame, second: int, dims: i
             if len(q):
                 merge(top_d, top_i, q, distance(queries[q] - x[e]), ids[e])
     q, j = np.nonzero(np.isfinite(top_d))
-    return pd.DataFrame({"query": own[q], "query_id": asked["query_id"].to_numpy(np.int64)[q], "id": top_i[q, j], "score": top_d[q, j]})
+    return pd.DataFrame({"query": own[q], "query_id": asked["id"].to_numpy(np.int64)[q], "id": top_i[q, j], "score": top_d[q, j]})
 
 
 def distance(diff: np.ndarray) -> np.ndarray:
