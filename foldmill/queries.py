@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldmill.functions import text as tx
 from foldmill.functions import vectors as vec
-from foldmill.operators import align, encoders, folds, manifest, metrics, nested, pooling, similarity, stats
+from foldmill.operators import align, encoders, folds, graph, layout, manifest, metrics, nested, pooling, similarity, stats
 from foldmill.sources import sinks
 
 #: 0.975 quantile of Student's t with 4 degrees of freedom, for the SQL.
@@ -301,6 +301,24 @@ def text_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "features")
 
 
+def language_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, v): texts as hashed words, weighed by how rare they are."""
+    found = encoders.hashed_text(table(spark, sf_dir, "documents"), "text", "v", 64)
+    return found.select("doc_id", "v")
+
+
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours found by improving a graph, not by comparing all pairs."""
+    near = graph.neighbour_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return rounded(near, 6, "similarity")
+
+
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in two dimensions, from a graph of 30 neighbours."""
+    near = graph.neighbour_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=30, exact_below=20_000)
+    return layout.neighbour_layout(near.withColumnRenamed("vec_id", "id")).select(F.col("id").alias("vec_id"), "x", "y")
+
+
 def two_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors cut in halves that stand for two modalities, folded."""
     rows = folded_vectors(spark, sf_dir)
@@ -327,6 +345,7 @@ QUERIES = {
         permutation_test, permutation_p, confusion_matrix, confusion_normalised, class_report, scalar_metrics_by_fold, fold_summary_ci,
         paired_t_models, spearman_length_label, roc_auc_ovr, roc_points, mean_roc, class_sample, row_sample, topk_per_class,
         incremental_pending, shared_groups, fold_map, wide_metrics, choose_images, text_encoder, scaler_pca_fusion, nested_cv_logreg,
+        neighbour_graph, neighbour_layout,
     )
 }
 

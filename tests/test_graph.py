@@ -67,3 +67,76 @@ def test_copies_nulls_and_small_tables(spark):
     assert graph.neighbour_graph(df.limit(0), "vec_id", "v", 3).collect() == []
     two = found(graph.neighbour_graph(df.where("vec_id in (0, 200)"), "vec_id", "v", 3))
     assert {i: [n for n, _ in v] for i, v in two.items()} == {0: [200], 200: [0]}
+
+
+def trustworthiness(x, y, k):
+    """1 if every row's k nearest in ``y`` are among its k nearest in ``x``; less by how far away they are there."""
+    n = len(x)
+    far, near = (((v[:, None] - v) ** 2).sum(2) for v in (x, y))
+    np.fill_diagonal(far, np.inf)
+    np.fill_diagonal(near, np.inf)
+    rank = far.argsort(1, kind="stable").argsort(1, kind="stable") + 1
+    picked = near.argsort(1, kind="stable")[:, :k]
+    over = np.maximum(np.take_along_axis(rank, picked, 1) - k, 0).sum()
+    return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * over
+
+
+@pytest.mark.parametrize("block", [4096, 150])
+def test_layout_keeps_neighbours(spark, block):
+    """Vectors along a rolled-up sheet: near neighbours stay near in two dimensions, in one block and in many."""
+    from foldmill.operators import layout
+
+    rng = np.random.RandomState(6)
+    turn, along = 4 + 5 * rng.random_sample(600), 8 * rng.random_sample(600)
+    x = np.c_[turn * np.cos(turn), along - 4, turn * np.sin(turn)] @ rng.standard_normal((3, 12)) + 0.05 * rng.standard_normal((600, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    edges = similarity.neighbours(df, "id", "v", 15).persist()
+    runs = [{r.id: (r.x, r.y) for r in layout.neighbour_layout(edges, passes=150, block=block).collect()} for _ in range(2 if block > 1000 else 1)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([runs[0][i] for i in range(600)])
+    assert np.isfinite(y).all() and trustworthiness(u, y, 10) >= 0.9
+    assert all(np.allclose(runs[0][i], r[i], atol=1e-6) for r in runs[1:] for i in r)
+
+
+def test_layout_of_given_texts_beats_components(spark):
+    """Texts of sf0.01 hashed into 64 words have no plane to lie in; still more neighbours are kept than by two principal components."""
+    from foldmill.operators import layout
+    from foldmill.operators.ml import two_components
+    from foldmill.queries import language_vectors
+
+    rows = language_vectors(spark, f"{DATA}/sf0.01").persist()
+    edges = similarity.neighbours(rows, "doc_id", "v", 15).withColumnRenamed("doc_id", "id")
+    got = {r.id: (r.x, r.y) for r in layout.neighbour_layout(edges, passes=150).collect()}
+    flat = {r.doc_id: (r.x, r.y) for r in two_components(rows, "v").select("doc_id", "x", "y").collect()}
+    table = rows.toPandas()
+    x = np.array(table.v.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ours, theirs = (trustworthiness(x, np.array([p[i] for i in table.doc_id]), 10) for p in (got, flat))
+    assert len(got) == len(table) and ours >= 0.75 and ours > theirs
+
+
+def test_layout_of_clusters_and_edges(spark):
+    from foldmill.operators import layout
+
+    rng = np.random.RandomState(2)
+    centre = np.repeat(np.eye(6)[:4] * 5, 40, 0)
+    x = centre + 0.3 * rng.standard_normal(centre.shape)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    edges = similarity.neighbours(df, "id", "v", 12)
+    got = {r.id: (r.x, r.y) for r in layout.neighbour_layout(edges, passes=150).collect()}
+    y = np.array([got[i] for i in range(160)])
+    near = ((y[:, None] - y) ** 2).sum(2).argsort(1)[:, 1:6]
+    assert (near // 40 == (np.arange(160) // 40)[:, None]).mean() > 0.97
+    assert layout.neighbour_layout(edges.limit(0)).collect() == []
+    a, b = layout.curve(0.1)
+    assert abs(a - 1.577) < 0.05 and abs(b - 0.895) < 0.03
+
+
+def test_bandwidths(spark):
+    from foldmill.operators import layout
+
+    edges = spark.createDataFrame([(1, n, s) for n, s in ((2, 0.9), (3, 0.7), (4, 0.1), (5, 0.0))] + [(2, 1, 0.9), (2, 3, 0.9)], "id long, neighbour long, similarity double")
+    w = {(r.a, r.b): r.w for r in layout.bandwidths(edges).collect()}
+    assert w[1, 2] == pytest.approx(1) and sum(v for (a, _), v in w.items() if a == 1) == pytest.approx(2, abs=1e-6) and w[1, 3] > w[1, 4] > w[1, 5]
+    both = {(r.a, r.b): r.w for r in layout.symmetric(layout.bandwidths(edges)).collect()}
+    assert both[1, 2] == both[2, 1] == pytest.approx(1) and both[3, 1] == both[1, 3] == pytest.approx(w[1, 3])
