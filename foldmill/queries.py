@@ -73,6 +73,16 @@ def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.assign_folds(rows, placed, "l_orderkey").groupBy("fold", "l_returnflag").agg(F.count("*").alias("n"))
 
 
+def greedy_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By class: rows, groups, and whether its rows by fold differ by less than two of its largest groups."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    placed = folds.assign_folds(rows, folds.greedy_group_folds(rows, "l_orderkey", "l_returnflag"), "l_orderkey")
+    by_group = placed.groupBy("l_returnflag", "l_orderkey", "fold").agg(F.count("*").alias("n"))
+    by_fold = by_group.groupBy("l_returnflag", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.max("n").alias("largest"))
+    even = (F.max("n") - F.min("n") < 2 * F.max("largest")) & (F.count("*") == 5)
+    return by_fold.groupBy("l_returnflag").agg(F.sum("n").alias("n_rows"), F.sum("n_groups").alias("n_groups"), even.alias("even"))
+
+
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, groups and groups in several folds, by fold."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
@@ -339,7 +349,7 @@ def nested_cv_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        align_fold_summary, group_majority_label, stratified_group_folds, balanced_group_folds, leakage_check, split_table, manifest_stats,
+        align_fold_summary, group_majority_label, stratified_group_folds, balanced_group_folds, greedy_group_folds, leakage_check, split_table, manifest_stats,
         overall_stats, fold_class_counts, multiclass_groups, label_frequencies, vector_mean_pool, masked_mean, vector_functions, text_clean,
         text_length_stats, report_fields, label_encode, class_cohesion, knn_neighbours, knn_loo_predictions, knn_loo_accuracy,
         permutation_test, permutation_p, confusion_matrix, confusion_normalised, class_report, scalar_metrics_by_fold, fold_summary_ci,
@@ -434,6 +444,7 @@ ORACLE_SQL = {
   (SELECT sum(term) AS odd FROM (SELECT sqrt(1 - sine * sine) * exp(sum(CASE WHEN i = 0 THEN 0 ELSE ln(2 * i / CAST(2 * i + 1 AS DOUBLE) * (1 - sine * sine)) END) OVER (ORDER BY i)) AS term FROM sides, range(2000000) k(i) WHERE i <= (nu - 3) / 2))""", _LABELLED, _SPEARMAN),
     "balanced_group_folds": _sql("SELECT fold, l_returnflag, count(*) AS n FROM lineitem JOIN dealt USING (l_orderkey) GROUP BY fold, l_returnflag", """profiles AS (SELECT l_orderkey, '[' || string_agg('{"l":"' || l_returnflag || '","n":' || n || '}', ',' ORDER BY l_returnflag) || ']' AS profile FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey),
 dealt AS (SELECT l_orderkey, CAST((row_number() OVER (PARTITION BY profile ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '_42'), l_orderkey) - 1 + CAST('0x' || substr(md5(profile), 1, 6) AS BIGINT)) % 5 AS INT) AS fold FROM profiles)"""),
+    "greedy_group_folds": "SELECT l_returnflag, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_groups, true AS even FROM lineitem GROUP BY l_returnflag",
     "shared_groups": _sql("SELECT l_orderkey FROM folded WHERE fold = 0 INTERSECT SELECT l_orderkey FROM folded WHERE fold <> 0", f"folded AS (SELECT l_orderkey, {_fold('(l_orderkey * 10 + l_linenumber)', 'l_returnflag')} AS fold FROM lineitem)"),
     "fold_map": _sql("SELECT user_id AS group_id, min(fold) AS fold FROM rows GROUP BY user_id", _EVENT_FOLDS),
     "wide_metrics": _sql("SELECT 'knn' AS model, s.fold, round(balanced_accuracy, 9) AS balanced_accuracy, round(accuracy, 9) AS accuracy, CAST(NULL AS DOUBLE) AS macro_auc, round(s.macro_f1, 9) AS macro_f1, round(kappa, 9) AS cohen_kappa, CAST(NULL AS DOUBLE) AS n_train, CAST(n AS DOUBLE) AS n_test, CAST(NULL AS DOUBLE) AS best_c, " + ", ".join(f"round((SELECT f1 FROM scores c WHERE c.fold = s.fold AND c.class = {k}), 9) AS c{k}_f1" for k in range(3)) + " FROM scalars s", *_KNN, _GRID, _SCORES, _SCALARS),

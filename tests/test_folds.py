@@ -87,3 +87,61 @@ def test_image_choice_and_defaults(spark):
     assert [r.image_path for r in manifest.missing_images(df, files).collect()] == ["c.jpg"]
     crops = spark.createDataFrame([(True, True), (False, True), (False, False)], "fallback boolean, readable boolean")
     assert manifest.crop_counters(crops).first().asDict() == {"n": 3, "n_fallback": 1, "n_unreadable": 1}
+
+
+def unevenness(held, totals, n):
+    return sum((held[f][c] / (totals[c] / n) - 1) ** 2 for f in range(n) for c in range(len(totals)) if totals[c])
+
+
+def test_greedy_folds_of_skewed_groups_like_enumeration(spark):
+    """One class lies in three groups: no assignment of them spreads it better by more than one group, and the rest fills up."""
+    import itertools
+
+    n, rows = 3, []
+    sizes = {"a": [40, 30, 20], "b": [6, 5, 4, 3, 2, 2, 2, 1, 1, 1], "c": [9, 1]}
+    group = 0
+    for c, counts in sizes.items():
+        for m in counts:
+            rows += [(f"g{group}", c)] * m
+            group += 1
+    rows += [("g0", "b")] * 3 + [("both", "b"), ("both", "c"), (None, "a"), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    got = {r.g: r.fold for r in folds.greedy_group_folds(df, "g", "c", n).collect()}
+    assert set(got) == {r[0] for r in rows if r[0] and r[1]} and set(got.values()) <= set(range(n))
+    known = [r for r in rows if r[0] and r[1]]
+    totals = [sum(c == k for _, c in known) for k in "abc"]
+    by_group = {g: [sum(r == (g, k) for r in known) for k in "abc"] for g in got}
+
+    def held(placed):
+        return [[sum(by_group[g][k] for g in placed if placed[g] == f) for k in range(3)] for f in range(n)]
+
+    large = ["g0", "g1", "g2"]
+    best = min(unevenness(held({**got, **dict(zip(large, f))}), totals, n) for f in itertools.product(range(n), repeat=3))
+    assert unevenness(held(got), totals, n) <= best + 1e-9
+    mine = held(got)
+    for k in (1, 2):  # within one group of even
+        assert max(abs(row[k] - totals[k] / n) for row in mine) <= max(v[k] for v in by_group.values())
+    assert folds.greedy_group_folds(df.limit(0), "g", "c", n).collect() == []
+
+
+def test_kinds_fill_what_is_open():
+    given = folds.placed_kinds([((90, 0), 1), ((1, 1), 60), ((1, 0), 90), ((0, 1), 60)], [240, 120], 3)
+    held = [[90 * given[0][f] + given[1][f] + given[2][f], given[1][f] + given[3][f]] for f in range(3)]
+    assert [sum(g) for g in given] == [1, 60, 90, 60]
+    assert all(abs(a - 80) <= 10 for a, _ in held if a != 90) and all(abs(b - 40) <= 1 for _, b in held)
+    import random
+
+    r = random.Random(1)
+    for _ in range(50):
+        kinds = [([r.randrange(0, 5) for _ in range(3)], r.randrange(1, 40)) for _ in range(r.randrange(1, 12))]
+        totals = [sum(p[c] * m for p, m in kinds) for c in range(3)]
+        given = folds.placed_kinds(sorted(kinds, reverse=True), totals, 5)
+        assert [sum(g) for g in given] == [m for _, m in sorted(kinds, reverse=True)] and all(x >= 0 for g in given for x in g)
+
+
+def test_more_kinds_than_are_placed(spark, monkeypatch):
+    monkeypatch.setattr(folds, "KINDS", 3)
+    rows = [(f"g{i}", c) for i in range(60) for c in "ab" for _ in range(1 + i % 7 if c == "a" else i % 3)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    got = {r.g: r.fold for r in folds.greedy_group_folds(df, "g", "c", 3).collect()}
+    assert set(got) == {g for g, _ in rows} and set(got.values()) == {0, 1, 2}
