@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +76,8 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, block: int = BL
 
     Exact, so each row meets each other one: rows are dealt into blocks of about
     ``block`` and every pair of blocks is compared by itself, as one job; the best k
-    of each block are merged.  For tables where all pairs are too many there is the
-    index search of the other subpackage.  Zero vectors have similarity 0 to all.
+    of each block are merged.  For tables where all pairs are too many there is
+    ``graph.neighbour_graph``.  Zero vectors have similarity 0 to all.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("u"))
     blocks = max(1, math.ceil(df.where(F.col(vector).isNotNull()).count() / block))
@@ -111,31 +113,89 @@ def vote(near: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     return counts.groupBy(key).agg(F.min_by("_l", F.struct(-F.col("n"), F.col("_l"))).alias("y_pred"))
 
 
-def knn_predictions(df: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """(key, y_true, y_pred) by leaving each row out."""
+def knn_predictions(df: DataFrame, key: str, vector: str, label: str, k: int = 5, near: DataFrame | None = None) -> DataFrame:
+    """(key, y_true, y_pred) by leaving each row out; ``near`` are neighbours found otherwise, as of ``graph.neighbour_graph``."""
     labels = df.select(F.col(key).cast("long").alias(key), label)
-    return vote(neighbours(df, key, vector, k), labels, key, label).join(labels, key).select(key, F.col(label).alias("y_true"), "y_pred")
+    return vote(neighbours(df, key, vector, k) if near is None else near, labels, key, label).join(labels, key).select(key, F.col(label).alias("y_true"), "y_pred")
 
 
-def permutation_test(df: DataFrame, key: str, vector: str, label: str, k: int = 5, times: int = 100) -> DataFrame:
+#: Rounds of the bijection of places, and the prime that its round function is taken modulo.
+FEISTEL, PRIME = 4, 2**31 - 1
+
+
+def shuffle_keys(perm: int, seed: int | str) -> list[tuple[int, int]]:
+    """(factor, term) of each round of shuffle ``perm``, from digests."""
+    return [tuple(int(hashlib.md5(f"{seed}_{perm}_{r}_{what}".encode()).hexdigest()[:7], 16) + 1 for what in "ab") for r in range(FEISTEL)]
+
+
+def shuffled_place(place: np.ndarray, n: int, keys: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Where a shuffle of 0 .. n - 1 sends each place: a bijection that is computed, not ranked.
+
+    The halves of a place's bits go through a Feistel network; what falls beyond
+    n goes through again, until it comes back.
+    """
+    bits = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    mask, out = np.int64((1 << bits) - 1), place.astype(np.int64)
+    open_ = np.arange(len(out))
+    while len(open_):
+        left, right = out[open_] >> bits, out[open_] & mask
+        for factor, term in keys:
+            h = (right * factor + term) % PRIME
+            left, right = right, left ^ ((h * h + right) % PRIME & mask)
+        out[open_] = left << bits | right
+        open_ = open_[out[open_] >= n]
+    return out
+
+
+def permutation_test(df: DataFrame, key: str, vector: str, label: str, k: int = 5, times: int = 100, seed: int | str = 42, near: DataFrame | None = None) -> DataFrame:
     """(perm, n_correct, accuracy) of the nearest-neighbour vote for shuffled labels; perm -1 is the labels as they are.
 
-    Neighbours don't depend on labels, so they are found once.  A shuffle gives
-    the label at place i in key order to the row at place i of a random order.
+    Neighbours don't depend on labels, so they are found once, or given as ``near``.
+    Rows are numbered by the digests of their keys.  A shuffle sends a row's number to another by a
+    bijection, and the row gets the label that stands there when all labels are
+    put in order, which the counts by label tell: no shuffle is sorted or joined.
+    Rows without a label neither vote nor count.
     """
-    near = neighbours(df, key, vector, k)
-    rows = df.select(F.col(key).cast("long").alias(key), label)
-    # places in key order: ids as fixed-width hexadecimal sort like numbers
-    placed = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], F.lpad(F.hex(key), 16, "0"), [key], "place")
-    each = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("perm"))
-    drawn = numbered(each, ["perm"], F.md5(F.concat_ws("_", key, "perm")), [key], "place")
-    shuffled_labels = drawn.join(placed.select("place", label), "place").select("perm", key, label)
-    real = rows.select(F.lit(-1).alias("perm"), key, label)
-    labels = shuffled_labels.unionByName(real)
-    votes = near.join(labels.select("perm", F.col(key).alias("neighbour"), F.col(label).alias("_l")), "neighbour").groupBy("perm", key, "_l").agg(F.count("*").alias("n"))
-    pred = votes.groupBy("perm", key).agg(F.min_by("_l", F.struct(-F.col("n"), F.col("_l"))).alias("y_pred"))
-    right = pred.join(labels, ["perm", key]).groupBy("perm").agg(F.sum((F.col("y_pred") == F.col(label)).cast("long")).alias("n_correct"), F.avg((F.col("y_pred") == F.col(label)).cast("double")).alias("accuracy"))
-    return right
+    near = neighbours(df, key, vector, k) if near is None else near
+    rows = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # a row a class
+    names, ends = [r["label"] for r in counts], np.cumsum([r["n"] for r in counts])
+    n, all_keys = int(ends[-1]) if len(ends) else 0, [shuffle_keys(p, seed) for p in range(times)]
+    codes = F.create_map(*[F.lit(x) for c, name in enumerate(names) for x in (name, c)])[F.col("label")] if names else F.lit(0)
+    placed = numbered(rows.select("id", codes.alias("code")).withColumn("_all", F.lit(0)), ["_all"], F.md5(F.col("id").cast("string")), ["id"], "place").select("id", "code", "place")
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            place = part.column("place").to_numpy() - 1
+            drawn = [part.column("code").to_numpy(), *[np.searchsorted(ends, shuffled_place(place, n, keys), "right") for keys in all_keys]]
+            flat = np.stack(drawn, 1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "drawn"])
+
+    labels = placed.mapInArrow(draw, "id long, drawn array<int>")
+    votes = near.select(F.col(key).alias("id"), "neighbour").join(labels.withColumnRenamed("id", "neighbour"), "neighbour")
+    votes = votes.groupBy("id").agg(F.collect_list("drawn").alias("votes")).join(labels, "id")  # k lists a row
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, asked = np.zeros(times + 1, np.int64), 0
+        for part in parts:
+            for at in range(0, part.num_rows, 1024):
+                some = part.slice(at, 1024)
+                own = some.column("drawn").flatten().to_numpy().reshape(-1, times + 1)
+                lists = some.column("votes")
+                row = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
+                cast = lists.flatten().flatten().to_numpy().reshape(len(row), times + 1)
+                most, best = np.zeros(own.shape, np.int64), np.zeros(own.shape, np.int64)
+                for c in range(len(names)):
+                    got = np.zeros(own.shape, np.int64)
+                    np.add.at(got, row, cast == c)
+                    best, most = np.where(got > most, c, best), np.maximum(got, most)
+                right += (best == own).sum(0)
+                asked += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, times), pa.int32()), pa.array(right), pa.array(np.full(times + 1, asked))], names=["perm", "n_correct", "n"])
+
+    sums = votes.mapInArrow(judge, "perm int, n_correct long, n long").groupBy("perm").agg(F.sum("n_correct").alias("n_correct"), F.sum("n").alias("n"))
+    return sums.where("n > 0").select("perm", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"))
 
 
 def permutation_p(results: DataFrame) -> DataFrame:

@@ -368,6 +368,10 @@ def _sql(body: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
 
 
+def _recursive(body: str, *parts: str) -> str:
+    return _sql(body, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _fold(key: str, label: str, n: int = 5) -> str:
     return f"CAST((row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({key} AS VARCHAR) || '_42'), {key}) - 1) % {n} AS INT)"
 
@@ -399,10 +403,24 @@ points AS (SELECT c.lang, c.score, CAST(sum(q) OVER w AS DOUBLE) / all_q AS fpr,
   UNION ALL SELECT lang, NULL, 0.0, 0.0 FROM totals)"""
 _SPEARMAN = """ranked AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ra, rank() OVER (ORDER BY positive) + (count(*) OVER (PARTITION BY positive) - 1) / 2.0 AS rb FROM rows WHERE score IS NOT NULL AND positive IS NOT NULL),
 sides AS (SELECT n, rho, n - 2 AS nu, abs(rho) AS sine FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM ranked))"""
-_PLACES = "placed AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)"
-_PERMS = f"""{_PLACES},
-perms AS (SELECT CAST(r.i AS INT) AS perm, vec_id, row_number() OVER (PARTITION BY r.i ORDER BY md5(CAST(vec_id AS VARCHAR) || '_' || CAST(r.i AS VARCHAR)), vec_id) AS place FROM embeddings CROSS JOIN range(100) r(i)),
-lab AS (SELECT m.perm, m.vec_id, p.label FROM perms m JOIN placed p USING (place) UNION ALL SELECT -1, vec_id, label FROM embeddings),
+
+
+def _shuffled() -> str:
+    """Places that the bijection sends each place to, by shuffle: halves of the bits through four rounds, again while beyond n."""
+    digit = "CAST('0x' || substr(md5('42_' || i || '_{r}_{what}'), 1, 7) AS BIGINT) + 1"
+    keys = ", ".join(f"{digit.format(r=r, what=what)} AS {name}{r}" for r in range(4) for name, what in (("f", "a"), ("t", "b")))
+    step = "SELECT perm, vec_id, n, bits, mask, spot >> bits AS l, spot & mask AS r, " + ", ".join(f"f{r}, t{r}" for r in range(4)) + " FROM walk JOIN keys USING (perm) CROSS JOIN size WHERE step = 0 OR spot >= n"
+    for r in range(4):
+        step = f"SELECT * EXCLUDE (h) REPLACE (r AS l, xor(l, ((h * h + r) % 2147483647) & mask) AS r) FROM (SELECT *, (r * f{r} + t{r}) % 2147483647 AS h FROM ({step}))"
+    return f"""size AS (SELECT *, (CAST(1 AS BIGINT) << bits) - 1 AS mask FROM (SELECT count(*) AS n, greatest(1, CAST(ceil(log2(greatest(count(*), 2)) / 2) AS INT)) AS bits FROM embeddings)),
+keys AS (SELECT CAST(i AS INT) AS perm, {keys} FROM range(100) t(i)),
+placed AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place FROM embeddings),
+walk AS (SELECT perm, vec_id, CAST(place AS BIGINT) AS spot, 0 AS step FROM placed CROSS JOIN keys UNION ALL SELECT perm, vec_id, l << bits | r, 1 FROM ({step})),
+spans AS (SELECT label, sum(count(*)) OVER (ORDER BY label) - count(*) AS lo, sum(count(*)) OVER (ORDER BY label) AS hi FROM embeddings GROUP BY label),
+lab AS (SELECT perm, vec_id, label FROM walk CROSS JOIN size JOIN spans ON spot >= lo AND spot < hi WHERE step = 1 AND spot < n UNION ALL SELECT -1, vec_id, label FROM embeddings)"""
+
+
+_PERMS = f"""{_shuffled()},
 best AS (SELECT perm, vec_id, label AS y_pred FROM (SELECT l.perm, near.vec_id, l.label, row_number() OVER (PARTITION BY l.perm, near.vec_id ORDER BY count(*) DESC, l.label) AS r FROM near JOIN lab l ON l.vec_id = near.neighbour GROUP BY l.perm, near.vec_id, l.label) WHERE r = 1),
 hits AS (SELECT b.perm, CAST(sum(CASE WHEN b.y_pred = l.label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, count(*) AS n FROM best b JOIN lab l ON l.perm = b.perm AND l.vec_id = b.vec_id GROUP BY b.perm)"""
 _CLEAN = "coalesce(text, '')"
@@ -431,8 +449,8 @@ ORACLE_SQL = {
     "knn_neighbours": _sql("SELECT vec_id, rank, neighbour, round(similarity, 6) AS similarity FROM near", _E, _near()),
     "knn_loo_predictions": _sql("SELECT vec_id, fold, y_true, y_pred FROM pred", *_KNN),
     "knn_loo_accuracy": _sql("SELECT round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, round(1.0 / count(DISTINCT y_true), 9) AS chance FROM pred", *_KNN),
-    "permutation_test": _sql("SELECT perm, n_correct FROM hits", _E, _near(), _PERMS),
-    "permutation_p": _sql("SELECT round(max(o.a), 9) AS observed, round(avg(CAST(n_correct AS DOUBLE) / n), 9) AS mean_shuffled, round(avg(CASE WHEN CAST(n_correct AS DOUBLE) / n >= o.a THEN 1.0 ELSE 0.0 END), 9) AS p FROM hits CROSS JOIN (SELECT CAST(n_correct AS DOUBLE) / n AS a FROM hits WHERE perm = -1) o WHERE perm >= 0", _E, _near(), _PERMS),
+    "permutation_test": _recursive("SELECT perm, n_correct FROM hits", _E, _near(), _PERMS),
+    "permutation_p": _recursive("SELECT round(max(o.a), 9) AS observed, round(avg(CAST(n_correct AS DOUBLE) / n), 9) AS mean_shuffled, round(avg(CASE WHEN CAST(n_correct AS DOUBLE) / n >= o.a THEN 1.0 ELSE 0.0 END), 9) AS p FROM hits CROSS JOIN (SELECT CAST(n_correct AS DOUBLE) / n AS a FROM hits WHERE perm = -1) o WHERE perm >= 0", _E, _near(), _PERMS),
     "confusion_matrix": _sql("SELECT * FROM conf", *_KNN, _GRID),
     "confusion_normalised": _sql("SELECT y_true, y_pred, n, round(n / (sum(n) OVER (PARTITION BY y_true) + 1e-9), 9) AS share FROM (SELECT y_true, y_pred, CAST(sum(n) AS BIGINT) AS n FROM conf GROUP BY y_true, y_pred)", *_KNN, _GRID),
     "class_report": _sql("SELECT fold, class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM scores", *_KNN, _GRID, _SCORES),

@@ -91,3 +91,35 @@ def test_paired_t(spark):
 
 def test_empty(spark):
     assert metrics.scalar_scores(metrics.confusion(frame(spark, [0], [0]).limit(0), [0, 1], ["y_true"][:0])).first().accuracy is None
+
+
+def test_shuffles_are_bijections_and_mix():
+    """Every place is hit once, whatever the size; shuffles differ, and neighbours are torn apart."""
+    from foldmill.operators import similarity
+
+    for n in (1, 2, 3, 5, 64, 65, 1000, 4097):
+        for perm in range(5):
+            to = similarity.shuffled_place(np.arange(n), n, similarity.shuffle_keys(perm, 42))
+            assert sorted(to.tolist()) == list(range(n))
+    many = np.array([similarity.shuffled_place(np.arange(1000), 1000, similarity.shuffle_keys(p, 42)) for p in range(400)])
+    assert abs((many == np.arange(1000)).sum(1).mean() - 1) < 0.25  # fixed points of a random shuffle: one
+    assert abs(many[:, 17].mean() - 499.5) < 60 and abs(np.corrcoef(many[:, 3], many[:, 4])[0, 1]) < 0.2
+    assert abs(np.abs(np.diff(many[7])).mean() - 1000 / 3) < 60
+
+
+def test_permutations_keep_class_counts_and_are_not_sorted(spark):
+    """All ids lie in one range of numbers: places are still dealt over many buckets, and no plan orders the shuffles."""
+    from foldmill.operators import similarity
+
+    rng = np.random.RandomState(0)
+    x = np.repeat(np.eye(3), 20, 0) + 0.1 * rng.standard_normal((60, 3))
+    rows = [(i, v.tolist(), "abc"[i // 20]) for i, v in enumerate(x)] + [(900, [1.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    near = spark.createDataFrame(similarity.neighbours(df, "id", "v").collect(), "id long, rank int, neighbour long, similarity double")
+    found = similarity.permutation_test(df, "id", "v", "label", times=30, near=near)
+    got = {r.perm: r for r in found.collect()}
+    assert set(got) == set(range(-1, 30)) and got[-1].accuracy == 1.0 and max(got[p].accuracy for p in range(30)) < 0.75
+    assert abs(np.mean([got[p].accuracy for p in range(30)]) - 1 / 3) < 0.1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Sort") == 0 and plan.count("Window [") <= 4  # of the rows' own numbers
+    assert similarity.permutation_test(df.limit(0), "id", "v", "label").collect() == []
