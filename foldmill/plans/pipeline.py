@@ -62,14 +62,18 @@ def prepare(run: Run) -> DataFrame:
 
 
 def segment(run: Run) -> DataFrame:
-    """Crops of the manifest's images, as rows and as files: below crops/, by diagnosis and patient folder."""
+    """Crops of the manifest's images; :func:`crop_files` puts them below crops/, by diagnosis and patient folder."""
     side, folder = run.config.image_side, run.path("crops")
     wanted = run.read("prepare").groupBy(F.col("image_path").alias("origin")).agg(F.min(F.concat_ws("/", "diagnosis", "folder_name")).alias("place"))
     found = readers.read_images(run.spark, run.root).join(wanted.select("origin"), "origin", "left_semi")
     crops = images.segment_images(found, margin=run.config.margin, side=side).join(wanted, "origin")
     named = crops.withColumn("file", F.when(F.col("readable"), F.concat("place", F.lit("/"), file_name(F.col("origin")), F.lit(".png")))).drop("place")
-    written = sinks.with_files(named, folder, side, side)
-    return written.withColumn("segmented_path", readers.plain_path(F.concat(F.lit(f"{folder}/"), "file"))).drop("file")
+    return named.withColumn("segmented_path", readers.plain_path(F.concat(F.lit(f"{folder}/"), "file")))
+
+
+def crop_files(run: Run) -> None:
+    """The crops of the written table as files."""
+    sinks.write_images(run.read("segment"), run.path("crops"), run.config.image_side, run.config.image_side)
 
 
 def montage(run: Run, n: int = 20) -> DataFrame:
@@ -170,6 +174,10 @@ STAGES: dict[str, Callable[[Run], DataFrame]] = {
 }
 
 
+#: What is done once a stage's table is written.
+THEN: dict[str, Callable[[Run], None]] = {"segment": crop_files}
+
+
 def marker(run: Run, stage: str):
     path = run.spark._jvm.org.apache.hadoop.fs.Path(f"{run.path(stage)}/_made_{run.fingerprint(stage)}")
     return path.getFileSystem(run.spark._jsc.hadoopConfiguration()), path
@@ -182,6 +190,8 @@ def run_stage(run: Run, stage: str, skip_existing: bool = False) -> float:
         return 0.0
     began = time.time()
     sinks.write_table(STAGES[stage](run), run.path(stage))
+    if stage in THEN:
+        THEN[stage](run)
     files.create(made).close()
     return time.time() - began
 

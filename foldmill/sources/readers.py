@@ -9,7 +9,6 @@ from collections.abc import Iterator, Sequence
 from itertools import islice
 from xml.etree import ElementTree
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,21 +135,6 @@ def read_reports(spark: SparkSession, path: str, id_col: str, label_col: str, te
     return rows.select(identifier(F.col(f"`{id_col}`")).alias("patient_id"), missing_as_null(F.col(f"`{label_col}`")).alias("label"), *[missing_as_null(F.col(f"`{c}`")).alias(c) for c in text_cols])
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, features) of the .npy matrices at a path; objects are never unpickled."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                m = m.reshape(len(m), -1).astype(np.float32)
-                for at in range(0, len(m), 1024):
-                    yield pd.DataFrame({"file": name, "row": np.arange(at, min(at + 1024, len(m))), "features": list(m[at : at + 1024])})
-
-    files = spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("path"), "content")
-    return files.mapInPandas(rows, "file string, row long, features array<float>")
-
-
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(origin, height, width, nChannels, data) of the image files; an unreadable one has height -1."""
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select("image.*")

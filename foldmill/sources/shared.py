@@ -23,11 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark then removes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage is cut, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/foldmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read back: lineage is cut, and lost executors cost nothing.
+
+    The shuffle files of the write are removed once it is done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foldmill-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

@@ -8,11 +8,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource
+
+from foldmill.sources.matrices import StagedWriter, settle
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -64,51 +64,39 @@ def png(data: bytes, height: int, width: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(np.pad(lines, ((0, 0), (1, 0))).tobytes())) + chunk(b"IEND", b"")
 
 
-def with_files(images: DataFrame, folder: str, height: int, width: int) -> DataFrame:
-    """``images``, each written to the file that its column file names below ``folder`` when the rows are read.
+class PngWriter(StagedWriter):
+    """Rows of (file, data) as PNG files of one size; data holds RGB bytes."""
 
-    The column data holds RGB bytes; a null file or null data writes nothing. Tasks write; a task that runs
-    again replaces its files, and each file comes into place as a whole. The folder has to be shared.
-    """
+    def __init__(self, folder: str, job: str, height: int, width: int):
+        super().__init__(folder, job)
+        self.height, self.width = height, width
+
+    def files(self, rows: Iterator, attempt: str) -> Iterator[tuple[str, bytes]]:
+        for name, data in rows:
+            yield name, png(bytes(data), self.height, self.width)
+
+
+class PngFiles(DataSource):
+    """Format ``png-files``, to be written only."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "png-files"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = fs.FileSystem.from_uri(folder)
-        for frame in frames:
-            for name, data in zip(frame["file"], frame["data"]):
-                if not isinstance(name, str) or data is None:
-                    continue
-                path = f"{base}/{name}"
-                files.create_dir(path.rpartition("/")[0], recursive=True)
-                part = f"{path}.{uuid.uuid4().hex}"
-                with files.open_output_stream(part) as out:
-                    out.write(png(data, height, width))
-                files.move(part, path)
-            yield frame
+    def schema(self) -> str:
+        return "file string, data binary"
 
-    return images.mapInPandas(run, images.schema)
+    def writer(self, schema, overwrite: bool) -> PngWriter:
+        return PngWriter(self.options["path"], self.options["job"], int(self.options["height"]), int(self.options["width"]))
 
 
-def write_matrices(df: DataFrame, folder: str, key: str, features: str) -> DataFrame:
-    """The vectors of each partition as a .npy file below ``folder``, in the order of their keys.
+def write_images(images: DataFrame, folder: str, height: int, width: int) -> None:
+    """Each row's data, RGB bytes, as the file that its column file names below ``folder``, which has to be shared.
 
-    Returns (file, row, key): what each row of each file stands for. Read it once, as a
-    table to be written: reading writes the files. Vectors have one length; nulls are left out.
+    Null files and null data write nothing. Only what the job commits is moved into place; a file that stands there is replaced.
     """
-    rows = df.where(F.col(features).isNotNull()).select(F.col(key).alias("key"), F.col(features).cast("array<float>").alias("v"), F.spark_partition_id().alias("part"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = fs.FileSystem.from_uri(folder)
-        kept = list(frames)  # a partition is a file
-        frame = pd.concat(kept).sort_values("key") if kept else None
-        if frame is None or frame.empty:
-            return
-        files.create_dir(base, recursive=True)
-        name = f"part-{frame['part'].iloc[0]:05d}.npy"
-        part = f"{base}/{name}.{uuid.uuid4().hex}"
-        with files.open_output_stream(part) as out:
-            np.save(out, np.stack(frame["v"].to_list()).astype(np.float32))
-        files.move(part, f"{base}/{name}")
-        yield pd.DataFrame({"file": name, "row": np.arange(len(frame)), "key": frame["key"].to_numpy()})
-
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), T.StructField("key", rows.schema["key"].dataType)])
-    return rows.mapInPandas(run, schema)
+    spark, job = images.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(PngFiles)
+    rows = images.where(F.col("file").isNotNull() & F.col("data").isNotNull()).select("file", "data")
+    rows.write.format("png-files").mode("append").option("job", job).option("height", height).option("width", width).save(folder)
+    settle(spark, folder, job)

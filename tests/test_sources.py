@@ -2,12 +2,17 @@ import struct
 import zipfile
 import zlib
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldmill.operators import images, similarity
 from foldmill.plans import pipeline
-from foldmill.sources import readers, sinks
+from foldmill.sources import matrices, readers, sinks
+
+ROOT = Path(__file__).resolve().parent.parent
 
 
 def png(path, pixels):
@@ -97,19 +102,95 @@ def test_csv_round_trip_keeps_ids(spark, tmp_path):
 def test_matrix_import(spark, tmp_path):
     m = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "f.npy", m)
-    rows = readers.read_matrix(spark, str(tmp_path / "f.npy")).orderBy("row").collect()
+    rows = matrices.read_matrix(spark, str(tmp_path / "f.npy")).orderBy("row").collect()
     assert [r.features for r in rows] == m.tolist()
 
 
 def test_matrix_round_trip(spark, tmp_path):
     rows = [(k, [float(k), -k / 2]) for k in range(50)] + [(99, None)]
     df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
-    sinks.write_table(sinks.write_matrices(df, str(tmp_path / "m"), "id", "v"), str(tmp_path / "index"))
-    back = readers.read_matrix(spark, str(tmp_path / "m")).collect()
+    sinks.write_table(matrices.write_matrices(df, str(tmp_path / "m"), "id", "v"), str(tmp_path / "index"))
+    back = matrices.read_matrix(spark, str(tmp_path / "m")).collect()
     index = {(r.file, r.row): r.key for r in spark.read.parquet(str(tmp_path / "index")).collect()}
     assert len(back) == 50 and {index[r.file.split("/")[-1], r.row]: r.features for r in back} == dict(rows[:50])
 
 
+def test_matrix_by_ranges(spark, tmp_path):
+    """Many ranges of a file, in several layouts and types, are what one read gives; objects are refused."""
+    rng = np.random.RandomState(0)
+    want = {}
+    for name, m in (("a", rng.standard_normal((1000, 16)).astype(np.float32)), ("b", rng.standard_normal((7, 3))), ("c", np.asfortranarray(rng.standard_normal((20, 4)))), ("d", rng.randint(0, 9, (5, 2, 3))), ("e", np.zeros((0, 4))), ("f", np.arange(6.0))):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        np.save(tmp_path / "in" / name / f"{name}.npy", m)
+        want |= {(f"{name}.npy", i): row.ravel().astype(np.float32).tolist() for i, row in enumerate(m.reshape(len(m), -1) if len(m) else m)}
+    found = matrices.read_matrix(spark, str(tmp_path / "in"), size=4096)
+    assert {(r.file.split("/")[-1], r.row): r.features for r in found.collect()} == want
+    assert found.where("file like '%a.npy'").rdd.getNumPartitions() >= 16
+    whole = matrices.NpyReader(str(tmp_path / "in" / "a" / "a.npy"), 10**9)
+    assert len(whole.partitions()) == 1 and max(b.num_rows for p in matrices.NpyReader(str(tmp_path / "in"), 4096).partitions() for b in whole.read(p)) <= 64
+    np.save(tmp_path / "o.npy", np.array([{}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="never unpickled"):
+        matrices.read_matrix(spark, str(tmp_path / "o.npy")).collect()
+    with pytest.raises(Exception, match="nothing-here"):
+        matrices.read_matrix(spark, str(tmp_path / "nothing-here")).collect()
+
+
+def files_below(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
+
+
+def test_only_committed_attempts_are_seen(spark, tmp_path):
+    """Of two attempts of a task one is committed; the other leaves nothing, nor does an aborted job."""
+    writer = matrices.NpyWriter(str(tmp_path), "j1")
+    rows = [(1, [1.0, 2.0]), (2, [3.0, 4.0])]
+    lost, kept = writer.write(iter(rows)), writer.write(iter(rows))
+    writer.commit([kept, None, writer.write(iter([]))])
+    matrices.settle(spark, str(tmp_path), "j1")
+    assert lost.name != kept.name and files_below(tmp_path) == [f"index/part-{kept.name}-0000.parquet", f"part-{kept.name}-0000.npy"]
+    other = matrices.NpyWriter(str(tmp_path), "j2")
+    other.abort([other.write(iter(rows))])
+    assert len(files_below(tmp_path)) == 2
+
+
+def test_failed_job_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "id long, v array<float>").repartition(4)
+    matrices.write_matrices(df, str(tmp_path / "m"), "id", "v")
+    before = files_below(tmp_path / "m")
+    bad = df.withColumn("v", F.when(F.col("id") == 17, F.array(F.raise_error(F.lit("broken")).cast("float"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="broken"):
+        matrices.write_matrices(bad, str(tmp_path / "m"), "id", "v")
+    assert files_below(tmp_path / "m") == before
+
+
+def test_killed_task_is_repeated(tmp_path):
+    """A worker dies halfway through its first attempt: the second one's files are all there is."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from foldmill.sources import sinks
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+class Dying(sinks.PngWriter):
+    def files(self, rows, attempt):
+        for k, pair in enumerate(super().files(rows, attempt)):
+            if k == 3 and not os.path.exists({str(tmp_path / 'died')!r}):
+                open({str(tmp_path / 'died')!r}, "w").close()
+                os._exit(1)
+            yield pair
+class DyingFiles(sinks.PngFiles):
+    def writer(self, schema, overwrite):
+        return Dying(self.options["path"], self.options["job"], 2, 2)
+sinks.PngFiles = DyingFiles
+df = spark.range(20).selectExpr("concat('c/', id, '.png') AS file", "cast('123456789012' AS binary) AS data").repartition(2)
+sinks.write_images(df, {str(tmp_path / 'out')!r}, 2, 2)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=str(ROOT), capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert (tmp_path / "died").exists() and files_below(tmp_path / "out") == sorted(f"c/{i}.png" for i in range(20))
+
+
 def test_mask_is_shown_in_green():
     shown = images.overlaid(np.full((2, 2, 3), 100, np.uint8), np.array([[1, 0], [0, 0]]))
     assert shown[0, 0].tolist() == [60, 162, 60] and (shown[1] == 100).all()
