@@ -30,14 +30,19 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+#: Words that secrets are also given under; the patterns don't know them.
+HINTS = ("pwd", "pass", "passphrase", "credential", "credentials", "auth", "bearer", "authorization", "key", "pin", "signature", "sig", "psk", "cookie")
+
 #: Documents the field is fitted on, at most: those whose ids hash smallest.
 FIT_DOCS = 8_000
 #: Tokens of a training window; windows without a secret drawn from each document.
 WINDOW, CLEAN_WINDOWS = 24, 1
 #: Times a secret's window is seen again with another value, and a clean one with a drawn token.
-REDRAWN, REDRAWN_CLEAN = 6, 1
+REDRAWN, REDRAWN_CLEAN = 6, 2
+#: Times a secret's window is seen with another naming word and a value that may be short.
+HINTED = 3
 #: Values and tokens that are drawn for that.
-DRAWN = 3_000
+DRAWN = 4_000
 #: Windows with a secret, and as many without, that the fit sees at most: those that hash smallest.
 FIT_WINDOWS = 6_000
 #: Windows that a task gathers before it hands them on.
@@ -46,7 +51,7 @@ KEPT_WINDOWS = 4096
 WIDTH, STEPS, STEP_ROWS, RIDGE = 1 << 13, 200, 256, 1e-6
 #: A training window with a secret counts as so many without.
 SECRET_WEIGHT = 8.0
-#: Shortest span that the field adds, in characters.
+#: Shortest span that the field adds, in characters: what is shorter is left to the patterns.
 LEAST_ADDED = 8
 #: States.
 OUT, BEGIN, IN = 0, 1, 2
@@ -77,6 +82,12 @@ def secret_parts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int
     return out
 
 
+def named(token: str) -> bool:
+    """Whether a token says that a secret may follow."""
+    bare = token.lower().strip("_-.")
+    return bare.endswith(NAMES) or bare in HINTS or bare.rpartition("_")[2] in HINTS
+
+
 def signature(token: str) -> str:
     """Plain words that have the same features share a signature; any other token is its own.
 
@@ -86,7 +97,7 @@ def signature(token: str) -> str:
     """
     bare = token.rstrip(".!?")
     n = len(bare)
-    if not bare.isalpha() or n >= 16 or bare.lower().endswith(NAMES):
+    if not bare.isalpha() or n >= 16 or named(bare):
         return token
     case = "A" * n if bare.isupper() else "A" + "x" * (n - 1) if bare[0].isupper() else "x" * n
     return case + ("." if len(token) > n else "")
@@ -103,18 +114,22 @@ def shape(token: str) -> list[str]:
     runs = re.sub(r"(.)\1+", r"\1", "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token))
     turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:]))
     bare = token.lower().strip("_-.")
+    letters = [c in "aeiouyàáäèéêíóöúüAEIOUY" for c in token if c.isalpha()]
+    closed = max((len(run) for run in re.split("[aeiouyàáäèéêíóöúü]|[^a-zçñß]", token.lower())), default=0)  # consonants in a row
+    signs = sum(not c.isalnum() for c in token.strip(".,!?*$#%&-_"))
     return [
         f"len{min(n, 64).bit_length()}", f"len{min(n // 4, 12)}q", f"low{4 * low // n}", f"up{4 * up // n}", f"dig{4 * digits // n}",
         f"ent{int(2 * entropy)}", f"runs{runs[:8]}", f"turns{min(turns, 8)}", f"hex{int(bool(re.fullmatch('[0-9a-f]+', token)))}{min(n // 8, 5)}",
         f"caps{int(token.isupper())}{min(n // 8, 5)}", f"key{int(bare in NAMES)}", f"endkey{int(bare.endswith(NAMES))}", f"at{int('@' in token)}", f"dots{min(token.count('.'), 4)}",
+        f"hint{int(bare in HINTS or bare.rpartition('_')[2] in HINTS)}", f"closed{min(closed, 9)}", f"open{4 * sum(letters) // max(len(letters), 1)}", f"signs{min(signs, 5)}{min(n // 8, 3)}", f"parts{min(len(re.findall('[A-Z][a-z]{2,}|[a-z]{3,}', token)), 6)}{min(n // 8, 3)}",
     ]
 
 
 def coarse(token: str) -> list[str]:
     """What a neighbour sees of a token (a signature)."""
     bare = token.lower().strip("_-.")
-    kind = "k" if bare.endswith(NAMES) else "d" if any(c.isdigit() for c in token) else "w" if bare.isalpha() else "o"
-    return [f"kind{kind}", f"long{min(len(token) // 8, 3)}", f"word{bare}" if bare in NAMES else "word-"]
+    kind = "k" if bare.endswith(NAMES) else "h" if named(bare) else "d" if any(c.isdigit() for c in token) else "w" if bare.isalpha() else "o"
+    return [f"kind{kind}", f"long{min(len(token) // 8, 3)}", f"word{bare}" if bare in NAMES or bare in HINTS else "word-"]
 
 
 def slots(prefix: str, features: list[str]) -> list[int]:
@@ -165,8 +180,45 @@ def drawn_secret(r: random.Random) -> str:
     return prefix + value
 
 
+def drawn_short(r: random.Random) -> str:
+    """What may stand behind a naming word: a password with or without signs, or letters alone, sometimes short."""
+    both, signs = string.ascii_letters + string.digits, "!@#$%^&*+-_.~?/"
+    kind = r.randrange(4)
+    if kind == 0:
+        return "".join(r.choice(both) for _ in range(r.randrange(8, 18)))
+    if kind == 1:
+        return "".join(r.choice(both + signs) for _ in range(r.randrange(9, 20)))
+    if kind == 2:
+        return "".join(r.choice(r.choice([string.ascii_lowercase, string.ascii_letters])) for _ in range(r.randrange(16, 40)))
+    return drawn_secret(r)
+
+
+def drawn_code(r: random.Random) -> str:
+    """Tokens of pages and programs: addresses with paths, files, versions, names in code, formulas, times."""
+    word = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "st", "ng", "l"]) for _ in range(r.randrange(1, 4)))
+    number = lambda a, b: str(r.randrange(10**a, 10**b))
+    date = f"{r.randrange(1990, 2030)}{r.randrange(1, 13):02d}{r.randrange(1, 29):02d}"
+    ending = r.choice(["jpg", "png", "pdf", "html", "tar.gz", "js", "css", "csv", "py", "java", "mp4", "zip", "xml"])
+    host = r.choice(["//www.", "//", "www.", ""]) + word() + r.choice([".com", ".org", ".net", ".co.uk", ".de", ".io"])
+    joined = "".join(word().capitalize() for _ in range(r.randrange(2, 7)))
+    return r.choice([
+        lambda: host + "/" + "/".join(r.choice([word(), number(1, 4), f"{word()}-{word()}", date[:4]]) for _ in range(r.randrange(1, 6))) + r.choice(["", "/", f".{ending}", f"?{word()}", f"#{word()}"]),
+        lambda: r.choice(["IMG", "DSC", "scan", word()]) + r.choice("_-") + date + r.choice(["", f"_{number(5, 6)}", f"-{number(1, 4)}"]) + f".{ending}",
+        lambda: f"{word()}{r.choice('_-.')}{number(0, 4)}.{ending}", lambda: f"{word()}-{number(0, 2)}.{number(0, 2)}.{number(0, 2)}.{ending}",
+        lambda: r.choice(["v", "", "V"]) + f"{number(0, 2)}.{number(0, 2)}.{number(0, 2)}" + r.choice(["", "-rc" + number(0, 1), "-beta." + number(0, 1), f"+build.{date}", f"-rc{number(0, 1)}+build.{date}", "-SNAPSHOT"]),
+        lambda: joined + r.choice(["", "", number(0, 2)]), lambda: joined[0].lower() + joined[1:] + r.choice(["", number(0, 2)]), lambda: "_".join(word() for _ in range(r.randrange(2, 6))) + r.choice(["", "_" + number(0, 3)]),
+        lambda: "_".join(word().upper() for _ in range(r.randrange(2, 5))), lambda: ".".join(word() for _ in range(r.randrange(3, 6))) + r.choice(["", "." + joined]), lambda: r.choice(["self.", "this.", "std."]) + f"{word()}_{word()}",
+        lambda: "".join(r.choice(["C", "H", "O", "N", "Na", "Cl", "Fe", "Mg", "Ca", "K", "S", "P"]) + r.choice(["", "2", "3", "4", "6", "12", "22"]) for _ in range(r.randrange(3, 9))),
+        lambda: f"{date[:4]}-{date[4:6]}-{date[6:]}T{number(1, 2)}", lambda: f"{date[:4]}/{date[4:6]}/{date[6:]}", lambda: f"{word()}{number(1, 2)}_{number(1, 2)}-{word()}-{word()}", lambda: f"--{word()}-{word()}",
+        lambda: f"{r.choice('ABCDEFGH')}{number(0, 3)}-{number(2, 5)}/{number(1, 2)}", lambda: f"{number(2, 4)}x{number(2, 4)}", lambda: f"/{word()}/{word()}/{word()}-{number(0, 2)}/{word()}.{ending}",
+        lambda: f"ISBN-{number(2, 3)}-{number(0, 1)}-{number(3, 4)}-{number(3, 4)}-{number(0, 1)}", lambda: f"{number(0, 3)},{number(2, 3)}.{number(1, 2)}", lambda: f"{word()}@{number(0, 2)}.{number(0, 2)}.{number(0, 2)}", lambda: f"#{word()}{number(0, 3)}",
+    ])()
+
+
 def drawn_plain(r: random.Random) -> str:
     """A token that is no secret though it isn't a plain word: numbers, dates, addresses, paths, codes, long or joined words, signs."""
+    if r.random() < 0.5:
+        return drawn_code(r)
     letters = r.choice([string.ascii_lowercase, string.ascii_lowercase + "àáäçèéêíñóöùúüß" * 2])
     syllable = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 5)))
     word = lambda n=4: "".join(syllable() for _ in range(r.randrange(1, n)))
@@ -183,19 +235,21 @@ def drawn_plain(r: random.Random) -> str:
 
 
 @lru_cache(maxsize=1)
-def drawn_tokens() -> tuple[list[str], list[str]]:
-    """Signatures of ``DRAWN`` secrets and of as many tokens that are none; the same in every task."""
+def drawn_tokens() -> tuple[list[str], list[str], list[str]]:
+    """Signatures of ``DRAWN`` secrets, of as many tokens that are none, and of values behind a naming word; the same in every task."""
     r = random.Random(1)
-    return tuple([signature(draw(r)) for _ in range(DRAWN)] for draw in (drawn_secret, drawn_plain))
+    whole = lambda t: len(TOKEN.findall(t)) == 1
+    return tuple([signature(t) for t in (draw(r) for _ in range(DRAWN)) if whole(t)] for draw in (drawn_secret, drawn_plain, drawn_short))
 
 
 def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame:
     """(key, marked, features, tags): windows around the secrets that the patterns find, and others by hash.
 
-    A secret's window comes as it is, without the naming words, and without
+    A secret's window comes as it is, without the naming words, without
     them but with values drawn from other alphabets (:func:`drawn_secret`), so
-    that the shape of a value counts without its name.  A clean window comes as
-    it is and with drawn tokens that are no secrets (:func:`drawn_plain`).
+    that the shape of a value counts without its name, and with other naming words before values that
+    may be short (:func:`drawn_short`).  A clean window comes as
+    it is and with drawn tokens that are no secrets (:func:`drawn_plain`), beside naming words too.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,13 +286,18 @@ def training_windows(docs: DataFrame, windows: int = CLEAN_WINDOWS) -> DataFrame
                     keep(signs, part, len(tokens), whole, own)
                     if own.any():
                         # again without the names, so that a secret's own shape counts
-                        bare = {i: "xxxx" if sign.lower().strip("_-.").endswith(NAMES) else sign for i, sign in signs.items()}
+                        bare = {i: "xxxx" if named(sign) else sign for i, sign in signs.items()}
                         keep(bare, part, len(tokens), whole, own)
                         for _ in range(REDRAWN):
                             keep(bare | {i: r.choice(drawn_tokens()[0]) for i in part if tags[i] != OUT}, part, len(tokens), whole, own)
+                        for _ in range(HINTED):
+                            hints = {i - 1: r.choice(HINTS) for i in part if tags[i] == BEGIN and i and tags[i - 1] == OUT}
+                            keep(bare | hints | {i: r.choice(drawn_tokens()[2]) for i in part if tags[i] != OUT}, part, len(tokens), whole, own)
                     else:
                         for _ in range(REDRAWN_CLEAN):
-                            keep(signs | {i: r.choice(drawn_tokens()[1]) for i in r.sample(part, min(len(part), 4))}, part, len(tokens), whole, own)
+                            told = {i: r.choice(drawn_tokens()[1]) for i in r.sample(part, min(len(part), 5))}
+                            # naming words also stand where no secret follows
+                            keep(signs | {i: r.choice(HINTS) for i in r.sample(part, min(len(part), 2))} | told, part, len(tokens), whole, own)
                     if len(rows) >= KEPT_WINDOWS:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
@@ -428,7 +487,7 @@ def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
     ``docs`` needs doc_id and text.  Returns doc_id, n_assign, n_access, n_hex,
     base_sha256 (of the fixed patterns' spans), spans ("kind:start:end" of all,
     in code points, end exclusive, by start), found (the spans as an array).  The field adds
-    spans of the kind "crf" where no fixed pattern matches.
+    spans of the kind "crf", of ``LEAST_ADDED`` characters or more, where no fixed pattern matches.
 
     Null and empty texts have no spans; repeated rows give repeated results; an
     empty table gives no rows.
