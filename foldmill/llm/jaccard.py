@@ -276,37 +276,51 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
 
 
 def rare_pairs(sets: DataFrame, texts: DataFrame, width: int, num: int, den: int, made: list[DataFrame]) -> DataFrame:
-    """(a, b): pairs of ``sets(rep, h1, h2, comp, n, bitmap)`` in different components that share a rare shingle and may link.
+    """(a, b): pairs of ``sets(node, rep, h1, h2, comp, n, bitmap)`` in different components that share a rare shingle and may link.
 
     For tiles that many unlike sets share, say by a passage that stands in all of
     them.  Shingles are ordered by how many of the sets hold them, rarest first; sets
     that link share at least one of the first n - ceil(n * num / den) + 1 of either.
-    An id may have several sets; each has its own first shingles.
-    The table that the pairs are read from is added to ``made``.
+    An id may have several sets; each is a node, with its own first shingles.
+    The tables that the pairs are read from are added to ``made``.
     """
 
     def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 256):
             found = [shingle_set(t, width) for t in frame["text"]]
-            size = [len(f) for f in found]
-            h1, h2 = (np.array([signed64(xxhash.xxh64_intdigest(f.tobytes(), k)) for f in found], np.int64) for k in (1, 2))
-            values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pd.DataFrame({"rep": np.repeat(frame["id"].to_numpy(), size), "h1": np.repeat(h1, size), "h2": np.repeat(h2, size), "shingle": values})
+            h1, h2 = ([signed64(xxhash.xxh64_intdigest(f.tobytes(), k)) for f in found] for k in (1, 2))
+            yield pd.DataFrame({"rep": frame["id"].to_numpy(), "h1": h1, "h2": h2, "shingles": [f.view(np.int64) for f in found]})
 
-    one = ["rep", "h1", "h2"]
     rows = texts.join(sets.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text")
-    rows = rows.mapInPandas(shingles, "rep long, h1 long, h2 long, shingle long").join(sets.select(*one), one, "left_semi").distinct()
-    rows = materialise(rows, "shingles")
-    made.append(rows)
+    rows = rows.mapInPandas(shingles, "rep long, h1 long, h2 long, shingles array<long>")
+    rows = rows.join(sets.select("node", "rep", "h1", "h2"), ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"])
+    rows = materialise(rows.select("node", F.explode("shingles").alias("shingle")), "shingles")
     known = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
-    total, place = F.count("*").over(Window.partitionBy(*one)), F.row_number().over(Window.partitionBy(*one).orderBy("holders", "shingle"))
+    total, place = F.count("*").over(Window.partitionBy("node")), F.row_number().over(Window.partitionBy("node").orderBy("holders", "shingle"))
     first = known.withColumn("total", total).withColumn("place", place).where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * num / den) + 1)
-    return pairs_within(first.select("shingle", *one).join(sets, one), "shingle", num, den, made)
+    first = materialise(first.select("shingle", "node"), "prefixes")
+    crowded = materialise(first.groupBy("shingle").count().where(F.col("count") > BLOCK).select("shingle"), "crowded")
+    made += [rows, first, crowded]
+    pairs = pairs_within(first.join(crowded, "shingle", "left_anti").join(sets, "node"), "shingle", num, den)
+    if crowded.isEmpty():
+        return pairs
+    return pairs.unionAll(pairs_by_blocks(first.join(crowded, "shingle", "left_semi").join(sets, "node"), "shingle", num, den, made))
 
 
-def pairs_within(side: DataFrame, key: str, num: int, den: int, made: list[DataFrame]) -> DataFrame:
+def pairs_within(side: DataFrame, key: str, num: int, den: int) -> DataFrame:
     """(a, b): pairs of the rows of ``side(key, rep, comp, n, bitmap)`` that share a key, lie in different components and may link.
 
+    For keys of few rows; see :func:`pairs_by_blocks`.
+    """
+    a = side.select(key, F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
+    b = side.select(key, F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    room = may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
+    return a.join(b, (a[key] == b[key]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
+
+
+def pairs_by_blocks(side: DataFrame, key: str, num: int, den: int, made: list[DataFrame]) -> DataFrame:
+    """As :func:`pairs_within`, for keys of many rows.
+
     The rows of a key are cut by size into bands, of which only equal and
     neighbouring ones can link, and a band into blocks of about ``BLOCK``; each pair of
     blocks is a join key of its own, so that no key's pairs are made in one task.
@@ -403,11 +417,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         else:
             side = labelled.select("key", "rep", "comp").join(marks.withColumnRenamed("id", "rep"), "rep")
             large = materialise(labelled.groupBy("key").count().where(F.col("count") > FULL).select("key"), "large")
-            pairs = pairs_within(side.join(large, "key", "left_anti"), "key", num, den, done)
+            pairs = pairs_within(side.join(large, "key", "left_anti"), "key", num, den)
             done.append(large)
             if not large.isEmpty():
                 crowd = side.join(large, "key", "left_semi").select("rep", "h1", "h2", "comp", "n", "bitmap").dropDuplicates(["rep", "h1", "h2"])
-                crowd = materialise(crowd, "crowd")
+                crowd = materialise(crowd.withColumn("node", F.monotonically_increasing_id()), "crowd")
                 done.append(crowd)
                 pairs = pairs.unionAll(rare_pairs(crowd, texts, width, num, den, done)).distinct()
         new = materialise(verify(pairs, texts, width, num, den), "links")
