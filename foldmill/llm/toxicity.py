@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +17,8 @@ from foldmill.llm.common import batches, map_texts
 
 #: Labelled rows that the model is fitted on, at most: those whose ids hash smallest.
 FIT_ROWS = 20_000
+#: Sentences with identity terms of a labelled row that the penalty sees, at most: those whose words hash smallest.
+FIT_SENTENCES = 32
 #: Features kept, and the fewest toxic sample documents that hold one.
 FEATURES, LEAST_DOCS = 4096, 3
 #: Weight of the counterfactual penalty and of the ridge, rounds of the fit.
@@ -167,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     """Fit on a bounded sample of the labelled rows; ``labels`` needs doc_id and ``label``.
 
     Null labels and ids are not used.  The driver gets, for each sampled
-    document, the numbers of its chosen features, of those of its sentences with
-    identity terms, and the swaps of these.  ``strength`` weighs the penalty on
+    document, the numbers of its chosen features, of those of ``FIT_SENTENCES`` of its sentences with
+    identity terms at most, and the swaps of these.  ``strength`` weighs the penalty on
     score changes; ``FEATURES`` features are kept at most.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -186,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
             out = []
             for text in frame["text"]:
                 sentence, feature, of, moves, sentences = [], [], [], [], 0
-                for words, pairs in swapped_sentences(text, identity):
+                seen = list(swapped_sentences(text, identity))
+                for words, pairs in heapq.nsmallest(FIT_SENTENCES, seen, key=lambda s: (zlib.crc32(" ".join(sorted(s[0])).encode("utf-8", "surrogatepass")), sorted(s[0]))):
                     before = known_features(words)
                     for gone, come in pairs:
                         after = known_features((words - {gone}) | {come})

@@ -21,6 +21,60 @@ def test_held_out(spark, name, label, mod, least):
     assert (held.predicted == held[label]).mean() >= least
 
 
+def test_quality_rescored_by_hand(spark):
+    """The query's scores again: statistics by another library's patterns, rules as numpy masks."""
+    import regex
+
+    sf = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    rows = docs.select("doc_id", "text").collect()
+    names = ["words", "word_length", *[n for n in quality_rules.COUNTED if n != "words"]]
+    table = []
+    for r in rows:
+        n = {k: len(regex.findall(p, r.text, flags=0 if k == "capitals" else regex.ASCII)) for k, p in quality_rules.COUNTED.items()}
+        chars, words = max(len(r.text), 1), n["words"]
+        table.append([words, len(r.text) / words if words else 0.0, *[n[k] / (max(words, 1) if k in ("repeats", "marked_words") else chars) for k in names[2:]]])
+    x = np.array(table, float)
+    z = model.intercept + sum(w * quality_rules.holds(rule, x, names) for rule, w in model.rules)
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op5_quality_rules"](spark, sf).collect()}
+    want = 1 / (1 + np.exp(-z))
+    assert len(model.rules) and len(got) == len(rows)
+    off = [r.doc_id for r, s in zip(rows, want) if abs(got[r.doc_id][0] - s) > 1e-9 or got[r.doc_id][1] != int(s >= 0.3)]
+    assert not off
+
+
+def test_toxicity_rescored_by_hand(spark):
+    """The query's scores again: every word and beginning of a word that has a weight, once a text."""
+    import re
+
+    sf = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op9_toxicity"](spark, sf).collect()}
+    assert model.weights and len(got) == docs.count()
+    for r in docs.collect():
+        words = set(re.findall(r"[^\W\d_]+", r.text.lower()))
+        known = words | {w[:4] + "*" for w in words if len(w) > 5}
+        s = 1 / (1 + np.exp(-(model.intercept + sum(w for f, w in model.weights.items() if f in known))))
+        assert abs(got[r.doc_id][0] - s) < 1e-9 and got[r.doc_id][1] == int(s >= 0.3)
+
+
+def test_training_on_hard_tables(spark):
+    """Nulls, empty, very long and repeated texts, clashing columns, no rows: both classifiers are fitted, and many sentences are bounded."""
+    long = "the women here are wretched. some men say so. " * 3000
+    rows = [(i, t) for i, t in enumerate([None, "", long, long, "calm words", "wretched folk", "calm", "x" * 50_000] * 6)] + [(3, long), (None, "no id")]
+    clash = {c: F.lit("x") for c in ("y", "label", "own", "sentence", "words", "n", "score", "features")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    for module, label in ((quality_rules, "quality"), (toxicity, "toxic")):
+        marks = [(i, int("wretched" in (t or ""))) for i, t in rows if i is not None] + [(None, 1), (1, None)]
+        labels = spark.createDataFrame(marks, f"doc_id long, {label} int").withColumns({c: F.lit("x") for c in ("text", "y", "n")})
+        model = module.train(docs, labels)
+        score = quality_rules.score_quality if module is quality_rules else toxicity.score_toxicity
+        assert score(docs, model).count() == len(rows) and score(docs, module.train(docs.limit(0), labels)).count() == len(rows)
+        assert score(docs, module.train(docs, labels.limit(0))).count() == len(rows)
+
+
 def test_no_labels_and_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
