@@ -96,3 +96,24 @@ def attention(query: Column, keys: Column) -> Column:
     """Weights of one query over the keys: softmax of scaled products."""
     scale = F.sqrt(F.size(query).cast("double"))
     return softmax(F.transform(keys, lambda k: dot(query, k) / scale))
+
+
+def head_mean(weights: Column) -> Column:
+    """Mean over the heads of an array of weights by head."""
+    return mean_of_rows(weights)
+
+
+def square(values: Column) -> Column:
+    """The values as rows of a square, the first one on top; null unless their number is a square."""
+
+    def shaped(s: Column) -> Column:
+        side, v = s["side"], s["v"]
+        rows = F.transform(F.sequence(F.lit(1), side), lambda i: F.slice(v, (i - 1) * side + 1, side))
+        return F.when((side > 0) & (side * side == F.size(v)), rows)
+
+    return bound(F.struct(values.alias("v"), F.round(F.sqrt(F.size(values).cast("double"))).cast("int").alias("side")), shaped)
+
+
+def attention_map(queries: Column, keys: Column) -> Column:
+    """Weights of each head's query over its keys, averaged over the heads, as a square."""
+    return square(head_mean(F.zip_with(queries, keys, attention)))

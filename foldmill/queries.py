@@ -7,7 +7,7 @@ number is an invention for the sake of a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmill.functions import text as tx
@@ -329,6 +329,61 @@ def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.neighbour_layout(near.withColumnRenamed("vec_id", "id")).select(F.col("id").alias("vec_id"), "x", "y")
 
 
+def attention_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector as two heads, each with a query of four numbers and four keys: mean attention as a square of two by two."""
+    e = vec.doubles(F.col("embedding"))
+    queries = F.array(*[F.slice(e, 1 + 4 * h, 4) for h in (0, 1)])
+    keys = F.array(*[F.array(*[F.slice(e, 9 + 16 * h + 4 * t, 4) for t in range(4)]) for h in (0, 1)])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.attention_map(queries, keys)).alias("y", "line")).select("vec_id", "y", F.posexplode("line").alias("x", "weight"))
+    return rounded(rows, 6, "weight")
+
+
+def rows_with_group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with its group's majority label and the fold that the fold map has for the group."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    placed = folds.group_folds(rows, "l_orderkey", "l_returnflag").withColumnRenamed("l_returnflag", "group_label")
+    folded = align.with_folds(rows, placed, "l_orderkey")
+    return folded.join(placed.select("l_orderkey", "group_label"), "l_orderkey").select("l_orderkey", "l_linenumber", "group_label", "fold")
+
+
+def file_path(folder: str) -> Column:
+    return F.concat(F.lit(f"{folder}/"), "source", F.lit("/dermoscopy/"), "lang", F.lit("/"), F.col("doc_id"), F.lit(".PNG"))
+
+
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images: those without a file, files being what is labelled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", file_path("/data").alias("image_path"))
+    files = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("image_path").alias("path"))
+    return manifest.missing_images(docs, files).select("doc_id", "image_path")
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before a folder, a path moved to another root, and columns that are added only where they are absent."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", file_path("/data").alias("path"), F.col("lang").alias("diagnosis"), F.concat(F.lit("P"), "doc_id").alias("patient_id"))
+    filled = manifest.with_defaults(rows, (("de", 0, "German"), ("en", 1, "English")))
+    return filled.select("doc_id", tx.before_folder(F.col("path"), "dermoscopy").alias("root"), tx.rebase(F.col("path"), F.lit("/data/"), F.lit("/moved/")).alias("moved"), tx.extension(F.col("path")).alias("extension"), F.coalesce("label", F.lit(-1)).alias("label"), "folder_name")
+
+
+def length_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven even steps up to the longest text of each language."""
+    longest = table(spark, sf_dir, "documents").groupBy("lang").agg(F.max("n_chars").alias("longest"))
+    steps = longest.select("lang", "longest", F.posexplode(vec.linear_grid(11)).alias("step", "share"))
+    return rounded(steps.select("lang", "step", (F.col("share") * F.col("longest")).alias("value")), 6, "value")
+
+
+def class_summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each class over the folds, with intervals."""
+    by_class = metrics.class_scores(fold_confusion(spark, sf_dir), ["fold"])
+    found = stats.fold_summary(metrics.long_format(by_class, ["fold", "class"], ["precision", "recall", "f1"]), ["class", "metric"])
+    return rounded(found, 7, "mean", "std", "ci_lo", "ci_hi")
+
+
+def crop_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as crops: every seventh fell back to the whole image, short ones can't be read."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7 == 0).alias("fallback"), (F.col("n_chars") > 200).alias("readable"))
+    return manifest.crop_counters(docs)
+
+
 def two_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors cut in halves that stand for two modalities, folded."""
     rows = folded_vectors(spark, sf_dir)
@@ -355,7 +410,8 @@ QUERIES = {
         permutation_test, permutation_p, confusion_matrix, confusion_normalised, class_report, scalar_metrics_by_fold, fold_summary_ci,
         paired_t_models, spearman_length_label, roc_auc_ovr, roc_points, mean_roc, class_sample, row_sample, topk_per_class,
         incremental_pending, shared_groups, fold_map, wide_metrics, choose_images, text_encoder, scaler_pca_fusion, nested_cv_logreg,
-        neighbour_graph, neighbour_layout,
+        neighbour_graph, neighbour_layout, attention_map, rows_with_group_labels, missing_images, path_parts, length_grid, class_summary_ci,
+        crop_counters,
     )
 }
 
@@ -463,6 +519,16 @@ ORACLE_SQL = {
     "balanced_group_folds": _sql("SELECT fold, l_returnflag, count(*) AS n FROM lineitem JOIN dealt USING (l_orderkey) GROUP BY fold, l_returnflag", """profiles AS (SELECT l_orderkey, '[' || string_agg('{"l":"' || l_returnflag || '","n":' || n || '}', ',' ORDER BY l_returnflag) || ']' AS profile FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey),
 dealt AS (SELECT l_orderkey, CAST((row_number() OVER (PARTITION BY profile ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '_42'), l_orderkey) - 1 + CAST('0x' || substr(md5(profile), 1, 6) AS BIGINT)) % 5 AS INT) AS fold FROM profiles)"""),
     "greedy_group_folds": "SELECT l_returnflag, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_groups, true AS even FROM lineitem GROUP BY l_returnflag",
+    "attention_map": """SELECT vec_id, CAST(t // 2 AS INT) AS y, CAST(t % 2 AS INT) AS x, round(avg(w), 6) AS weight FROM (
+  SELECT vec_id, h, t, exp(s - max(s) OVER g) / sum(exp(s)) OVER g * exp(max(s) OVER g) AS w FROM (
+    SELECT vec_id, h, t, list_dot_product(v[1 + 4 * h : 4 + 4 * h], v[9 + 16 * h + 4 * t : 12 + 16 * h + 4 * t]) / 2.0 AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) CROSS JOIN range(2) a(h) CROSS JOIN range(4) b(t)
+  ) WINDOW g AS (PARTITION BY vec_id, h)) GROUP BY vec_id, t""",
+    "rows_with_group_labels": _sql("SELECT l.l_orderkey, l.l_linenumber, placed.l_returnflag AS group_label, placed.fold FROM lineitem l JOIN placed USING (l_orderkey)", _MAJORITY, _ORDER_FOLDS),
+    "missing_images": "SELECT doc_id, '/data/' || source || '/dermoscopy/' || lang || '/' || doc_id || '.PNG' AS image_path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "path_parts": "SELECT doc_id, '/data/' || source AS root, replace('/data/' || source || '/dermoscopy/' || lang || '/' || doc_id || '.PNG', '/data/', '/moved/') AS moved, 'png' AS extension, CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE -1 END AS INT) AS label, 'P' || doc_id AS folder_name FROM documents",
+    "length_grid": "SELECT lang, CAST(i AS INT) AS step, round(i / 10.0 * longest, 6) AS value FROM (SELECT lang, max(n_chars) AS longest FROM documents GROUP BY lang) CROSS JOIN range(11) t(i)",
+    "class_summary_ci": _sql(f"SELECT class, metric, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, round(avg(value) - {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_lo, round(avg(value) + {T_4} * stddev_samp(value) / sqrt(count(value)), 7) AS ci_hi FROM (SELECT fold, class, unnest(['precision', 'recall', 'f1']) AS metric, unnest([precision, recall, f1]) AS value FROM scores) GROUP BY class, metric", *_KNN, _GRID, _SCORES),
+    "crop_counters": "SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 7 = 0) AS n_fallback, count(*) FILTER (WHERE n_chars <= 200) AS n_unreadable FROM documents",
     "shared_groups": _sql("SELECT l_orderkey FROM folded WHERE fold = 0 INTERSECT SELECT l_orderkey FROM folded WHERE fold <> 0", f"folded AS (SELECT l_orderkey, {_fold('(l_orderkey * 10 + l_linenumber)', 'l_returnflag')} AS fold FROM lineitem)"),
     "fold_map": _sql("SELECT user_id AS group_id, min(fold) AS fold FROM rows GROUP BY user_id", _EVENT_FOLDS),
     "wide_metrics": _sql("SELECT 'knn' AS model, s.fold, round(balanced_accuracy, 9) AS balanced_accuracy, round(accuracy, 9) AS accuracy, CAST(NULL AS DOUBLE) AS macro_auc, round(s.macro_f1, 9) AS macro_f1, round(kappa, 9) AS cohen_kappa, CAST(NULL AS DOUBLE) AS n_train, CAST(n AS DOUBLE) AS n_test, CAST(NULL AS DOUBLE) AS best_c, " + ", ".join(f"round((SELECT f1 FROM scores c WHERE c.fold = s.fold AND c.class = {k}), 9) AS c{k}_f1" for k in range(3)) + " FROM scalars s", *_KNN, _GRID, _SCORES, _SCALARS),
