@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables made since the innermost :func:`spent_tables` began.
+MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def spent_tables() -> Iterator[list[DataFrame]]:
+    """The tables that are made inside; what is still in the list at the end is deleted."""
+    made: list[DataFrame] = []
+    token = MADE.set(made)
+    try:
+        yield made
+    finally:
+        MADE.reset(token)
+        for t in made:
+            drop_table(t)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage is cut, and lost executors cost nothing.
 
@@ -40,7 +60,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if MADE.get() is not None:
+        MADE.get().append(table)
+    return table
 
 
 def drop_table(df: DataFrame) -> None:
