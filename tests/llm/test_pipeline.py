@@ -53,10 +53,42 @@ def test_stages(spark):
     assert sum(ids["end"].values()) == sum(ids["shards"].values()) and ids["end"] == ids["shards"]
 
 
+def test_texts_of_one_id_stay(spark):
+    """Rows that share an id are one document: each of its texts stays once, its near copies under other ids go."""
+    long = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, long[0]), (1, long[1]), (1, long[1]), (2, long[0] + " x"), (3, long[1]), (4, long[2]), (1, None), (None, long[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()), key=repr)
+    assert left == sorted([(1, long[0]), (1, long[1]), (1, None), (4, long[2]), (None, long[0])], key=repr)
+
+
+def test_spent_tables_go(spark, tmp_path):
+    """What a run leaves in the shared folder is what its result still reads."""
+    from foldmill.sources.shared import materialise, spent_tables
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
+        names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+        assert "foldmill-mixture" in names and not names & {f"foldmill-{n}" for n in ("quality", "near_copies", "test_leaks", "members", "of-set")}
+        assert out.count() > 0
+        with spent_tables() as made:
+            kept, gone = (materialise(spark.range(3).toDF("x"), n) for n in ("kept", "gone"))
+            made.remove(kept)
+        assert kept.count() == 3 and not list(tmp_path.glob("foldmill-gone*"))
+        assert gone.columns == ["x"]
+    finally:
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+        else:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert quality_rules.CUT_OFF == 0.3
