@@ -62,27 +62,19 @@ def test_texts_of_one_id_stay(spark):
     assert left == sorted([(1, long[0]), (1, long[1]), (1, None), (4, long[2]), (None, long[0])], key=repr)
 
 
-def test_spent_tables_go(spark, tmp_path):
+def test_spent_tables_go(spark, tmp_path, monkeypatch):
     """What a run leaves in the shared folder is what its result still reads."""
-    from foldmill.sources.shared import materialise, spent_tables
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
-        names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
-        assert "foldmill-mixture" in names and not names & {f"foldmill-{n}" for n in ("quality", "near_copies", "test_leaks", "members", "of-set")}
-        assert out.count() > 0
-        with spent_tables() as made:
-            kept, gone = (materialise(spark.range(3).toDF("x"), n) for n in ("kept", "gone"))
-            made.remove(kept)
-        assert kept.count() == 3 and not list(tmp_path.glob("foldmill-gone*"))
-        assert gone.columns == ["x"]
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    from foldmill.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
+    names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "foldmill-mixture" in names and not names & {f"foldmill-{n}" for n in ("quality", "near_copies", "test_leaks", "members", "of-set")}
+    assert out.count() > 0
+    with shared.spent_tables() as made:
+        kept, gone = (shared.materialise(spark.range(3).toDF("x"), n) for n in ("kept", "gone"))
+        made.remove(kept)
+    assert kept.count() == 3 and gone.columns == ["x"] and not list(tmp_path.glob("foldmill-gone*"))
 
 
 def test_registered():
