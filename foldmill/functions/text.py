@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foldmill.functions.vectors import bound
+
 #: Case-insensitive, Unicode-aware, with "." and "$" at plain line feeds only.
 FLAGS = "(?iuUd)"
 
@@ -67,14 +69,97 @@ def join_fields(*fields: Column, sep: str = "\n") -> Column:
     return strip(F.array_join(kept, sep))
 
 
+#: Letters that are only themselves, in either case, for what a rule needs; anything else ends a literal.
+LITERAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789 áéíóúàèìòùäëïöüâêîôûñç")
+#: Rules that are run or left out together.
+TOGETHER = 8
+#: Characters that a rule without regard to case takes for an i or an s though lower-casing doesn't.
+FOLDED = ("İıſ", "iis")
+
+
+def required_literal(rule: str) -> str | None:
+    """The longest run of plain characters, in lower case, that stands in every match of a rule; null if none is sure.
+
+    Only what stands outside groups and classes and isn't optional counts; a rule
+    of alternatives has none.
+    """
+    runs, run, at = [], "", 0
+
+    def beyond_class(i: int) -> int:
+        """The place after a class whose bracket has been read; a closing one may come first in it."""
+        i += rule[i : i + 1] == "^"
+        i += 1
+        while i < len(rule) and rule[i] != "]":
+            i += 2 if rule[i] == "\\" else 1
+        return i + 1
+
+    def end() -> None:
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while at < len(rule):
+        c, plain = rule[at], ""
+        at += 1
+        if c == "|":
+            return None
+        if c == "\\":
+            plain, at = (rule[at : at + 1] if not rule[at : at + 1].isalnum() else ""), at + 1
+        elif c == "[":
+            at = beyond_class(at)
+        elif c == "(":
+            depth = 1
+            while at < len(rule) and depth:
+                here = rule[at]
+                depth += (here == "(") - (here == ")")
+                at = at + 2 if here == "\\" else beyond_class(at + 1) if here == "[" else at + 1
+        elif c not in ".^$*+?{":
+            plain = c
+        if c in "*+?{":
+            end()
+            if c == "{":
+                at = rule.index("}", at) + 1
+            continue
+        after = rule[at : at + 1]
+        if plain.lower() not in LITERAL or not plain or after in ("*", "?", "{"):
+            end()
+        else:
+            run += plain.lower()
+            if after == "+":
+                end()
+    end()
+    longest = max(runs, key=len)
+    return longest if len(longest) > 1 else None
+
+
 def strip_terms(text: Column, rules: Sequence[str], flags: str = FLAGS) -> Column:
     """Delete the matches of each rule in turn, then collapse white space.
 
     Order matters: what one rule leaves is what the next one sees, so the rules
-    can't be one alternation.  Null is the empty string.
+    can't be one alternation.  Rules each with a literal that stands in all its matches are only run, a group at a time, on texts
+    that hold one of them; the text is put in lower case for that once, and again after each group that ran.  Null is the empty string.
     """
-    cleaned = reduce(lambda t, rule: F.regexp_replace(t, flags + rule, ""), rules, F.coalesce(text, F.lit("")))
-    return collapse(cleaned)
+
+    def folded(t: Column) -> Column:
+        return F.lower(F.translate(t, *FOLDED))
+
+    def told(t: Column) -> Column:
+        return bound(t, lambda x: F.struct(x.alias("text"), folded(x).alias("low")))
+
+    def step(state: Column, some: Sequence[str]) -> Column:
+        needed = [required_literal(rule) if flags == FLAGS else None for rule in some]
+        run = lambda s: told(reduce(lambda t, rule: F.regexp_replace(t, flags + rule, ""), some, s["text"]))
+        if None in needed:
+            return bound(state, run)
+        # if no rule of the group can match first, none can at all
+        return bound(state, lambda s: F.when(reduce(lambda x, y: x | y, [F.contains(s["low"], F.lit(n)) for n in dict.fromkeys(needed)]), run(s)).otherwise(s))
+
+    groups: list[list[str]] = []
+    for rule in rules:
+        if not groups or len(groups[-1]) == TOGETHER or (required_literal(rule) is None) != (required_literal(groups[-1][-1]) is None):
+            groups.append([])
+        groups[-1].append(rule)
+    return collapse(reduce(step, groups, told(F.coalesce(text, F.lit(""))))["text"])
 
 
 def missing_as_null(text: Column) -> Column:
