@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from importlib import import_module
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -208,12 +209,20 @@ def main(argv: list[str] | None = None) -> dict[str, float]:
     parser.add_argument("--reports")
     parser.add_argument("--model", default="frozen")
     parser.add_argument("--strip-rules", help="a file of patterns, one a line, in place of the built-in terms")
+    parser.add_argument("--checkpoints", help="a folder with a folder of checkpoints for each fold; needs --encoder")
+    parser.add_argument("--encoder", help="module:function that takes a checkpoint's path and gives what loads its encoder in a task")
     parser.add_argument("--stage", default="all", choices=["all", *STAGES])
     parser.add_argument("--skip-existing", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("foldmill").getOrCreate()
     rules = tuple(r["value"] for r in spark.read.text(args.strip_rules).collect() if r["value"]) if args.strip_rules else DIAGNOSIS_TERMS  # as long as the file
-    run = Run(spark, args.root, args.out, csv=args.csv, reports=args.reports, model=args.model, strip_rules=rules)
+    if bool(args.checkpoints) != bool(args.encoder):
+        parser.error("--checkpoints and --encoder go together")
+    load = None
+    if args.encoder:
+        module, _, name = args.encoder.partition(":")
+        load = getattr(import_module(module), name)
+    run = Run(spark, args.root, args.out, csv=args.csv, reports=args.reports, model=args.model, strip_rules=rules, checkpoints=args.checkpoints, load_encoder=load)
     stages = list(STAGES) if args.stage == "all" else [args.stage]
     if not args.reports:
         stages = [s for s in stages if s not in ("clinical", "fusion", "evaluate")]

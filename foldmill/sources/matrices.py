@@ -45,8 +45,8 @@ class Rows(InputPartition):
 class NpyReader(DataSourceReader):
     """Headers are read once, when the partitions are made; a task reads its range in pieces."""
 
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, texts: bool = False):
+        self.path, self.size, self.texts = path, size, texts
 
     def partitions(self) -> list[Rows]:
         files, base = located(self.path)
@@ -65,6 +65,8 @@ class NpyReader(DataSourceReader):
                 raise ValueError(f"{path} holds objects, which are never unpickled")
             if not shape:
                 raise ValueError(f"{path} is a single number")
+            if self.texts != (dtype.kind in "US") or self.texts and len(shape) > 1:
+                raise ValueError(f"{path} has {dtype} values in {len(shape)} dimensions")
             width = int(np.prod(shape[1:], dtype=np.int64))
             by_column = by_column and len(shape) > 1
             step = shape[0] if by_column else max(1, self.size // max(1, width * dtype.itemsize))
@@ -82,9 +84,13 @@ class NpyReader(DataSourceReader):
                 x = np.frombuffer(f.read(n * part.width * dtype.itemsize), dtype)
                 if part.by_column:
                     x = x.reshape(part.shape, order="F")
+                row = pa.array(np.arange(part.first + at, part.first + at + n))
+                if self.texts:
+                    values = [v.decode() if isinstance(v, bytes) else v for v in x.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), row, pa.array(values, pa.string())], names=["file", "row", "value"])
+                    continue
                 x = np.ascontiguousarray(x.reshape(n, part.width), np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int64) * part.width, pa.int32()), pa.array(x.ravel()))
-                row = pa.array(np.arange(part.first + at, part.first + at + n))
                 yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), row, lists], names=["file", "row", "features"])
 
 
@@ -182,17 +188,20 @@ class NpyWriter(StagedWriter):
 
 
 class Npy(DataSource):
-    """Format ``npy``: (file, row, features) of the .npy files at a path; (key, features) are written."""
+    """Format ``npy``: (file, row, features) of the .npy files at a path, or (file, row, value) with the option texts; (key, features) are written."""
 
     @classmethod
     def name(cls) -> str:
         return "npy"
 
     def schema(self) -> str:
-        return "file string, row long, features array<float>"
+        return "file string, row long, " + ("value string" if self.texts() else "features array<float>")
+
+    def texts(self) -> bool:
+        return self.options.get("texts", "false") == "true"
 
     def reader(self, schema) -> NpyReader:
-        return NpyReader(self.options["path"], int(self.options.get("range", RANGE)))
+        return NpyReader(self.options["path"], int(self.options.get("range", RANGE)), self.texts())
 
     def writer(self, schema, overwrite: bool) -> NpyWriter:
         return NpyWriter(self.options["path"], self.options["job"])
@@ -207,6 +216,12 @@ def read_matrix(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     return spark.read.format("npy").option("range", size).load(path)
 
 
+def read_texts(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(file, row, value) of .npy arrays of texts, such as group ids; arrays of objects are refused, as they would have to be unpickled."""
+    spark.dataSource.register(Npy)
+    return spark.read.format("npy").option("range", size).option("texts", "true").load(path)
+
+
 def write_matrices(df: DataFrame, folder: str, key: str, features: str) -> DataFrame:
     """The vectors as .npy files below ``folder``; returns (file, row, key), what each row of each file stands for.
 

@@ -135,6 +135,32 @@ def test_matrix_by_ranges(spark, tmp_path):
         matrices.read_matrix(spark, str(tmp_path / "nothing-here")).collect()
 
 
+def test_group_ids_from_text_arrays(spark, tmp_path):
+    ids = [f"P{i}__MIA" for i in range(100)] + ["ñandú"]
+    np.save(tmp_path / "ids.npy", np.array(ids))
+    got = {r.row: r.value for r in matrices.read_texts(spark, str(tmp_path / "ids.npy"), size=512).collect()}
+    assert [got[i] for i in range(101)] == ids
+    np.save(tmp_path / "raw.npy", np.array([b"a", b"bc"]))
+    assert [r.value for r in matrices.read_texts(spark, str(tmp_path / "raw.npy")).orderBy("row").collect()] == ["a", "bc"]
+    np.save(tmp_path / "objects.npy", np.array(ids, object), allow_pickle=True)
+    with pytest.raises(Exception, match="never unpickled"):
+        matrices.read_texts(spark, str(tmp_path / "objects.npy")).collect()
+
+
+def test_checkpoints_from_the_command_line(spark, tree, monkeypatch):
+    import sys
+    import types
+
+    seen = []
+    monkeypatch.setitem(sys.modules, "own_encoder", types.SimpleNamespace(load=lambda path: path))
+    monkeypatch.setattr(pipeline, "run_all", lambda run, stages, skip: seen.append(run) or {})
+    root = ["--root", str(tree / "data"), "--out", str(tree / "out")]
+    pipeline.main([*root, "--checkpoints", "/c", "--encoder", "own_encoder:load"])
+    assert seen[0].checkpoints == "/c" and seen[0].load_encoder("x") == "x"
+    with pytest.raises(SystemExit):
+        pipeline.main([*root, "--checkpoints", "/c"])
+
+
 def files_below(folder):
     return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
 
