@@ -424,8 +424,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 crowd = materialise(crowd.withColumn("node", F.monotonically_increasing_id()), "crowd")
                 done.append(crowd)
                 pairs = pairs.unionAll(rare_pairs(crowd, texts, width, num, den, done)).distinct()
+        pairs = materialise(pairs, "pairs")  # named three times by what verifies them
         new = materialise(verify(pairs, texts, width, num, den), "links")
-        done.append(new)
+        done += [pairs, new]
         if new.isEmpty():
             continue
         links = new if links is None else links.unionAll(new)
