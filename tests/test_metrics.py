@@ -123,3 +123,41 @@ def test_permutations_keep_class_counts_and_are_not_sorted(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Sort") == 0 and plan.count("Window [") <= 4  # of the rows' own numbers
     assert similarity.permutation_test(df.limit(0), "id", "v", "label").collect() == []
+
+
+def test_exact_neighbours_with_copies_and_many_blocks(spark):
+    """Copies beyond k, zero and broken vectors, and one far better block that comes last: the same as all pairs, ties to smaller keys."""
+    from foldmill.operators import similarity
+
+    rng = np.random.RandomState(9)
+    x = np.r_[rng.standard_normal((600, 8)), np.repeat(rng.standard_normal((1, 8)), 300, 0), np.zeros((2, 8))]
+    x = np.r_[x, x[:50] * 3 + 1e-7 * rng.standard_normal((50, 8))]
+    ids = rng.permutation(len(x)) * 7
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(-1, None), (None, x[0].tolist()), (-2, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {int(ids[i]): [(int(ids[j]), s[i, j]) for j in np.lexsort((ids, -s[i]))[:5]] for i in range(len(x))}
+    for block in (4096, 100):
+        got = {}
+        for r in similarity.neighbours(df, "id", "v", 5, block=block).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append((r.neighbour, r.similarity))
+        assert set(got) == set(want)
+        assert all([n for n, _ in got[i]] == [n for n, _ in want[i]] and np.allclose([v for _, v in got[i]], [v for _, v in want[i]], atol=2e-9) for i in want)
+
+
+def test_neighbours_shuffle_no_more_than_the_rows(spark):
+    """Blocks are streamed past each other, not copied for each other block: what is sent by hash or range is the rows once, and the best of a task."""
+    from foldmill.operators import similarity
+
+    sent, run = [], similarity.best_of_blocks
+    blocks = similarity.packed(spark.range(1000).selectExpr("id", "array(cast(id as double), 1D) as u"), 100)
+    assert 5 <= blocks.count() <= 15 and blocks.selectExpr("sum(length(ids)) / 8").first()[0] == 1000
+    pairs = [(b.block, b.ids, b.u, c.ids, c.u) for b in blocks.collect()[:1] for c in blocks.collect()]
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*pairs)], names=["block", "own", "query", "other", "row"])
+    for out in run(iter([part.slice(i, 1) for i in range(part.num_rows)]), 3):
+        sent.append(out.num_rows)
+    assert sent == [3 * len(pairs[0][1]) // 8]  # one answer for all blocks that went past, not one for each
