@@ -69,6 +69,22 @@ def test_copies_nulls_and_small_tables(spark):
     assert {i: [n for n, _ in v] for i, v in two.items()} == {0: [200], 200: [0]}
 
 
+def test_first_edges_of_vectors_without_structure(spark):
+    """Leaves of random trees hold most neighbours before any round, copies and all; no vector is sent in more than 16 bits a component."""
+    rng = np.random.RandomState(8)
+    x = np.r_[rng.standard_normal((4000, 32)), np.repeat(rng.standard_normal((1, 32)), 96, 0)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows = df.select("id", F.col("v").alias("u")).withColumn("u", F.transform("u", lambda c: c / F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, y: s + y * y))))
+    rows = rows.mapInArrow(graph.steps_of, "id long, q array<short>").persist()
+    first = graph.best(graph.first_edges(rows, 24), 24).collect()
+    near = {(r.id, r.neighbour): r.similarity for r in first}
+    want = brute(np.arange(len(x)), x, 5)
+    pairs = [(i, j, s) for i in range(4000) for j, s in want[i]]
+    assert np.mean([(i, j) in near for i, j, _ in pairs]) >= 0.8
+    assert max(abs(near[i, j] - s) for i, j, s in pairs if (i, j) in near) < 1e-3
+    assert all(r.similarity > 0.999 for r in first if r.id >= 4000)
+
+
 def trustworthiness(x, y, k):
     """1 if every row's k nearest in ``y`` are among its k nearest in ``x``; less by how far away they are there."""
     n = len(x)
