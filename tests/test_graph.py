@@ -156,3 +156,26 @@ def test_bandwidths(spark):
     assert w[1, 2] == pytest.approx(1) and sum(v for (a, _), v in w.items() if a == 1) == pytest.approx(2, abs=1e-6) and w[1, 3] > w[1, 4] > w[1, 5]
     both = {(r.a, r.b): r.w for r in layout.symmetric(layout.bandwidths(edges)).collect()}
     assert both[1, 2] == both[2, 1] == pytest.approx(1) and both[3, 1] == both[1, 3] == pytest.approx(w[1, 3])
+
+
+def test_places_are_sent_once_to_a_block(spark, monkeypatch):
+    """A block gets its own rows with lists of edges and each place outside once, however many of its edges lead there."""
+    from foldmill.operators import layout
+
+    rng, seen, make = np.random.RandomState(3), [], layout.mover
+    edges = spark.createDataFrame([(i, int(j), 0.9) for i in range(300) for j in {*rng.randint(0, 300, 6), 7} - {i}], "id long, neighbour long, similarity double")
+
+    def watched(*args):
+        move = make(*args)
+
+        def checked(key, own, outside):
+            assert outside["b"].is_unique and not set(outside["b"]) & set(own["id"])
+            assert {b for to in own["to"] for b in to} <= set(outside["b"]) | set(own["id"])
+            return move(key, own, outside)
+
+        seen.append(args)
+        return checked
+
+    monkeypatch.setattr(layout, "mover", watched)
+    got = layout.neighbour_layout(edges, passes=20, block=100).toPandas()
+    assert sorted(got.id) == list(range(300)) and np.isfinite(got[["x", "y"]].to_numpy()).all() and len(seen) == layout.EXCHANGES
