@@ -147,6 +147,28 @@ def test_exact_neighbours_with_copies_and_many_blocks(spark):
         assert all([n for n, _ in got[i]] == [n for n, _ in want[i]] and np.allclose([v for _, v in got[i]], [v for _, v in want[i]], atol=2e-9) for i in want)
 
 
+@pytest.mark.parametrize("n, k", [(70, 5), (70, 1), (7, 5), (1500, 30)])
+def test_neighbours_beside_a_broken_vector(spark, n, k):
+    """A vector that isn't finite takes no place among the best, whatever rows and columns are screened at once."""
+    from foldmill.operators import similarity
+
+    x = np.random.RandomState(n).standard_normal((n, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(n, [float("nan")] * 6), (n + 1, [float("inf")] * 6)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, r + 1): int(j) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), -s[i]))[: min(k, n - 1)])}
+    assert {(r.id, r["rank"]): r.neighbour for r in similarity.neighbours(df, "id", "v", k).collect()} == want
+
+
+def test_blocks_grow_with_the_table_up_to_a_bound():
+    """Blocks are sent for each pair of them, so a large table's are larger, but sixteen at least, and wide vectors' are not."""
+    from foldmill.operators import similarity
+
+    assert [similarity.block_rows(n, 64) for n in (0, 10_256, 102_564, 615_384, 10**9)] == [4096, 4096, 6410, 16384, 16384]
+    assert similarity.block_rows(10**9, 1024) == 4096 and similarity.block_rows(10**9, 256) == 8192
+
+
 def test_neighbours_shuffle_no_more_than_the_rows(spark):
     """Blocks are streamed past each other, not copied for each other block: what is sent by hash or range is the rows once, and the best of a task."""
     from foldmill.operators import similarity
