@@ -125,6 +125,25 @@ def test_permutations_keep_class_counts_and_are_not_sorted(spark):
     assert similarity.permutation_test(df.limit(0), "id", "v", "label").collect() == []
 
 
+def test_permutations_count_votes_of_uneven_lists(spark):
+    """Some rows have one voter, some five, many more than are judged at once: as counted by hand, the smallest label on ties."""
+    from collections import Counter
+
+    from foldmill.operators import similarity
+
+    rng = np.random.RandomState(4)
+    labels = {i: "abc"[rng.randint(3)] if i % 7 else None for i in range(3000)}
+    edges = [(i, r + 1, int(j), 0.5) for i in range(3000) for r, j in enumerate(rng.choice(3000, 1 + i % 5, replace=False))]
+    df = spark.createDataFrame([(i, [1.0], name) for i, name in labels.items()], "id long, v array<double>, label string")
+    got = {r.perm: r for r in similarity.permutation_test(df, "id", "v", "label", times=3, near=spark.createDataFrame(edges, "id long, rank int, neighbour long, similarity double")).collect()}
+    votes = {}
+    for i, _, j, _ in edges:
+        if labels[i] and labels[j]:
+            votes.setdefault(i, Counter())[labels[j]] += 1
+    right = sum(min(c, key=lambda name: (-c[name], name)) == labels[i] for i, c in votes.items())
+    assert got[-1].n_correct == right and abs(got[-1].accuracy - right / len(votes)) < 1e-12 and set(got) == {-1, 0, 1, 2}
+
+
 def test_exact_neighbours_with_copies_and_many_blocks(spark):
     """Copies beyond k, zero and broken vectors, and one far better block that comes last: the same as all pairs, ties to smaller keys."""
     from foldmill.operators import similarity
