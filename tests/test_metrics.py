@@ -202,3 +202,24 @@ def test_neighbours_shuffle_no_more_than_the_rows(spark):
     for out in run(iter([part.slice(i, 1) for i in range(part.num_rows)]), 3):
         sent.append(out.num_rows)
     assert sent == [3 * len(pairs[0][1]) // 8]  # one answer for all blocks that went past, not one for each
+
+
+def test_two_blocks_meet_once_for_both(spark):
+    """Each pair of blocks is compared in one order only, and rows of both keep their best: half the pairs, the same neighbours."""
+    import pyarrow as pa
+
+    from foldmill.operators import similarity
+
+    x = np.random.RandomState(4).standard_normal((900, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    blocks = similarity.packed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, u array<double>"), 100, k=3)
+    one, other = blocks.toDF("block", "own", "query", "own_least"), blocks.toDF("past", "other", "row", "other_least")
+    pairs, n = one.join(other, similarity.once(one.block, other.past)).collect(), blocks.count()
+    assert len(pairs) == n * (n + 1) // 2 == len({frozenset((p.block, p.past)) for p in pairs})
+    part = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*pairs)], names=list(pairs[0].asDict()))
+    found = pa.Table.from_batches(similarity.best_of_blocks(iter([part]), 3)).to_pandas()
+    s = np.round(x @ x.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    assert {(r.id, r.neighbour) for r in found.itertuples()} == {(i, int(j)) for i in range(900) for j in np.lexsort((np.arange(900), -s[i]))[:3]}
+    least = {i: v for b in blocks.collect() for i, v in zip(np.frombuffer(b.ids, np.int64).tolist(), np.frombuffer(b.least, np.float32).tolist())}
+    assert all(least[i] <= np.sort(s[i])[-3] for i in range(900)) and np.isfinite(list(least.values())).all()
